@@ -30,3 +30,128 @@ def standardize_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     std = mention_standardizer(spark, sf_dir)
     test = fx.test_mentions(spark, sf_dir).select("mention_id", "mention")
     return serve.standardize(test, std, "mention_id", "mention")
+
+
+# ---------------------------------------------------------------- labels
+from canonry.functions.arrays import replace_sentinel  # noqa: E402
+from canonry.functions.text import normalize_text, strip_token, tokenize_terms  # noqa: E402
+from canonry.operators import inference, labels  # noqa: E402
+
+
+def _vocab(spark, sf_dir):
+    return labels.build_vocabulary(fx.train_mentions(spark, sf_dir), "entity_name")
+
+
+@query
+def vocabulary(spark, sf_dir):
+    """Sorted distinct training names with dense 0-based ids."""
+    return _vocab(spark, sf_dir)
+
+
+@query
+def vocab_size(spark, sf_dir):
+    return labels.vocab_size(_vocab(spark, sf_dir))
+
+
+@query
+def class_set(spark, sf_dir):
+    train = fx.mentions_with_ids(spark, sf_dir).where(F.col("split") == "train")
+    return labels.class_set(train, "entity_id")
+
+
+@query
+def encode_labels(spark, sf_dir):
+    test = fx.test_mentions(spark, sf_dir).select("mention_id", "entity_name")
+    return labels.encode_labels(test, _vocab(spark, sf_dir), "entity_name", "label")
+
+
+@query
+def decode_labels(spark, sf_dir):
+    vocab = _vocab(spark, sf_dir)
+    enc = labels.encode_labels(fx.test_mentions(spark, sf_dir).select("mention_id", "entity_name"),
+                               vocab, "entity_name", "label")
+    return labels.decode_labels(enc.select("mention_id", "label"), vocab, "label", "decoded")
+
+
+@query
+def uncovered_classes(spark, sf_dir):
+    """Test classes missing from training when entity 0 is withheld from training."""
+    m = fx.mentions_with_ids(spark, sf_dir)
+    train = m.where((F.col("split") == "train") & (F.col("entity_id") != 0))
+    return labels.uncovered_classes(m.where(F.col("split") == "test"), train, "entity_id")
+
+
+@query
+def classification_rows(spark, sf_dir):
+    rows = fx.mentions(spark, sf_dir).select(
+        "mention_id", normalize_text("mention").alias("text"), "entity_name")
+    return labels.encode_labels(rows, _vocab(spark, sf_dir), "entity_name", "label").drop("entity_name")
+
+
+@query
+def seq_rows(spark, sf_dir):
+    return fx.mentions(spark, sf_dir).select(
+        "mention_id", normalize_text("mention").alias("input"), F.col("entity_name").alias("output"))
+
+
+# ---------------------------------------------------------------- text
+@query
+def normalize_documents(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", normalize_text("text").alias("norm_text"))
+
+
+@query
+def normalize_mask_digits(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select(
+        "doc_id", normalize_text("text", mask_digits=True).alias("norm_text"))
+
+
+@query
+def term_counts(spark, sf_dir):
+    """Word terms of whole normalised documents: occurrences and document frequency."""
+    occ = fx.table(spark, sf_dir, "documents").select(
+        "doc_id", F.explode(tokenize_terms("text", "word")).alias("term"))
+    per_doc = occ.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    return per_doc.groupBy("term").agg(F.sum("k").alias("n_occ"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query
+def strip_markers(spark, sf_dir):
+    """Remove a marker token ('.') from every document, then strip the ends."""
+    return fx.table(spark, sf_dir, "documents").select("doc_id", strip_token("text", ".").alias("stripped"))
+
+
+@query
+def replace_sentinel_signs(spark, sf_dir):
+    """Embedding signs as an integer array; the sentinel -1 becomes the pad value 0."""
+    signs = F.transform("embedding", lambda x: F.signum(x).cast("int"))
+    return fx.table(spark, sf_dir, "embeddings").select(
+        "vec_id", replace_sentinel(signs, -1, 0).alias("tokens"))
+
+
+@query
+def lines_to_rows(spark, sf_dir):
+    return serve.lines_to_rows(fx.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# ---------------------------------------------------------------- serving
+@query
+def head_100(spark, sf_dir):
+    """Smoke run: the first 100 test mentions by id, standardised."""
+    std = mention_standardizer(spark, sf_dir)
+    return serve.smoke(fx.test_mentions(spark, sf_dir).select("mention_id", "mention"), std,
+                       "mention_id", "mention", 100)
+
+
+@query
+def batch_infer(spark, sf_dir):
+    """User model in Arrow batches of 256 (test model: upper-case)."""
+    m = fx.mentions(spark, sf_dir).select("mention_id", "mention")
+    return inference.infer(m, "mention", inference.upper_model, batch_size=256, out="pred")
+
+
+@query
+def embed_custom(spark, sf_dir):
+    """User encoder in batches of 64 (hashed char 3-grams, 64 dimensions)."""
+    m = fx.mentions(spark, sf_dir).select("mention_id", "mention")
+    return inference.embed(m, "mention", inference.hashed_ngram_encoder(64), batch_size=64)

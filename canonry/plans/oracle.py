@@ -110,3 +110,63 @@ SQL["standardize_mentions"] = "with " + standardize_sql(
 select t.mention_id, t.mention, s.predicted
 from m_test t left join std s on s.id = t.mention_id
 """
+
+_MENT = "with " + mention_model_ctes()
+
+SQL["vocabulary"] = _MENT + "\nselect label_id, entity_name from vocab"
+SQL["vocab_size"] = _MENT + "\nselect count(*) as vocab_size from vocab"
+
+_MENT_IDS = f"""with m as ({MENTIONS}), ent as ({ENTITIES}),
+mi as (select m.*, ent.id as entity_id from m join ent on ent.name = m.entity_name)"""
+
+SQL["class_set"] = _MENT_IDS + "\nselect distinct entity_id from mi where split = 'train'"
+SQL["encode_labels"] = _MENT + """
+select t.mention_id, t.entity_name, coalesce(v.label_id, -1) as label
+from m_test t left join vocab v using (entity_name)"""
+SQL["decode_labels"] = _MENT + """,
+enc as (select t.mention_id, coalesce(v.label_id, -1) as label from m_test t left join vocab v using (entity_name))
+select e.mention_id, e.label, v.entity_name as decoded from enc e left join vocab v on v.label_id = e.label"""
+SQL["uncovered_classes"] = _MENT_IDS + """
+select entity_id from mi where split = 'test'
+except
+select entity_id from mi where split = 'train' and entity_id <> 0"""
+SQL["classification_rows"] = _MENT + f"""
+select t.mention_id, {norm('t.mention')} as text, coalesce(v.label_id, -1) as label
+from m t left join vocab v using (entity_name)"""
+SQL["seq_rows"] = f"""with m as ({MENTIONS})
+select mention_id, {norm('mention')} as input, entity_name as output from m"""
+
+SQL["normalize_documents"] = f"select doc_id, {norm('text')} as norm_text from documents"
+SQL["normalize_mask_digits"] = f"select doc_id, {norm_mask('text')} as norm_text from documents"
+SQL["term_counts"] = f"""
+with occ as (select doc_id, unnest(string_split({norm('text')}, ' ')) as term from documents)
+select term, count(*) as n_occ, count(distinct doc_id) as n_docs from occ where term <> '' group by term"""
+
+PY_WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+JS_WS = r"[\t\n\x0B\f\r\x{00A0}\x{FEFF}\x{2028}\x{2029}\p{Zs}]"
+
+
+def py_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
+
+
+def js_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{JS_WS}+|{JS_WS}+$', '', 'g')"
+
+
+_STRIPPED = py_strip("replace(text, '.', '')")
+SQL["strip_markers"] = f"select doc_id, {_STRIPPED} as stripped from documents"
+SQL["replace_sentinel_signs"] = """
+select vec_id, list_transform(embedding, lambda x: case when sign(x) = -1 then 0 else sign(x)::int end) as tokens
+from embeddings"""
+
+LINES = f"""select doc_id, generate_subscripts(arr, 1) - 1 as line_no, unnest(arr) as "from"
+from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {js_trim('x')}),
+                                 lambda x: length(x) > 0) as arr from documents)"""
+SQL["lines_to_rows"] = LINES
+
+SQL["head_100"] = "with " + standardize_sql("select mention_id as id, mention as text from m_test") + """
+select t.mention_id, t.mention, s.predicted
+from (select * from m_test order by mention_id limit 100) t left join std s on s.id = t.mention_id"""
+
+SQL["batch_infer"] = f"with m as ({MENTIONS}) select mention_id, mention, upper(mention) as pred from m"
