@@ -155,3 +155,68 @@ def embed_custom(spark, sf_dir):
     """User encoder in batches of 64 (hashed char 3-grams, 64 dimensions)."""
     m = fx.mentions(spark, sf_dir).select("mention_id", "mention")
     return inference.embed(m, "mention", inference.hashed_ngram_encoder(64), batch_size=64)
+
+
+# ---------------------------------------------------------------- sources
+from canonry.session import scratch_path  # noqa: E402
+from canonry.sources import json_docs, tables  # noqa: E402
+
+
+def _entities_file(spark, sf_dir):
+    path = scratch_path(spark, "entities")
+    json_docs.write_entities_lines(fx.entities(spark, sf_dir), path)
+    return path
+
+
+@query
+def ingest_entities(spark, sf_dir):
+    """Entities written as nested JSON Lines by Spark, read back flat."""
+    ent = json_docs.read_entities(spark, _entities_file(spark, sf_dir), layout="lines")
+    return ent.select("id", "name", "type_id", "type_name")
+
+
+@query
+def ingest_mentions(spark, sf_dir):
+    """Training mentions grouped under entity keys (nested lists), exploded and resolved."""
+    ent = json_docs.read_entities(spark, _entities_file(spark, sf_dir), layout="lines")
+    path = scratch_path(spark, "train")
+    train = fx.mentions_with_ids(spark, sf_dir).where(F.col("split") == "train")
+    json_docs.write_mentions_lines(train.select("mention_id", "mention", "entity_id"), path, chunk=100)
+    return json_docs.read_mentions(spark, path, ent, layout="lines")
+
+
+@query
+def ingest_test_mentions(spark, sf_dir):
+    ent = json_docs.read_entities(spark, _entities_file(spark, sf_dir), layout="lines")
+    path = scratch_path(spark, "infer")
+    test = fx.mentions_with_ids(spark, sf_dir).where(F.col("split") == "test")
+    json_docs.write_test_mentions_lines(test.select("mention_id", "mention", "entity_id"), path)
+    return json_docs.read_test_mentions(spark, path, ent, layout="lines")
+
+
+@query
+def quarantine_unresolved(spark, sf_dir):
+    """Mentions whose entity is missing from the entity table (all 'ring' entities removed)."""
+    ent = fx.entities(spark, sf_dir).where(F.col("type_name") != "ring")
+    m = fx.mentions_with_ids(spark, sf_dir).select("mention_id", "mention", "entity_id")
+    _, quarantined = labels.resolve_entities(m, ent, on_missing="quarantine")
+    return quarantined
+
+
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """Documents (quotes, newlines, blanks) through CSV with header and back."""
+    path = scratch_path(spark, "documents-csv")
+    tables.write_table_csv(fx.table(spark, sf_dir, "documents"), path)
+    return tables.read_table_csv(spark, path, DOC_SCHEMA)
+
+
+@query
+def parquet_roundtrip(spark, sf_dir):
+    """Documents through Parquet partitioned by language and back."""
+    path = scratch_path(spark, "documents-parquet")
+    tables.write_table(fx.table(spark, sf_dir, "documents"), path, partition_by="lang")
+    return tables.read_table(spark, path).select("doc_id", "text", "lang", "source", "n_chars")

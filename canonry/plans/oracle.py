@@ -170,3 +170,17 @@ select t.mention_id, t.mention, s.predicted
 from (select * from m_test order by mention_id limit 100) t left join std s on s.id = t.mention_id"""
 
 SQL["batch_infer"] = f"with m as ({MENTIONS}) select mention_id, mention, upper(mention) as pred from m"
+
+SQL["ingest_entities"] = ENTITIES
+SQL["ingest_mentions"] = _MENT_IDS + """
+select concat(cast(entity_id as varchar), '-', cast(mention_id // 100 as varchar), '#',
+              cast(row_number() over (partition by entity_id, mention_id // 100 order by mention_id) - 1 as varchar))
+         as mention_id,
+       mention, entity_id, entity_name
+from mi where split = 'train'"""
+SQL["ingest_test_mentions"] = _MENT_IDS + """
+select cast(mention_id as varchar) as mention_id, mention, entity_id, entity_name from mi where split = 'test'"""
+SQL["quarantine_unresolved"] = _MENT_IDS + """
+select mention_id, mention, entity_id from mi where split_part(entity_name, ' ', 2) = 'ring'"""
+SQL["csv_roundtrip"] = "select doc_id, text, lang, source, n_chars from documents"
+SQL["parquet_roundtrip"] = "select doc_id, text, lang, source, n_chars from documents"
