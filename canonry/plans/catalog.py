@@ -220,3 +220,27 @@ def parquet_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "documents-parquet")
     tables.write_table(fx.table(spark, sf_dir, "documents"), path, partition_by="lang")
     return tables.read_table(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+# ---------------------------------------------------------------- metrics
+from canonry.operators import metrics  # noqa: E402
+
+
+def _binary(spark, sf_dir):
+    """labels: quality as truth, toxic as prediction."""
+    return fx.table(spark, sf_dir, "labels").select(F.col("quality").alias("y"), F.col("toxic").alias("p"))
+
+
+@query
+def confusion(spark, sf_dir):
+    return metrics.confusion(_binary(spark, sf_dir))
+
+
+@query
+def classification_metrics(spark, sf_dir):
+    return metrics.classification_metrics(_binary(spark, sf_dir))
+
+
+@query
+def metrics_report(spark, sf_dir):
+    return metrics.metrics_report(metrics.classification_metrics(_binary(spark, sf_dir)))

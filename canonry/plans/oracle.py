@@ -184,3 +184,36 @@ SQL["quarantine_unresolved"] = _MENT_IDS + """
 select mention_id, mention, entity_id from mi where split_part(entity_name, ' ', 2) = 'ring'"""
 SQL["csv_roundtrip"] = "select doc_id, text, lang, source, n_chars from documents"
 SQL["parquet_roundtrip"] = "select doc_id, text, lang, source, n_chars from documents"
+
+
+def metrics_sql(pairs_sql: str) -> str:
+    """CTEs ending in ``met(accuracy, weighted_precision, weighted_recall, weighted_f1)``."""
+    return f"""
+pairs as ({pairs_sql}),
+conf as (select y, p, count(*) as n from pairs group by y, p),
+per as (
+  select c, sum(support) as support, sum(tp) as tp, sum(pred) as pred from (
+    select y as c, n as support, case when y = p then n else 0 end as tp, 0 as pred from conf
+    union all
+    select p as c, 0, 0, n from conf) group by c),
+per2 as (
+  select *, case when pred > 0 then tp / pred else 0.0 end as prec,
+            case when support > 0 then tp / support else 0.0 end as rec from per),
+per3 as (select *, case when prec + rec > 0 then 2 * prec * rec / (prec + rec) else 0.0 end as f1 from per2),
+met as (
+  select round(sum(tp) / sum(support), 9) as accuracy,
+         round(sum(support * prec) / sum(support), 9) as weighted_precision,
+         round(sum(support * rec) / sum(support), 9) as weighted_recall,
+         round(sum(support * f1) / sum(support), 9) as weighted_f1 from per3)"""
+
+
+_BIN = "select quality as y, toxic as p from labels"
+SQL["confusion"] = f"select y, p, count(*) as n from ({_BIN}) group by y, p"
+SQL["classification_metrics"] = "with " + metrics_sql(_BIN) + "\nselect * from met"
+REPORT_SQL = """
+select 0 as line_no, repeat('*', 80) as line
+union all select 1, printf('Accuracy: %.5f', accuracy) from met
+union all select 2, printf('F1 Score: %.5f', weighted_f1) from met
+union all select 3, printf('Precision: %.5f', weighted_precision) from met
+union all select 4, printf('Recall: %.5f', weighted_recall) from met"""
+SQL["metrics_report"] = "with " + metrics_sql(_BIN) + REPORT_SQL
