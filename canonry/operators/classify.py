@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from canonry.functions.text import tokenize_terms
 from canonry.operators.ranking import rank_key
 from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, scalar
+from canonry.session import cut_lineage
 
 # Pseudo label of the per-term counter row used to count known occurrences.
 _COUNTER = -2
@@ -47,13 +48,17 @@ def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "la
     rows = df.select(F.col(label_col).alias("label"), F.col(text_col).alias("_text")) \
              .where(F.col("label").isNotNull() & (F.col("label") >= 0))
     terms = rows.select("label", F.explode(tokenize_terms("_text", kind, n, normalize)).alias("term"))
-    counts = terms.groupBy("term", "label").agg(F.count(F.lit(1)).alias("n_tc"))
-    n_rows = scalar(rows.agg(F.count(F.lit(1))), 0)
+    # The model tables are written once (reliable checkpoint): size checks, scalars and
+    # every later prediction read them instead of re-running the training aggregation.
+    counts = cut_lineage(terms.groupBy("term", "label").agg(F.count(F.lit(1)).alias("n_tc")))
+    per_class = cut_lineage(
+        rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+        .join(counts.groupBy("label").agg(F.sum("n_tc").alias("n_terms")), "label", "left")
+        .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)).cast("long")))
+    n_rows = scalar(per_class.agg(F.sum("n_rows")), 0)
     n_vocab = scalar(counts.agg(F.count_distinct("term")), 0)
     la = F.log(F.lit(float(alpha)))
-    classes = (rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
-               .join(counts.groupBy("label").agg(F.sum("n_tc").alias("n_terms")), "label", "left")
-               .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)).cast("long"))
+    classes = (per_class
                .withColumn("prior", F.log(F.col("n_rows") / F.lit(float(n_rows))))
                .withColumn("per_len", F.log(F.col("n_terms") + F.lit(float(alpha) * n_vocab)) - la))
     postings = counts.withColumn("weight", F.log(F.col("n_tc") + F.lit(float(alpha))) - la)

@@ -244,3 +244,60 @@ def classification_metrics(spark, sf_dir):
 @query
 def metrics_report(spark, sf_dir):
     return metrics.metrics_report(metrics.classification_metrics(_binary(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- classification on documents
+from canonry.operators import classify  # noqa: E402
+from canonry.sources import models  # noqa: E402
+
+
+def _lang_standardizer(spark, sf_dir) -> serve.Standardizer:
+    train = fx.doc_split(spark, sf_dir, test=False)
+    return serve.fit_standardizer(train, "text", "lang")
+
+
+@query
+def nb_train(spark, sf_dir):
+    """Naive Bayes postings for documents -> language (word terms of whole texts)."""
+    return _lang_standardizer(spark, sf_dir).model.postings.select("term", "label", "n_tc")
+
+
+def _nb_predictions(spark, sf_dir, std=None):
+    std = std or _lang_standardizer(spark, sf_dir)
+    test = fx.doc_split(spark, sf_dir, test=True).select("doc_id", "text", "lang")
+    pred = classify.predict_labels(std.model, test, "doc_id", "text")
+    return std, labels.decode_labels(pred.select("doc_id", "label"), std.vocab, "label", "predicted")
+
+
+@query
+def nb_predict(spark, sf_dir):
+    return _nb_predictions(spark, sf_dir)[1]
+
+
+@query
+def nb_evaluate(spark, sf_dir):
+    std, pred = _nb_predictions(spark, sf_dir)
+    truth = labels.encode_labels(fx.doc_split(spark, sf_dir, test=True).select("doc_id", "lang"),
+                                 std.vocab, "lang", "y")
+    pairs = truth.join(pred.select("doc_id", F.col("label").alias("p")), "doc_id")
+    return metrics.classification_metrics(pairs, "y", "p")
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """Save the language model, load it from its explicit path, predict: equals nb_predict."""
+    path = scratch_path(spark, "nb-model")
+    models.save_model(_lang_standardizer(spark, sf_dir), path)
+    return _nb_predictions(spark, sf_dir, models.load_model(spark, path))[1]
+
+
+@query
+def lr_evaluate(spark, sf_dir):
+    """spark.ml learner (hashed word TF-IDF + logistic regression) on documents -> language."""
+    train = fx.doc_split(spark, sf_dir, test=False)
+    vocab = labels.build_vocabulary(train, "lang")
+    enc = lambda d: labels.encode_labels(d.select("doc_id", "text", "lang"), vocab, "lang", "label")
+    model = classify.train_lr(enc(train), "text", "label")
+    test = enc(fx.doc_split(spark, sf_dir, test=True))
+    pred = classify.predict_lr(model, test, "doc_id").withColumnRenamed("label", "p")
+    return metrics.classification_metrics(test.join(pred, "doc_id"), "label", "p")

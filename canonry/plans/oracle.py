@@ -217,3 +217,19 @@ union all select 2, printf('F1 Score: %.5f', weighted_f1) from met
 union all select 3, printf('Precision: %.5f', weighted_precision) from met
 union all select 4, printf('Recall: %.5f', weighted_recall) from met"""
 SQL["metrics_report"] = "with " + metrics_sql(_BIN) + REPORT_SQL
+
+_DOCS = f"""
+d_train as (select * from documents where doc_id % 5 <> 0),
+d_test as (select * from documents where doc_id % 5 = 0),
+lvocab as (select dense_rank() over (order by lang) - 1 as label_id, lang
+           from (select distinct lang from d_train where lang is not null)),
+lab_docs as (select t.text, v.label_id as label from d_train t join lvocab v using (lang)),"""
+_DOC_NB = "with " + _DOCS + nb_ctes("select * from lab_docs", "select doc_id as id, text from d_test")
+
+SQL["nb_train"] = _DOC_NB + "\nselect term, label, n_tc from nb_counts"
+SQL["nb_predict"] = _DOC_NB + """
+select b.id as doc_id, b.label, v.lang as predicted from nb_best b left join lvocab v on v.label_id = b.label"""
+SQL["model_roundtrip"] = SQL["nb_predict"]
+SQL["nb_evaluate"] = _DOC_NB + "," + metrics_sql("""
+select coalesce(v.label_id, -1) as y, b.label as p
+from d_test t left join lvocab v using (lang) join nb_best b on b.id = t.doc_id""") + "\nselect * from met"
