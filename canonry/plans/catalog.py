@@ -301,3 +301,94 @@ def lr_evaluate(spark, sf_dir):
     test = enc(fx.doc_split(spark, sf_dir, test=True))
     pred = classify.predict_lr(model, test, "doc_id").withColumnRenamed("label", "p")
     return metrics.classification_metrics(test.join(pred, "doc_id"), "label", "p")
+
+
+# ---------------------------------------------------------------- vectors
+from canonry.operators import similarity as sim  # noqa: E402
+
+
+def _emb_sides(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.where(F.col("vec_id") % 5 == 0), e.where(F.col("vec_id") % 5 != 0)
+
+
+def _rounded(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query
+def cosine_top1(spark, sf_dir):
+    """Exact top-1 cosine neighbour (target side broadcast after a size check)."""
+    q, t = _emb_sides(spark, sf_dir)
+    return _rounded(sim.nearest(q, t, qid="vec_id", tid="vec_id", vec_col="embedding", method="auto"))
+
+
+@query
+def cosine_blocked(spark, sf_dir):
+    """Same answer as cosine_top1 through the blocked plan (small blocks: many tasks)."""
+    q, t = _emb_sides(spark, sf_dir)
+    return _rounded(sim.nearest(q, t, qid="vec_id", tid="vec_id", vec_col="embedding",
+                                method="blocked", block_rows=64))
+
+
+@query
+def cosine_top3_masked(spark, sf_dir):
+    """Top-3 with masks: targets label < 5, queries label >= 5."""
+    q, t = _emb_sides(spark, sf_dir)
+    return _rounded(sim.top_k_similar(q, t, k=3, qid="vec_id", tid="vec_id", vec_col="embedding",
+                                      query_filter=F.col("label") >= 5, target_filter=F.col("label") < 5))
+
+
+@query
+def cosine_top3_blocked(spark, sf_dir):
+    """Top-3 with masks through the blocked plan."""
+    q, t = _emb_sides(spark, sf_dir)
+    return _rounded(sim.top_k_similar(q, t, k=3, qid="vec_id", tid="vec_id", vec_col="embedding",
+                                      method="blocked", block_rows=48,
+                                      query_filter=F.col("label") >= 5, target_filter=F.col("label") < 5))
+
+
+@query
+def nn_accuracy(spark, sf_dir):
+    """Label transfer from the top-1 neighbour and its accuracy."""
+    q, t = _emb_sides(spark, sf_dir)
+    nb = sim.nearest(q, t, qid="vec_id", tid="vec_id", vec_col="embedding")
+    pred = sim.transfer_labels(nb, t, "vec_id", "label", "p")
+    pairs = pred.join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("y")), "query_id")
+    return metrics.accuracy(pairs, "y", "p")
+
+
+def _tfidf_sides(spark, sf_dir):
+    """Raw mentions (no normalisation on the neighbour path), char 3-grams, IDF fitted on train."""
+    m = fx.mentions(spark, sf_dir)
+    train, test = m.where(F.col("split") == "train"), m.where(F.col("split") == "test")
+    ttf = sim.tfidf_terms(train, "mention_id", "mention", "char_ngram", 3, normalize=False)
+    qtf = sim.tfidf_terms(test, "mention_id", "mention", "char_ngram", 3, normalize=False)
+    idf = sim.tfidf_fit(ttf)
+    return test, train, sim.tfidf_rows(qtf, idf, "mention_id"), sim.tfidf_rows(ttf, idf, "mention_id")
+
+
+@query
+def tfidf_nearest(spark, sf_dir):
+    """TF-IDF char 3-gram nearest training mention per test mention, exact (blocked sparse)."""
+    test, train, qv, tv = _tfidf_sides(spark, sf_dir)
+    nb = sim.nearest(qv, tv, qid="mention_id", tid="mention_id", sparse=True, method="blocked", block_rows=256)
+    return _rounded(sim.transfer_labels(nb, train, "mention_id", "entity_name", "predicted"))
+
+
+@query
+def nn_standardize(spark, sf_dir):
+    """Nearest-neighbour standardisation accuracy (labels from training neighbours)."""
+    test, train, qv, tv = _tfidf_sides(spark, sf_dir)
+    nb = sim.nearest(qv, tv, qid="mention_id", tid="mention_id", sparse=True)
+    pred = sim.transfer_labels(nb, train, "mention_id", "entity_name", "p")
+    pairs = test.select(F.col("mention_id").alias("query_id"), F.col("entity_name").alias("y")) \
+        .join(pred, "query_id", "left")
+    return metrics.accuracy(pairs, "y", "p")
+
+
+@query
+def tfidf_vectors(spark, sf_dir):
+    """Built-in embedding as long rows: (mention_id, term, weight) for all mentions."""
+    m = fx.mentions(spark, sf_dir)
+    return sim.tfidf_vectors(m, "mention_id", "mention").withColumn("weight", F.round("weight", 9))

@@ -233,3 +233,67 @@ SQL["model_roundtrip"] = SQL["nb_predict"]
 SQL["nb_evaluate"] = _DOC_NB + "," + metrics_sql("""
 select coalesce(v.label_id, -1) as y, b.label as p
 from d_test t left join lvocab v using (lang) join nb_best b on b.id = t.doc_id""") + "\nselect * from met"
+
+
+def cosine_sql(k: int, qcond: str = "true", tcond: str = "true") -> str:
+    return f"""
+with q as (select vec_id, embedding::double[] as e from embeddings where vec_id % 5 = 0 and {qcond}),
+t as (select vec_id, embedding::double[] as e from embeddings where vec_id % 5 <> 0 and {tcond}),
+s as (select q.vec_id as query_id, t.vec_id as neighbour_id,
+             list_dot_product(q.e, t.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(t.e, t.e)) + 1e-8)
+               as score
+      from q cross join t),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, neighbour_id) as rank from s)
+select query_id, neighbour_id, round(score, 6) as score, rank from r where rank <= {k}"""
+
+
+SQL["cosine_top1"] = cosine_sql(1)
+SQL["cosine_blocked"] = cosine_sql(1)
+SQL["cosine_top3_masked"] = cosine_sql(3, "label >= 5", "label < 5")
+SQL["cosine_top3_blocked"] = SQL["cosine_top3_masked"]
+SQL["nn_accuracy"] = f"""
+with top as ({cosine_sql(1)})
+select round(avg(case when q.label = t.label then 1.0 else 0.0 end), 9) as accuracy
+from top join embeddings q on q.vec_id = top.query_id join embeddings t on t.vec_id = top.neighbour_id"""
+
+
+def grams(x: str, n: int = 3) -> str:
+    return (f"case when length({x}) >= {n} then list_transform(range(1, length({x}) - {n - 2}), "
+            f"lambda i: substring({x}, i, {n})) when length({x}) > 0 then [{x}] else [] end")
+
+
+TFIDF = f"""
+m as ({MENTIONS}),
+m_train as (select * from m where split = 'train'),
+m_test as (select * from m where split = 'test'),
+ttf as (select id, term, count(*) as tf from
+        (select mention_id as id, unnest({grams('mention')}) as term from m_train) group by id, term),
+qtf as (select id, term, count(*) as tf from
+        (select mention_id as id, unnest({grams('mention')}) as term from m_test) group by id, term),
+idf as (select term, ln((n + 1.0) / (count(*) + 1.0)) as idf
+        from ttf, (select count(distinct id) as n from ttf) group by term, n),
+tw0 as (select id, term, tf * idf as w from ttf join idf using (term)),
+qw0 as (select id, term, tf * idf as w from qtf join idf using (term)),
+tw as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as w from tw0),
+qw as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as w from qw0),
+pairs as (select qw.id as query_id, tw.id as neighbour_id, sum(qw.w * tw.w) as score
+          from qw join tw using (term) group by qw.id, tw.id),
+best as (select * from (
+  select *, row_number() over (partition by query_id order by round(score, 9) desc, neighbour_id) as rank
+  from pairs where score > 0) where rank = 1)"""
+
+SQL["tfidf_nearest"] = "with " + TFIDF + """
+select b.query_id, b.neighbour_id, round(b.score, 6) as score, b.rank, t.entity_name as predicted
+from best b join m_train t on t.mention_id = b.neighbour_id"""
+SQL["nn_standardize"] = "with " + TFIDF + """
+select round(avg(case when t.entity_name = n.entity_name then 1.0 else 0.0 end), 9) as accuracy
+from m_test t left join best b on b.query_id = t.mention_id left join m_train n on n.mention_id = b.neighbour_id"""
+SQL["tfidf_vectors"] = f"""
+with m as ({MENTIONS}),
+tf as (select id, term, count(*) as tf from
+       (select mention_id as id, unnest({grams('mention')}) as term from m) group by id, term),
+idf as (select term, ln((n + 1.0) / (count(*) + 1.0)) as idf
+        from tf, (select count(distinct id) as n from tf) group by term, n),
+w0 as (select id, term, tf * idf as w from tf join idf using (term)),
+nrm as (select id, sqrt(sum(w * w)) as nm from w0 group by id)
+select w0.id as mention_id, w0.term, round(w0.w / nrm.nm, 9) as weight from w0 join nrm using (id) where nrm.nm > 0"""
