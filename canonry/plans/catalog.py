@@ -392,3 +392,84 @@ def tfidf_vectors(spark, sf_dir):
     """Built-in embedding as long rows: (mention_id, term, weight) for all mentions."""
     m = fx.mentions(spark, sf_dir)
     return sim.tfidf_vectors(m, "mention_id", "mention").withColumn("weight", F.round("weight", 9))
+
+
+# ---------------------------------------------------------------- generation and BLEU
+from canonry.operators import bleu, translate  # noqa: E402
+from canonry.streaming import scoring  # noqa: E402
+
+
+def _turn_pairs(spark, sf_dir):
+    """conversations: turn t is the hypothesis, turn t + 1 of the same conversation the reference."""
+    c = fx.table(spark, sf_dir, "conversations")
+    h = c.select("conv_id", "turn", F.col("text").alias("hypothesis"))
+    r = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    return h.join(r, ["conv_id", "turn"])
+
+
+@query
+def corpus_bleu(spark, sf_dir):
+    return bleu.corpus_bleu(_turn_pairs(spark, sf_dir), "hypothesis", "reference", 4, "none")
+
+
+@query
+def corpus_bleu_13a(spark, sf_dir):
+    return bleu.corpus_bleu(_turn_pairs(spark, sf_dir), "hypothesis", "reference", 4, "13a")
+
+
+def _translation(spark, sf_dir):
+    train = fx.train_mentions(spark, sf_dir)
+    return translate.train_translation(train, "mention_id", "mention", "entity_name", iterations=5)
+
+
+@query
+def translate_table(spark, sf_dir):
+    """IBM Model 1 t(t|s) after 5 EM iterations on the training mentions."""
+    return _translation(spark, sf_dir).withColumn("p", F.round("p", 6))
+
+
+def _generated(spark, sf_dir):
+    test = fx.test_mentions(spark, sf_dir).select("mention_id", "mention", "entity_name")
+    return translate.generate_names(_translation(spark, sf_dir), test, "mention_id", "mention")
+
+
+@query
+def generate_names(spark, sf_dir):
+    return _generated(spark, sf_dir).select("mention_id", "mention", "generated")
+
+
+@query
+def generation_exact_match(spark, sf_dir):
+    return metrics.exact_match(_generated(spark, sf_dir), "entity_name", "generated")
+
+
+# ---------------------------------------------------------------- serving and streaming
+@query
+def map_lines(spark, sf_dir):
+    """Document blobs -> from/to table of standardised lines."""
+    std = mention_standardizer(spark, sf_dir)
+    return serve.map_lines(fx.table(spark, sf_dir, "documents"), std, "doc_id", "text")
+
+
+@query
+def request_response(spark, sf_dir):
+    """Test mentions as JSON requests of <= 100 ids each, parsed, scored, answered as JSON."""
+    std = mention_standardizer(spark, sf_dir)
+    test = fx.test_mentions(spark, sf_dir).withColumn("request_id", F.expr("mention_id div 100"))
+    bodies = serve.to_request(test, "request_id", "mention_id", "mention")
+    rows = serve.from_request(bodies).withColumn("_key", F.struct("request_id", "pos"))
+    scored = serve.standardize(rows, std, "_key", "text")
+    return serve.to_response(scored, "request_id", "pos", "predicted")
+
+
+@query
+def standardize_stream(spark, sf_dir):
+    """documents.parquet read as a stream (availableNow), scored per micro-batch: equals batch."""
+    std = _lang_standardizer(spark, sf_dir)
+    schema = fx.table(spark, sf_dir, "documents").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    q = scoring.standardize_stream(stream, std, "doc_id", "text", sink, ckpt)
+    q.awaitTermination()
+    return scoring.read_sink(spark, sink)

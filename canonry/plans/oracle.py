@@ -297,3 +297,128 @@ idf as (select term, ln((n + 1.0) / (count(*) + 1.0)) as idf
 w0 as (select id, term, tf * idf as w from tf join idf using (term)),
 nrm as (select id, sqrt(sum(w * w)) as nm from w0 group by id)
 select w0.id as mention_id, w0.term, round(w0.w / nrm.nm, 9) as weight from w0 join nrm using (id) where nrm.nm > 0"""
+
+
+def ws_split(x: str) -> str:
+    """Python str.split() in DuckDB."""
+    s = py_strip(x)
+    return f"case when length({s}) = 0 then []::varchar[] else string_split_regex({s}, '{PY_WS}+') end"
+
+
+RULES_13A_SQL = [
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
+    (r"([^0-9])([\.,])", r"\1 \2 "),
+    (r"([\.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+]
+
+
+def tok13a(x: str) -> str:
+    c = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, '{a}', '{b}')"
+    for pat, rep in RULES_13A_SQL:
+        c = f"regexp_replace({c}, '{pat}', '{rep}', 'g')"
+    return c
+
+
+def bleu_sql(tokenize: str) -> str:
+    h = "hypothesis" if tokenize == "none" else tok13a("hypothesis")
+    r = "reference" if tokenize == "none" else tok13a("reference")
+    orders = "\nunion all ".join(
+        f"select row, {n} as n, unnest(list_transform(range(0, len(tok) - {n - 1}), "
+        f"lambda i: array_to_string(tok[i + 1:i + {n}], ' '))) as g from SIDE"
+        for n in range(1, 5))
+    return f"""
+with pairs as (select h.text as hypothesis, r.text as reference
+               from conversations h join conversations r on r.conv_id = h.conv_id and r.turn = h.turn + 1),
+tok as (select row_number() over () as row, {ws_split(h)} as htok, {ws_split(r)} as rtok from pairs),
+hs as (select row, htok as tok from tok), rs as (select row, rtok as tok from tok),
+hg as (select row, n, g, count(*) as ch from ({orders.replace('SIDE', 'hs')}) group by row, n, g),
+rg as (select row, n, g, count(*) as cr from ({orders.replace('SIDE', 'rs')}) group by row, n, g),
+cl as (select n, sum(least(ch, coalesce(cr, 0))) as m from hg left join rg using (row, n, g) group by n),
+st as (select sum(len(htok)) as sys_len, sum(len(rtok)) as ref_len,
+              sum(greatest(len(htok) - 0, 0)) as total_1, sum(greatest(len(htok) - 1, 0)) as total_2,
+              sum(greatest(len(htok) - 2, 0)) as total_3, sum(greatest(len(htok) - 3, 0)) as total_4 from tok),
+c as (select coalesce(sum(m) filter (where n = 1), 0) as correct_1, coalesce(sum(m) filter (where n = 2), 0) as correct_2,
+             coalesce(sum(m) filter (where n = 3), 0) as correct_3, coalesce(sum(m) filter (where n = 4), 0) as correct_4
+      from cl),
+z as (select *,
+        (correct_1 = 0)::int as z1, (correct_1 = 0)::int + (correct_2 = 0)::int as z2,
+        (correct_1 = 0)::int + (correct_2 = 0)::int + (correct_3 = 0)::int as z3,
+        (correct_1 = 0)::int + (correct_2 = 0)::int + (correct_3 = 0)::int + (correct_4 = 0)::int as z4
+      from st, c),
+p as (select *,
+        case when correct_1 > 0 then 100.0 * correct_1 / total_1 else 100.0 / (pow(2.0, z1) * total_1) end as p1,
+        case when correct_2 > 0 then 100.0 * correct_2 / total_2 else 100.0 / (pow(2.0, z2) * total_2) end as p2,
+        case when correct_3 > 0 then 100.0 * correct_3 / total_3 else 100.0 / (pow(2.0, z3) * total_3) end as p3,
+        case when correct_4 > 0 then 100.0 * correct_4 / total_4 else 100.0 / (pow(2.0, z4) * total_4) end as p4,
+        case when sys_len >= ref_len then 1.0 when sys_len = 0 then 0.0 else exp(1.0 - ref_len / sys_len) end as bp
+      from z)
+select round(case when (correct_1 = 0 and correct_2 = 0 and correct_3 = 0 and correct_4 = 0)
+                    or total_1 = 0 or total_2 = 0 or total_3 = 0 or total_4 = 0 then 0.0
+                  else bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4.0) end, 6) as bleu,
+       round(bp, 9) as brevity_penalty, sys_len::bigint as sys_len, ref_len::bigint as ref_len,
+       correct_1::bigint as correct_1, correct_2::bigint as correct_2, correct_3::bigint as correct_3,
+       correct_4::bigint as correct_4, total_1::bigint as total_1, total_2::bigint as total_2,
+       total_3::bigint as total_3, total_4::bigint as total_4
+from p"""
+
+
+SQL["corpus_bleu"] = bleu_sql("none")
+SQL["corpus_bleu_13a"] = bleu_sql("13a")
+
+
+def ibm1_ctes(iterations: int = 5) -> str:
+    """CTEs ending in ``t{iterations}(s, t, p)`` over the training mentions."""
+    parts = [f"""
+m as ({MENTIONS}),
+m_train as (select * from m where split = 'train'),
+m_test as (select * from m where split = 'test'),
+srcw as (select mention_id as row, s, count(*) as ms from
+         (select mention_id, unnest(string_split({norm('mention')}, ' ')) as s from m_train) where s <> ''
+         group by all),
+tgtw as (select mention_id as row, t, count(*) as mt from
+         (select mention_id, unnest({ws_split('entity_name')}) as t from m_train) group by all),
+rows_ as (select * from srcw join tgtw using (row)),
+t0 as (select distinct s, t, 1.0 as p from rows_)"""]
+    for i in range(1, iterations + 1):
+        parts.append(f"""
+j{i} as (select r.row, r.s, r.t, r.mt, r.ms * x.p as w from rows_ r join t{i - 1} x using (s, t)),
+e{i} as (select s, t, w / sum(w) over (partition by row, t) * mt as c from j{i}),
+c{i} as (select s, t, sum(c) as c from e{i} group by s, t),
+t{i} as (select s, t, c / sum(c) over (partition by s) as p from c{i})""")
+    return ",".join(parts)
+
+
+SQL["translate_table"] = "with " + ibm1_ctes() + "\nselect s, t, round(p, 6) as p from t5"
+
+GEN = "with " + ibm1_ctes() + f""",
+best as (select s, t, p from (
+  select *, row_number() over (partition by s order by round(p, 9) desc, t) as rk from t5) where rk = 1
+  and round(p, 9) >= 0.5),
+toks as (select mention_id, generate_subscripts(arr, 1) as pos, unnest(arr) as s from
+         (select mention_id, list_filter(string_split({norm('mention')}, ' '), lambda x: x <> '') as arr from m_test)),
+em as (select k.mention_id, k.pos, b.t from toks k join best b using (s)),
+firsts as (select mention_id, t, min(pos) as pos from em group by mention_id, t),
+gen as (select mention_id, string_agg(t, ' ' order by pos) as generated from
+        (select *, row_number() over (partition by mention_id order by pos) as k from firsts) where k <= 90
+        group by mention_id),
+g as (select t.mention_id, t.mention, t.entity_name, coalesce(gen.generated, '') as generated
+      from m_test t left join gen using (mention_id))"""
+SQL["generate_names"] = GEN + "\nselect mention_id, mention, generated from g"
+SQL["generation_exact_match"] = GEN + """
+select round(avg(case when entity_name = generated then 1.0 else 0.0 end), 9) as exact_match from g"""
+
+SQL["map_lines"] = "with " + f"lines as ({LINES})," + standardize_sql(
+    "select concat(doc_id, ':', line_no) as id, \"from\" as text from lines") + """
+select l.doc_id, l.line_no, l."from", coalesce(nullif(s.predicted, ''), '(no match)') as "to"
+from lines l left join std s on s.id = concat(l.doc_id, ':', l.line_no)"""
+
+SQL["request_response"] = "with " + standardize_sql("select mention_id as id, mention as text from m_test") + """
+select t.mention_id // 100 as request_id,
+       to_json({'results': list(coalesce(s.predicted, '') order by t.mention_id)}) as response
+from m_test t left join std s on s.id = t.mention_id group by t.mention_id // 100"""
+
+SQL["standardize_stream"] = "with " + _DOCS + nb_ctes("select * from lab_docs", "select doc_id as id, text from documents") + """
+select b.id as doc_id, b.label, v.lang as predicted from nb_best b left join lvocab v on v.label_id = b.label"""
