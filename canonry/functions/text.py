@@ -101,3 +101,25 @@ def tokenize_terms(col, kind: str = "word", n: int = 3, normalize: bool = True,
     if max_len is not None:
         terms = F.slice(terms, 1, max_len)
     return terms
+
+
+def explode_terms(df, keep_cols, text_col: str, kind: str = "word", n: int = 3, normalize: bool = True,
+                  with_pos: bool = False, term_col: str = "term"):
+    """One row per term (``keep_cols`` + term [+ pos]), in text order.
+
+    For words this is a single regex split of the lower-cased text followed by an
+    explode and a filter of empty strings: the same terms as
+    ``split(normalize_text(t), ' ')`` without per-element lambdas, so it stays in
+    whole-stage codegen.
+    """
+    keep = [F.col(c) if isinstance(c, str) else c for c in keep_cols]
+    if kind == "word":
+        base = F.lower(F.col(text_col)) if normalize else F.col(text_col)
+        arr = F.split(base, _WS_RUN, -1)
+    else:
+        arr = tokenize_terms(text_col, kind, n, normalize)
+    if with_pos:
+        out = df.select(*keep, F.posexplode(arr).alias("pos", term_col))
+    else:
+        out = df.select(*keep, F.explode(arr).alias(term_col))
+    return out.where(F.length(F.col(term_col)) > 0)

@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canonry.functions.text import tokenize_terms
+from pyspark import StorageLevel
+
+from canonry.functions.text import explode_terms
 from canonry.operators.ranking import rank_key
 from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, scalar
 from canonry.session import cut_lineage
@@ -47,7 +49,7 @@ def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "la
     """Train multinomial naive Bayes from ``(text, label)`` rows (label >= 0)."""
     rows = df.select(F.col(label_col).alias("label"), F.col(text_col).alias("_text")) \
              .where(F.col("label").isNotNull() & (F.col("label") >= 0))
-    terms = rows.select("label", F.explode(tokenize_terms("_text", kind, n, normalize)).alias("term"))
+    terms = explode_terms(rows, ["label"], "_text", kind, n, normalize)
     # The model tables are written once (reliable checkpoint): size checks, scalars and
     # every later prediction read them instead of re-running the training aggregation.
     counts = cut_lineage(terms.groupBy("term", "label").agg(F.count(F.lit(1)).alias("n_tc")))
@@ -84,7 +86,7 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     proven row bound, otherwise joined by shuffle (AQE splits hot terms).
     """
     ids = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    occ = ids.select("_id", F.explode(tokenize_terms("_text", model.kind, model.n, model.normalize)).alias("term"))
+    occ = explode_terms(ids, ["_id"], "_text", model.kind, model.n, model.normalize)
     counter = model.postings.select("term").distinct().select(
         "term", F.lit(_COUNTER).cast("long").alias("label"), F.lit(1.0).alias("weight"))
     table = model.postings.select("term", F.col("label").cast("long"), "weight").unionByName(counter)
@@ -99,9 +101,11 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     cand = cand.join(classes, "label").withColumn(
         "score", F.col("prior") - F.col("L") * F.col("per_len") + F.col("inc"))
     best = F.max_by(F.struct(F.col("label"), F.col("score")), F.struct(rank_key("score"), -F.col("label")))
-    matched = cand.groupBy("_id").agg(best.alias("m"), F.max("L").alias("L"))
-    # Upper bound of L from the input alone (a scan, no join): the table covers 0..l_max.
-    l_max = scalar(ids.agg(F.max(F.size(tokenize_terms("_text", model.kind, model.n, model.normalize)))), 0)
+    # One row per scored input row; kept (memory, spilling to disk) so that reading
+    # l_max and producing the output run the term join once.
+    matched = cand.groupBy("_id").agg(best.alias("m"), F.max("L").alias("L")) \
+                  .persist(StorageLevel.MEMORY_AND_DISK)
+    l_max = scalar(matched.agg(F.max("L")), 0)
     defaults = bounded_broadcast(_best_default(model, int(l_max)), max_broadcast_rows)
     out = (ids.select("_id").join(matched, "_id", "left")
            .withColumn("L", F.coalesce(F.col("L").cast("long"), F.lit(0).cast("long")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canonry.functions.text import normalize_text, split_whitespace, word_terms
+from canonry.functions.text import explode_terms, split_whitespace
 from canonry.operators.ranking import rank_key
 from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 from canonry.session import cut_lineage
@@ -30,8 +30,8 @@ MAX_GENERATE_TOKENS = 90
 
 def alignment_rows(df: DataFrame, id_col: str, src_col: str, tgt_col: str) -> DataFrame:
     """(row, s, ms, t, mt): every source/target token pair of a row, with multiplicities."""
-    src = df.select(F.col(id_col).alias("row"), F.explode(word_terms(normalize_text(src_col))).alias("s")) \
-            .groupBy("row", "s").agg(F.count(F.lit(1)).alias("ms"))
+    src = explode_terms(df, [F.col(id_col).alias("row")], src_col, "word", term_col="s") \
+        .groupBy("row", "s").agg(F.count(F.lit(1)).alias("ms"))
     tgt = df.select(F.col(id_col).alias("row"), F.explode(split_whitespace(tgt_col)).alias("t")) \
             .groupBy("row", "t").agg(F.count(F.lit(1)).alias("mt"))
     return src.join(tgt, "row")
@@ -68,8 +68,7 @@ def generate_names(table: DataFrame, df: DataFrame, id_col: str, src_col: str, m
     space. Rows with no emitted token get the empty string. One row out per row in.
     """
     best = bounded_broadcast(best_targets(table).where(rank_key("p") >= F.lit(min_p)), max_broadcast_rows)
-    toks = df.select(F.col(id_col).alias("_id"),
-                     F.posexplode(word_terms(normalize_text(src_col))).alias("pos", "s"))
+    toks = explode_terms(df, [F.col(id_col).alias("_id")], src_col, "word", with_pos=True, term_col="s")
     emitted = toks.join(best, "s").groupBy("_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("_seq"))
     words = F.slice(F.array_distinct(F.transform("_seq", lambda x: x["t"])), 1, max_len)

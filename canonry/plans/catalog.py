@@ -34,7 +34,7 @@ def standardize_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- labels
 from canonry.functions.arrays import replace_sentinel  # noqa: E402
-from canonry.functions.text import normalize_text, strip_token, tokenize_terms  # noqa: E402
+from canonry.functions.text import explode_terms, normalize_text, strip_token  # noqa: E402
 from canonry.operators import inference, labels  # noqa: E402
 
 
@@ -109,8 +109,7 @@ def normalize_mask_digits(spark, sf_dir):
 @query
 def term_counts(spark, sf_dir):
     """Word terms of whole normalised documents: occurrences and document frequency."""
-    occ = fx.table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(tokenize_terms("text", "word")).alias("term"))
+    occ = explode_terms(fx.table(spark, sf_dir, "documents"), ["doc_id"], "text", "word")
     per_doc = occ.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("k"))
     return per_doc.groupBy("term").agg(F.sum("k").alias("n_occ"), F.count(F.lit(1)).alias("n_docs"))
 

@@ -60,11 +60,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/canonry-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
+def cut_lineage(df, spark: SparkSession | None = None, name: str = "table"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor replays nothing before this point; never
+    ``localCheckpoint``), and the planner then sees real file sizes and can prune
+    columns of the written table.
+    """
     spark = spark or df.sparkSession
-    checkpoint_root(spark)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def env_path(name: str, default: str) -> str:
