@@ -20,9 +20,14 @@ def write_table_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_table_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV with header. The schema is required: no inference pass over the data."""
+    """CSV with header. The schema is required: no inference pass over the data.
+
+    An unquoted empty field is NULL and a quoted one (``""``) is the empty string:
+    the read-side ``nullValue`` is set to NUL, a value text never holds, so only
+    the parser's own "nothing here" becomes NULL. ``NA``/``null`` stay text.
+    """
     return (spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", "true")
-            .option("mode", "FAILFAST").csv(path))
+            .option("nullValue", "\u0000").option("mode", "FAILFAST").csv(path))
 
 
 def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
