@@ -35,6 +35,7 @@ _COUNTER = -2
 class NBModel:
     classes: DataFrame    # label, n_rows, n_terms, prior, per_len
     postings: DataFrame   # term, label, n_tc, weight
+    scoring: DataFrame    # term, lw: array<struct<label, weight>> incl. a counter entry (-2, 1.0)
     n_rows: int
     n_vocab: int
     alpha: float
@@ -57,14 +58,28 @@ def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "la
         rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
         .join(counts.groupBy("label").agg(F.sum("n_tc").alias("n_terms")), "label", "left")
         .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)).cast("long")))
-    n_rows = scalar(per_class.agg(F.sum("n_rows")), 0)
-    n_vocab = scalar(counts.agg(F.count_distinct("term")), 0)
     la = F.log(F.lit(float(alpha)))
+    postings = counts.withColumn("weight", F.log(F.col("n_tc") + F.lit(float(alpha))) - la)
+    scoring = scoring_table(postings)  # one row per distinct term
+    n_rows = scalar(per_class.agg(F.sum("n_rows")), 0)
+    n_vocab = scoring.count()
     classes = (per_class
                .withColumn("prior", F.log(F.col("n_rows") / F.lit(float(n_rows))))
                .withColumn("per_len", F.log(F.col("n_terms") + F.lit(float(alpha) * n_vocab)) - la))
-    postings = counts.withColumn("weight", F.log(F.col("n_tc") + F.lit(float(alpha))) - la)
-    return NBModel(classes, postings, int(n_rows), int(n_vocab), float(alpha), kind, n, normalize)
+    return NBModel(classes, postings, scoring, int(n_rows), int(n_vocab), float(alpha),
+                   kind, n, normalize)
+
+
+def scoring_table(postings: DataFrame) -> DataFrame:
+    """One row per term: its (label, weight) entries plus a counter entry, written once.
+
+    A prediction joins each known term occurrence to exactly one row here; the
+    counter entry sums to L, the row's number of known occurrences.
+    """
+    entry = F.struct(F.col("label").cast("long").alias("label"), F.col("weight").cast("double").alias("weight"))
+    counter = F.struct(F.lit(_COUNTER).cast("long").alias("label"), F.lit(1.0).alias("weight"))
+    per_term = postings.groupBy("term").agg(F.collect_list(entry).alias("lw"))
+    return cut_lineage(per_term.select("term", F.concat("lw", F.array(counter)).alias("lw")), name="nb-scoring")
 
 
 def _best_default(model: NBModel, l_max: int) -> DataFrame:
@@ -87,12 +102,9 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     """
     ids = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     occ = explode_terms(ids, ["_id"], "_text", model.kind, model.n, model.normalize)
-    counter = model.postings.select("term").distinct().select(
-        "term", F.lit(_COUNTER).cast("long").alias("label"), F.lit(1.0).alias("weight"))
-    table = model.postings.select("term", F.col("label").cast("long"), "weight").unionByName(counter)
-    table = bounded_broadcast(table, max_broadcast_rows)
-    cand = (occ.join(table, "term")
-            .groupBy("_id", "label").agg(F.sum("weight").alias("inc")))
+    table = bounded_broadcast(model.scoring, max_broadcast_rows)
+    cand = (occ.join(table, "term").select("_id", F.explode("lw").alias("e"))
+            .groupBy("_id", F.col("e.label").alias("label")).agg(F.sum("e.weight").alias("inc")))
     per_row = Window.partitionBy("_id")
     cand = (cand.withColumn("L", F.max(F.when(F.col("label") == _COUNTER, F.col("inc"))).over(per_row))
             .where(F.col("label") != _COUNTER))

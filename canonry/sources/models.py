@@ -14,6 +14,7 @@ def save_model(std: Standardizer, path: str) -> None:
     std.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     m.classes.write.mode("overwrite").parquet(f"{path}/classes")
     m.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    m.scoring.write.mode("overwrite").parquet(f"{path}/scoring")
     spark = std.vocab.sparkSession
     meta = spark.createDataFrame([(m.n_rows, m.n_vocab, m.alpha, m.kind, m.n, m.normalize)],
                                  "n_rows long, n_vocab long, alpha double, kind string, n int, normalize boolean")
@@ -25,7 +26,7 @@ def load_model(spark: SparkSession, path: str) -> Standardizer:
     meta = spark.read.schema("n_rows long, n_vocab long, alpha double, kind string, n int, normalize boolean") \
         .json(f"{path}/meta").first()
     model = NBModel(spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/postings"),
-                    meta.n_rows, meta.n_vocab, meta.alpha, meta.kind, meta.n, meta.normalize)
+                    spark.read.parquet(f"{path}/scoring"), meta.n_rows, meta.n_vocab, meta.alpha, meta.kind, meta.n, meta.normalize)
     return Standardizer(spark.read.parquet(f"{path}/vocab"), model)
 
 
