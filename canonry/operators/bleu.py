@@ -48,10 +48,15 @@ def _ngrams(tok: Column, n: int) -> Column:
     return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, max_n: int = 4,
+def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols, max_n: int = 4,
                     tokenize: str = "none") -> DataFrame:
-    """One row: sys_len, ref_len, correct_1..N, total_1..N."""
-    tok = df.select(F.monotonically_increasing_id().alias("_row"),
+    """One row: sys_len, ref_len, correct_1..N, total_1..N.
+
+    ``id_cols`` must identify a row: the hypothesis and reference n-grams of a row
+    meet by this key (a generated id would not be stable across the two branches).
+    """
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    tok = df.select(F.struct(*ids).alias("_row"),
                     _tokens(hyp_col, tokenize).alias("h"), _tokens(ref_col, tokenize).alias("r"))
     orders = F.array(*[F.lit(n) for n in range(1, max_n + 1)])
 
@@ -79,10 +84,10 @@ def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, max_n: int = 4,
     return stats.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in stats.columns])
 
 
-def corpus_bleu(df: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference", max_n: int = 4,
-                tokenize: str = "none") -> DataFrame:
+def corpus_bleu(df: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference", id_cols="row_id",
+                max_n: int = 4, tokenize: str = "none") -> DataFrame:
     """One row: bleu (0-100), brevity_penalty, sys_len, ref_len, correct_n, total_n."""
-    st = bleu_statistics(df, hyp_col, ref_col, max_n, tokenize)
+    st = bleu_statistics(df, hyp_col, ref_col, id_cols, max_n, tokenize)
     logs, zeros = [], F.lit(0)
     for n in range(1, max_n + 1):
         c, t = F.col(f"correct_{n}"), F.col(f"total_{n}")

@@ -94,8 +94,11 @@ def _best_default(model: NBModel, l_max: int) -> DataFrame:
 
 
 def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``(id, text)`` -> ``(id, label, score)``, one output row per input row.
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, keep_cols=()) -> DataFrame:
+    """``(id, text)`` -> ``(id, *keep_cols, label, score)``, one output row per input row.
+
+    ``keep_cols`` ride along the final left join, so callers need no second join
+    (and no second shuffle) to put predictions back on their rows.
 
     Exact argmax; tie -> smallest label. Model tables are broadcast only under a
     proven row bound, otherwise joined by shuffle (AQE splits hot terms).
@@ -119,14 +122,15 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
                   .persist(StorageLevel.MEMORY_AND_DISK)
     l_max = scalar(matched.agg(F.max("L")), 0)
     defaults = bounded_broadcast(_best_default(model, int(l_max)), max_broadcast_rows)
-    out = (ids.select("_id").join(matched, "_id", "left")
+    keep = [c for c in keep_cols if c != id_col]
+    out = (df.select(F.col(id_col).alias("_id"), *keep).join(matched, "_id", "left")
            .withColumn("L", F.coalesce(F.col("L").cast("long"), F.lit(0).cast("long")))
            .join(defaults, "L", "left"))
     take_default = (F.col("m").isNull()
                     | (rank_key("d_score") > rank_key("m.score"))
                     | ((rank_key("d_score") == rank_key("m.score")) & (F.col("d_label") < F.col("m.label"))))
     return out.select(
-        F.col("_id").alias(id_col),
+        F.col("_id").alias(id_col), *keep,
         F.when(take_default, F.col("d_label")).otherwise(F.col("m.label")).alias("label"),
         F.when(take_default, F.col("d_score")).otherwise(F.col("m.score")).alias("score"))
 

@@ -32,9 +32,8 @@ def fit_standardizer(train: DataFrame, text_col: str = "mention", name_col: str
 def standardize(df: DataFrame, std: Standardizer, id_col: str = "row_id", text_col: str = "text",
                 out: str = "predicted") -> DataFrame:
     """Append the predicted canonical name; every input row is kept (left join on the id)."""
-    pred = predict_labels(std.model, df.select(id_col, text_col), id_col, text_col)
-    named = decode_labels(pred, std.vocab, "label", out).select(id_col, out)
-    return df.join(named, id_col, "left")
+    pred = predict_labels(std.model, df, id_col, text_col, keep_cols=df.columns)
+    return decode_labels(pred, std.vocab, "label", out).select(*df.columns, out)
 
 
 def attach_predictions(df: DataFrame, preds: DataFrame, id_col: str = "row_id") -> DataFrame:

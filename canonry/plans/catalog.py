@@ -408,12 +408,12 @@ def _turn_pairs(spark, sf_dir):
 
 @query
 def corpus_bleu(spark, sf_dir):
-    return bleu.corpus_bleu(_turn_pairs(spark, sf_dir), "hypothesis", "reference", 4, "none")
+    return bleu.corpus_bleu(_turn_pairs(spark, sf_dir), "hypothesis", "reference", ["conv_id", "turn"], 4, "none")
 
 
 @query
 def corpus_bleu_13a(spark, sf_dir):
-    return bleu.corpus_bleu(_turn_pairs(spark, sf_dir), "hypothesis", "reference", 4, "13a")
+    return bleu.corpus_bleu(_turn_pairs(spark, sf_dir), "hypothesis", "reference", ["conv_id", "turn"], 4, "13a")
 
 
 def _translation(spark, sf_dir):

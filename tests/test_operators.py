@@ -82,7 +82,8 @@ def test_mapping_table_no_match(spark):
 
 
 def _bleu(spark, pairs):
-    df = spark.createDataFrame(pairs, "hypothesis string, reference string")
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)],
+                               "row_id long, hypothesis string, reference string")
     return bleu.corpus_bleu(df).first().bleu
 
 
