@@ -371,7 +371,7 @@ def _tfidf_sides(spark, sf_dir):
 def tfidf_nearest(spark, sf_dir):
     """TF-IDF char 3-gram nearest training mention per test mention, exact (blocked sparse)."""
     test, train, qv, tv = _tfidf_sides(spark, sf_dir)
-    nb = sim.nearest(qv, tv, qid="mention_id", tid="mention_id", sparse=True, method="blocked", block_rows=256)
+    nb = sim.nearest(qv, tv, qid="mention_id", tid="mention_id", sparse=True, method="blocked")
     return _rounded(sim.transfer_labels(nb, train, "mention_id", "entity_name", "predicted"))
 
 
