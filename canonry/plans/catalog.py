@@ -24,6 +24,14 @@ def mention_standardizer(spark: SparkSession, sf_dir: str) -> serve.Standardizer
     return serve.fit_standardizer(fx.train_mentions(spark, sf_dir), "mention", "entity_name")
 
 
+@query
+def standardize_mentions_char3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same contract with character 3-grams of the normalised mention as terms."""
+    std = serve.fit_standardizer(fx.train_mentions(spark, sf_dir), "mention", "entity_name", kind="char_ngram", n=3)
+    test = fx.test_mentions(spark, sf_dir).select("mention_id", "mention")
+    return serve.standardize(test, std, "mention_id", "mention")
+
+
 @query
 def standardize_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: noisy test mentions -> canonical names (naive Bayes on word terms)."""

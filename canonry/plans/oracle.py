@@ -39,6 +39,12 @@ from (select distinct p_name as name from part)
 """
 
 
+def grams(x: str, n: int = 3) -> str:
+    """Character n-grams; a non-empty text shorter than n is one term."""
+    return (f"case when length({x}) >= {n} then list_transform(range(1, length({x}) - {n - 2}), "
+            f"lambda i: substring({x}, i, {n})) when length({x}) > 0 then [{x}] else [] end")
+
+
 def nb_ctes(train_sql: str, test_sql: str, alpha: float = 1.0, terms: str = "word") -> str:
     """CTEs ending in ``nb_best(id, label, score)``.
 
@@ -49,6 +55,9 @@ def nb_ctes(train_sql: str, test_sql: str, alpha: float = 1.0, terms: str = "wor
     if terms == "word":
         tr_terms = f"select label, unnest(string_split({norm('text')}, ' ')) as term from nb_train"
         te_terms = f"select id, unnest(string_split({norm('text')}, ' ')) as term from nb_test"
+    elif terms == "char3":
+        tr_terms = f"select label, unnest({grams(norm('text'))}) as term from nb_train"
+        te_terms = f"select id, unnest({grams(norm('text'))}) as term from nb_test"
     else:
         raise ValueError(terms)
     a = repr(float(alpha))
@@ -97,14 +106,20 @@ vocab as ({vocab_cte('m_train')}),
 lab_train as (select t.mention as text, v.label_id as label from m_train t join vocab v using (entity_name))"""
 
 
-def standardize_sql(test_sql: str) -> str:
+def standardize_sql(test_sql: str, terms: str = "word") -> str:
     """CTEs ending in ``std(id, predicted)`` for (id, text) rows against the mention model."""
-    return mention_model_ctes() + "," + nb_ctes("select * from lab_train", test_sql) + """,
+    return mention_model_ctes() + "," + nb_ctes("select * from lab_train", test_sql, terms=terms) + """,
 std as (select b.id, v.entity_name as predicted from nb_best b left join vocab v on v.label_id = b.label)"""
 
 
 SQL: dict[str, str] = {}
 
+SQL["standardize_mentions_char3"] = "with " + standardize_sql(
+    "select mention_id as id, mention as text from m_test", terms="char3") + """
+select t.mention_id, t.mention, s.predicted
+from m_test t left join std s on s.id = t.mention_id
+"""
+
 SQL["standardize_mentions"] = "with " + standardize_sql(
     "select mention_id as id, mention as text from m_test") + """
 select t.mention_id, t.mention, s.predicted
@@ -257,11 +272,6 @@ select round(avg(case when q.label = t.label then 1.0 else 0.0 end), 9) as accur
 from top join embeddings q on q.vec_id = top.query_id join embeddings t on t.vec_id = top.neighbour_id"""
 
 
-def grams(x: str, n: int = 3) -> str:
-    return (f"case when length({x}) >= {n} then list_transform(range(1, length({x}) - {n - 2}), "
-            f"lambda i: substring({x}, i, {n})) when length({x}) > 0 then [{x}] else [] end")
-
-
 TFIDF = f"""
 m as ({MENTIONS}),
 m_train as (select * from m where split = 'train'),
