@@ -52,36 +52,31 @@ def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols, max_n: i
                     tokenize: str = "none") -> DataFrame:
     """One row: sys_len, ref_len, correct_1..N, total_1..N.
 
-    ``id_cols`` must identify a row: the hypothesis and reference n-grams of a row
-    meet by this key (a generated id would not be stable across the two branches).
+    Hypothesis and reference n-grams are tagged and counted in one aggregation keyed
+    by (row, n, gram): ``total_n`` is the hypothesis count, the lengths are the
+    unigram counts, and clipping is ``least`` of the two counts. One shuffle, map-side
+    combined, then one global partial/final sum. ``id_cols`` must identify a row.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     tok = df.select(F.struct(*ids).alias("_row"),
                     _tokens(hyp_col, tokenize).alias("h"), _tokens(ref_col, tokenize).alias("r"))
-    orders = F.array(*[F.lit(n) for n in range(1, max_n + 1)])
-
-    def grams(side):
-        g = tok.select("_row", F.explode(orders).alias("n"), side)
-        g = g.select("_row", "n", F.explode(
-            F.coalesce(*[F.when(F.col("n") == n, _ngrams(F.col(side), n)) for n in range(1, max_n + 1)])
-        ).alias("g"))
-        return g.groupBy("_row", "n", "g").agg(F.count(F.lit(1)).alias(f"c_{side}"))
-
-    clipped = (grams("h").join(grams("r"), ["_row", "n", "g"], "left")
-               .select("n", F.least(F.col("c_h"), F.coalesce(F.col("c_r"), F.lit(0))).alias("m")))
+    sides = F.array(F.struct(F.lit(True).alias("is_h"), F.col("h").alias("tok")),
+                    F.struct(F.lit(False).alias("is_h"), F.col("r").alias("tok")))
+    per_side = tok.select("_row", F.explode(sides).alias("s")).select(
+        "_row", F.col("s.is_h").alias("is_h"), F.col("s.tok").alias("tok"))
+    grams = per_side.select("_row", "is_h", F.explode(F.array(*[F.lit(n) for n in range(1, max_n + 1)])).alias("n"),
+                            "tok")
+    grams = grams.select("_row", "is_h", "n", F.explode(
+        F.coalesce(*[F.when(F.col("n") == n, _ngrams(F.col("tok"), n)) for n in range(1, max_n + 1)])).alias("g"))
+    counts = grams.groupBy("_row", "n", "g").agg(
+        F.count_if(F.col("is_h")).alias("ch"), F.count_if(~F.col("is_h")).alias("cr"))
     zero = F.lit(0).cast("long")
-    # Length rows and clipped-match rows share one schema, so one global aggregate
-    # (partial per task, one final row) yields every statistic.
-    per_row = tok.select(F.size("h").cast("long").alias("sys_len"), F.size("r").cast("long").alias("ref_len"),
-                         *[F.greatest(F.size("h") - n + 1, F.lit(0)).cast("long").alias(f"total_{n}")
-                           for n in range(1, max_n + 1)],
-                         *[zero.alias(f"correct_{n}") for n in range(1, max_n + 1)])
-    per_match = clipped.select(zero.alias("sys_len"), zero.alias("ref_len"),
-                               *[zero.alias(f"total_{n}") for n in range(1, max_n + 1)],
-                               *[F.when(F.col("n") == n, F.col("m")).otherwise(0).cast("long").alias(f"correct_{n}")
-                                 for n in range(1, max_n + 1)])
-    stats = per_row.unionByName(per_match)
-    return stats.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in stats.columns])
+    pick = lambda n, e: F.when(F.col("n") == n, e).otherwise(zero)
+    out = counts.agg(
+        F.sum(pick(1, F.col("ch"))).alias("sys_len"), F.sum(pick(1, F.col("cr"))).alias("ref_len"),
+        *[F.sum(pick(n, F.col("ch"))).alias(f"total_{n}") for n in range(1, max_n + 1)],
+        *[F.sum(pick(n, F.least("ch", "cr"))).alias(f"correct_{n}") for n in range(1, max_n + 1)])
+    return out.select(*[F.coalesce(F.col(c), zero).cast("long").alias(c) for c in out.columns])
 
 
 def corpus_bleu(df: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference", id_cols="row_id",
