@@ -81,3 +81,23 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, on_missing: str =
         quarantined = joined.where(F.col("_found").isNull()).drop("_lk_name", "_found")
         return resolved, quarantined
     raise ValueError(f"on_missing must be 'fail' or 'quarantine', not {on_missing!r}")
+
+
+def to_classification_rows(df: DataFrame, vocab: DataFrame, id_col: str = "mention_id",
+                           text_col: str = "mention", name_col: str = "entity_name") -> DataFrame:
+    """(id, text = normalised mention, label = vocabulary id or -1)."""
+    from canonry.functions.text import normalize_text
+    rows = df.select(id_col, normalize_text(text_col).alias("text"), name_col)
+    return encode_labels(rows, vocab, name_col, "label").drop(name_col)
+
+
+def to_seq_rows(df: DataFrame, id_col: str = "mention_id", text_col: str = "mention",
+                name_col: str = "entity_name") -> DataFrame:
+    """(id, input = normalised mention, output = canonical name as is)."""
+    from canonry.functions.text import normalize_text
+    return df.select(id_col, normalize_text(text_col).alias("input"), F.col(name_col).alias("output"))
+
+
+def mentions_of(df: DataFrame, col: str = "mention") -> DataFrame:
+    """The one-column projection the original pulls into a list; here it stays distributed."""
+    return df.select(col)

@@ -91,15 +91,12 @@ def uncovered_classes(spark, sf_dir):
 
 @query
 def classification_rows(spark, sf_dir):
-    rows = fx.mentions(spark, sf_dir).select(
-        "mention_id", normalize_text("mention").alias("text"), "entity_name")
-    return labels.encode_labels(rows, _vocab(spark, sf_dir), "entity_name", "label").drop("entity_name")
+    return labels.to_classification_rows(fx.mentions(spark, sf_dir), _vocab(spark, sf_dir))
 
 
 @query
 def seq_rows(spark, sf_dir):
-    return fx.mentions(spark, sf_dir).select(
-        "mention_id", normalize_text("mention").alias("input"), F.col("entity_name").alias("output"))
+    return labels.to_seq_rows(fx.mentions(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- text
@@ -290,6 +287,12 @@ def nb_evaluate(spark, sf_dir):
     return metrics.classification_metrics(pairs, "y", "p")
 
 
+@query
+def nb_report(spark, sf_dir):
+    """Evaluation report of the language model: rule line, then the four metrics."""
+    return metrics.metrics_report(nb_evaluate(spark, sf_dir))
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     """Save the language model, load it from its explicit path, predict: equals nb_predict."""
@@ -323,6 +326,15 @@ def _rounded(df):
     return df.withColumn("score", F.round("score", 6))
 
 
+@query
+def cosine_consecutive(spark, sf_dir):
+    """Cosine expression (no UDF) between each embedding and the next id: an equi-join, not all pairs."""
+    from canonry.functions.vectors import cosine
+    e = fx.table(spark, sf_dir, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_embedding"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(cosine("embedding", "next_embedding"), 6).alias("cosine"))
+
+
 @query
 def cosine_top1(spark, sf_dir):
     """Exact top-1 cosine neighbour (target side broadcast after a size check)."""

@@ -432,3 +432,13 @@ from m_test t left join std s on s.id = t.mention_id group by t.mention_id // 10
 
 SQL["standardize_stream"] = "with " + _DOCS + nb_ctes("select * from lab_docs", "select doc_id as id, text from documents") + """
 select b.id as doc_id, b.label, v.lang as predicted from nb_best b left join lvocab v on v.label_id = b.label"""
+
+SQL["nb_report"] = _DOC_NB + "," + metrics_sql("""
+select coalesce(v.label_id, -1) as y, b.label as p
+from d_test t left join lvocab v using (lang) join nb_best b on b.id = t.doc_id""") + REPORT_SQL
+SQL["cosine_consecutive"] = """
+select a.vec_id,
+       round(list_dot_product(a.embedding::double[], b.embedding::double[])
+             / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]))
+                * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) + 1e-8), 6) as cosine
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"""
