@@ -60,3 +60,16 @@ def test_split_whitespace_like_python(spark):
     texts = ["a b  c", "   ", "x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(T.split_whitespace("t")).collect()] == [t.split() for t in texts]
+
+
+def test_whitespace_classes_equal_python_and_js_on_every_code_point(spark):
+    """The explicit classes match exactly Python's isspace set and JS trim's set."""
+    js = {0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+          0x202F, 0x205F, 0x3000, 0xFEFF}
+    rows = (spark.createDataFrame([(c, chr(c)) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF],
+                                  "cp int, c string")
+            .select("cp", F.col("c").rlike("(?U)^" + T.PY_WHITESPACE + "$").alias("py"),
+                    F.col("c").rlike("^" + T.JS_TRIM_CLASS + "$").alias("js"))
+            .where(F.col("py") | F.col("js")).collect())
+    assert {r.cp for r in rows if r.py} == {c for c in range(0x110000) if chr(c).isspace()}
+    assert {r.cp for r in rows if r.js} == js
