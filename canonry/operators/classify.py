@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 
 from canonry.functions.text import explode_terms
 from canonry.operators.ranking import rank_key
-from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, scalar
+from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, broadcast_if, note_rows
 from canonry.session import cut_lineage
 
 # Pseudo label of the per-term counter row used to count known occurrences.
@@ -51,33 +51,42 @@ def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "la
     rows = df.select(F.col(label_col).alias("label"), F.col(text_col).alias("_text")) \
              .where(F.col("label").isNotNull() & (F.col("label") >= 0))
     terms = explode_terms(rows, ["label"], "_text", kind, n, normalize)
-    # The model tables are written once (reliable checkpoint): size checks, scalars and
-    # every later prediction read them instead of re-running the training aggregation.
-    counts = cut_lineage(terms.groupBy("term", "label").agg(F.count(F.lit(1)).alias("n_tc")))
+    counts = terms.groupBy("term", "label").agg(F.count(F.lit(1)).alias("n_tc"))
+    la = F.log(F.lit(float(alpha)))
+    # The scoring table (one row per term) is the one written copy of the term counts:
+    # size checks, the class totals and every later prediction read it instead of
+    # re-running the tokenising aggregation.
+    scoring = scoring_table(counts.withColumn("weight", F.log(F.col("n_tc") + F.lit(float(alpha))) - la))
+    postings = (scoring.select("term", F.explode("lw").alias("e")).where(F.col("e.label") != _COUNTER)
+                .select("term", F.col("e.label").alias("label"), F.col("e.n_tc").alias("n_tc"),
+                        F.col("e.weight").alias("weight")))
     per_class = cut_lineage(
         rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
-        .join(counts.groupBy("label").agg(F.sum("n_tc").alias("n_terms")), "label", "left")
-        .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)).cast("long")))
-    la = F.log(F.lit(float(alpha)))
-    postings = counts.withColumn("weight", F.log(F.col("n_tc") + F.lit(float(alpha))) - la)
-    scoring = scoring_table(postings)  # one row per distinct term
-    n_rows = scalar(per_class.agg(F.sum("n_rows")), 0)
+        .join(postings.groupBy("label").agg(F.sum("n_tc").alias("n_terms")), "label", "left")
+        .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)).cast("long")), name="nb-classes")
+    totals = per_class.agg(F.sum("n_rows"), F.count(F.lit(1))).first()
+    n_rows, n_classes = int(totals[0] or 0), int(totals[1])
     n_vocab = scoring.count()
-    classes = (per_class
-               .withColumn("prior", F.log(F.col("n_rows") / F.lit(float(n_rows))))
-               .withColumn("per_len", F.log(F.col("n_terms") + F.lit(float(alpha) * n_vocab)) - la))
+    note_rows(scoring, n_vocab)
+    classes = note_rows(per_class
+                        .withColumn("prior", F.log(F.col("n_rows") / F.lit(float(n_rows))))
+                        .withColumn("per_len", F.log(F.col("n_terms") + F.lit(float(alpha) * n_vocab)) - la),
+                        n_classes)
     return NBModel(classes, postings, scoring, int(n_rows), int(n_vocab), float(alpha),
                    kind, n, normalize)
 
 
 def scoring_table(postings: DataFrame) -> DataFrame:
-    """One row per term: its (label, weight) entries plus a counter entry, written once.
+    """One row per term: its (label, weight, n_tc) entries plus a counter entry, written once.
 
     A prediction joins each known term occurrence to exactly one row here; the
-    counter entry sums to L, the row's number of known occurrences.
+    counter entry sums to L, the row's number of known occurrences. A term's list
+    holds at most one entry per class.
     """
-    entry = F.struct(F.col("label").cast("long").alias("label"), F.col("weight").cast("double").alias("weight"))
-    counter = F.struct(F.lit(_COUNTER).cast("long").alias("label"), F.lit(1.0).alias("weight"))
+    entry = F.struct(F.col("label").cast("long").alias("label"), F.col("weight").cast("double").alias("weight"),
+                     F.col("n_tc").cast("long").alias("n_tc"))
+    counter = F.struct(F.lit(_COUNTER).cast("long").alias("label"), F.lit(1.0).alias("weight"),
+                       F.lit(0).cast("long").alias("n_tc"))
     per_term = postings.groupBy("term").agg(F.collect_list(entry).alias("lw"))
     return cut_lineage(per_term.select("term", F.concat("lw", F.array(counter)).alias("lw")), name="nb-scoring")
 
@@ -111,8 +120,8 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     per_row = Window.partitionBy("_id")
     cand = (cand.withColumn("L", F.max(F.when(F.col("label") == _COUNTER, F.col("inc"))).over(per_row))
             .where(F.col("label") != _COUNTER))
-    classes = bounded_broadcast(model.classes.select(F.col("label").cast("long"), "prior", "per_len"),
-                                max_broadcast_rows)
+    classes = broadcast_if(model.classes.select(F.col("label").cast("long"), "prior", "per_len"),
+                           model.classes, max_broadcast_rows)
     cand = cand.join(classes, "label").withColumn(
         "score", F.col("prior") - F.col("L") * F.col("per_len") + F.col("inc"))
     best = F.max_by(F.struct(F.col("label"), F.col("score")), F.struct(rank_key("score"), -F.col("label")))
@@ -120,8 +129,8 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     # l_max and producing the output run the term join once.
     matched = cand.groupBy("_id").agg(best.alias("m"), F.max("L").alias("L")) \
                   .persist(StorageLevel.MEMORY_AND_DISK)
-    l_max = scalar(matched.agg(F.max("L")), 0)
-    defaults = bounded_broadcast(_best_default(model, int(l_max)), max_broadcast_rows)
+    l_max = int(matched.agg(F.max("L")).first()[0] or 0)
+    defaults = bounded_broadcast(note_rows(_best_default(model, l_max), l_max + 1), max_broadcast_rows)
     keep = [c for c in keep_cols if c != id_col]
     out = (df.select(F.col(id_col).alias("_id"), *keep).join(matched, "_id", "left")
            .withColumn("L", F.coalesce(F.col("L").cast("long"), F.lit(0).cast("long")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonry.operators.ranking import dense_index
-from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, broadcast_if
 
 UNKNOWN_LABEL = -1
 
@@ -24,8 +24,8 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
 def encode_labels(df: DataFrame, vocab: DataFrame, name_col: str = "entity_name",
                   out: str = "label", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Name -> label id; a name outside the vocabulary (or NULL) becomes -1."""
-    v = bounded_broadcast(vocab.select(F.col("entity_name").alias("_enc_name"),
-                                       F.col("label_id").alias("_enc_id")), max_broadcast_rows)
+    v = broadcast_if(vocab.select(F.col("entity_name").alias("_enc_name"), F.col("label_id").alias("_enc_id")),
+                     vocab, max_broadcast_rows)
     return (df.join(v, F.col(name_col) == F.col("_enc_name"), "left")
             .withColumn(out, F.coalesce(F.col("_enc_id"), F.lit(UNKNOWN_LABEL)).cast("long"))
             .drop("_enc_name", "_enc_id"))
@@ -34,8 +34,8 @@ def encode_labels(df: DataFrame, vocab: DataFrame, name_col: str = "entity_name"
 def decode_labels(df: DataFrame, vocab: DataFrame, id_col: str = "label",
                   out: str = "entity_name", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Label id -> name (NULL for -1 or an unknown id)."""
-    v = bounded_broadcast(vocab.select(F.col("label_id").alias("_dec_id"),
-                                       F.col("entity_name").alias(out)), max_broadcast_rows)
+    v = broadcast_if(vocab.select(F.col("label_id").alias("_dec_id"), F.col("entity_name").alias(out)),
+                     vocab, max_broadcast_rows)
     return df.join(v, F.col(id_col) == F.col("_dec_id"), "left").drop("_dec_id")
 
 

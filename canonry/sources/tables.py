@@ -37,8 +37,26 @@ def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwr
     w.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, spread_input: bool = False) -> DataFrame:
+    df = spark.read.parquet(path)
+    return spread(df) if spread_input else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split input over the cluster's cores.
+
+    A file that is a single Parquet row group is one split, so every stage up to the
+    first shuffle (tokenising, n-grams, partial aggregation, scoring) would run as one
+    task on one core. When the scan yields fewer partitions than the default
+    parallelism, rows are redistributed round-robin (one shuffle of a small input;
+    deterministic on retry because Spark sorts each partition before a round-robin
+    repartition). An input with at least that many splits, which is every large
+    input, is returned unchanged: no extra shuffle at scale. Planning only, no job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
 
 
 def from_texts(spark: SparkSession, texts) -> DataFrame:
