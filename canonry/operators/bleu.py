@@ -42,12 +42,6 @@ def _tokens(col, tokenize: str) -> Column:
     raise ValueError(f"tokenize must be 'none' or '13a', not {tokenize!r}")
 
 
-def _ngrams(tok: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(0), F.size(tok) - n),
-                        lambda i: F.array_join(F.slice(tok, i + 1, n), " "))
-    return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
 def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols, max_n: int = 4,
                     tokenize: str = "none") -> DataFrame:
     """One row: sys_len, ref_len, correct_1..N, total_1..N.
@@ -56,19 +50,22 @@ def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols, max_n: i
     by (row, n, gram): ``total_n`` is the hypothesis count, the lengths are the
     unigram counts, and clipping is ``least`` of the two counts. One shuffle, map-side
     combined, then one global partial/final sum. ``id_cols`` must identify a row.
+
+    N-grams come from generators and array expressions that stay in whole-stage
+    codegen: ``posexplode`` of the tokens, ``explode(sequence(1, min(N, len - pos)))``
+    for the orders that fit from that position, then ``array_join(slice(..))``.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    tok = df.select(F.struct(*ids).alias("_row"),
-                    _tokens(hyp_col, tokenize).alias("h"), _tokens(ref_col, tokenize).alias("r"))
+    tok = df.select(*ids, _tokens(hyp_col, tokenize).alias("h"), _tokens(ref_col, tokenize).alias("r"))
     sides = F.array(F.struct(F.lit(True).alias("is_h"), F.col("h").alias("tok")),
                     F.struct(F.lit(False).alias("is_h"), F.col("r").alias("tok")))
-    per_side = tok.select("_row", F.explode(sides).alias("s")).select(
-        "_row", F.col("s.is_h").alias("is_h"), F.col("s.tok").alias("tok"))
-    grams = per_side.select("_row", "is_h", F.explode(F.array(*[F.lit(n) for n in range(1, max_n + 1)])).alias("n"),
-                            "tok")
-    grams = grams.select("_row", "is_h", "n", F.explode(
-        F.coalesce(*[F.when(F.col("n") == n, _ngrams(F.col("tok"), n)) for n in range(1, max_n + 1)])).alias("g"))
-    counts = grams.groupBy("_row", "n", "g").agg(
+    per_side = tok.select(*ids, F.inline(sides))
+    starts = per_side.select(*ids, "is_h", "tok", F.posexplode("tok").alias("pos", "_w"))
+    orders = starts.select(*ids, "is_h", "tok", "pos", F.explode(
+        F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("tok") - F.col("pos")))).alias("n"))
+    grams = orders.select(*ids, "is_h", "n",
+                          F.array_join(F.slice("tok", F.col("pos") + 1, F.col("n")), " ").alias("g"))
+    counts = grams.groupBy(*ids, "n", "g").agg(
         F.count_if(F.col("is_h")).alias("ch"), F.count_if(~F.col("is_h")).alias("cr"))
     zero = F.lit(0).cast("long")
     pick = lambda n, e: F.when(F.col("n") == n, e).otherwise(zero)
