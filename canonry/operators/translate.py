@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from canonry.functions.text import explode_terms, split_whitespace
 from canonry.operators.ranking import rank_key
-from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast
-from canonry.session import cut_lineage
+from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, row_bound_ok
+from canonry.session import cut_lineage, cut_lineage_bucketed
 
 # Decoding defaults.
 DEFAULT_MIN_P = 0.5
@@ -39,18 +39,27 @@ def alignment_rows(df: DataFrame, id_col: str, src_col: str, tgt_col: str) -> Da
 
 def train_translation(df: DataFrame, id_col: str = "row_id", src_col: str = "input", tgt_col: str = "output",
                       iterations: int = 5, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """(s, t, p) with p = t(t | s) after ``iterations`` EM steps from a uniform start."""
-    rows = cut_lineage(alignment_rows(df, id_col, src_col, tgt_col))
-    table = cut_lineage(rows.select("s", "t").distinct().withColumn("p", F.lit(1.0)))
+    """(s, t, p) with p = t(t | s) after ``iterations`` EM steps from a uniform start.
+
+    The alignment rows are written once, bucketed by row: each iteration's E-step
+    window over (row, t) then reads its bucket in place (no exchange), and the only
+    shuffle per iteration is the partially aggregated (s, t) sum. The (s, t) table
+    has the same rows in every iteration, so its size is checked once; the per-s
+    totals have no more rows than it.
+    """
+    rows = cut_lineage_bucketed(alignment_rows(df, id_col, src_col, tgt_col), "row", name="ibm1-rows")
+    table = cut_lineage(rows.select("s", "t").distinct().withColumn("p", F.lit(1.0)), name="ibm1-table")
+    small = row_bound_ok(table, max_broadcast_rows)
+    side = F.broadcast if small else (lambda x: x)
     per_row_target = Window.partitionBy("row", "t")
     for _ in range(iterations):
-        j = rows.join(bounded_broadcast(table, max_broadcast_rows), ["s", "t"])
+        j = rows.join(side(table), ["s", "t"])
         j = j.withColumn("w", F.col("ms") * F.col("p"))
         j = j.withColumn("c", F.col("w") / F.sum("w").over(per_row_target) * F.col("mt"))
         counts = j.groupBy("s", "t").agg(F.sum("c").alias("c"))
         totals = counts.groupBy("s").agg(F.sum("c").alias("cs"))
-        table = cut_lineage(counts.join(bounded_broadcast(totals, max_broadcast_rows), "s")
-                            .select("s", "t", (F.col("c") / F.col("cs")).alias("p")))
+        table = cut_lineage(counts.join(side(totals), "s")
+                            .select("s", "t", (F.col("c") / F.col("cs")).alias("p")), name="ibm1-table")
     return table
 
 

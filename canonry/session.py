@@ -75,3 +75,22 @@ def cut_lineage(df, spark: SparkSession | None = None, name: str = "table"):
 
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
+
+
+def cut_lineage_bucketed(df, cols, n_buckets: int | None = None, spark: SparkSession | None = None,
+                         name: str = "table"):
+    """Like ``cut_lineage``, written as a table bucketed by ``cols``.
+
+    Reading it back keeps the hash partitioning, so every later aggregation or
+    window keyed by (a superset of) ``cols`` runs without an exchange: a table read
+    once per iteration of an algorithm is shuffled once, when written. The table is
+    external (files under the shared checkpoint folder), registered under a unique
+    name in the session catalog.
+    """
+    spark = spark or df.sparkSession
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"canonry_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.mode("overwrite").bucketBy(n, *cols).option("path", path).saveAsTable(table)
+    return spark.table(table)
