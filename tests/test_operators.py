@@ -139,3 +139,27 @@ def test_naive_bayes_matches_brute_force(spark):
             if best is None or round(s, 9) > round(best[0], 9):
                 best = (s, c)
         assert got[i] == best[1], (t, got[i], best)
+
+
+def test_sparse_kernel_chunks_vocabulary_like_a_plain_dot_product(monkeypatch):
+    """Column-chunked sparse scores equal the dot product of the rows, unknown terms add nothing."""
+    import random
+
+    import numpy as np
+
+    from canonry.operators import similarity as sim
+    rnd = random.Random(3)
+    vocab = [f"t{i}" for i in range(50)]
+
+    def rows(n):
+        out = []
+        for _ in range(n):
+            terms = sorted(rnd.sample(vocab, rnd.randrange(0, 8)))
+            out.append((terms, [rnd.random() for _ in terms]))
+        return out
+
+    q, t = rows(9), rows(7)
+    monkeypatch.setattr(sim, "SPARSE_COLS", 4)
+    got = sim._sparse_scores([r[0] for r in q], [r[1] for r in q], [r[0] for r in t], [r[1] for r in t])
+    want = np.array([[sum(w * dict(zip(*b)).get(term, 0.0) for term, w in zip(*a)) for b in t] for a in q])
+    assert np.allclose(got, want)
