@@ -163,3 +163,58 @@ def test_sparse_kernel_chunks_vocabulary_like_a_plain_dot_product(monkeypatch):
     got = sim._sparse_scores([r[0] for r in q], [r[1] for r in q], [r[0] for r in t], [r[1] for r in t])
     want = np.array([[sum(w * dict(zip(*b)).get(term, 0.0) for term, w in zip(*a)) for b in t] for a in q])
     assert np.allclose(got, want)
+
+
+def test_tokenize_13a_literals(spark):
+    from canonry.operators.bleu import _tokens
+    df = spark.createDataFrame([("Hello, world.",), ("pi is 3.5",), ("$10-20 &amp; more",)], "t string")
+    got = [r[0] for r in df.select(_tokens("t", "13a")).collect()]
+    assert got == [["Hello", ",", "world", "."], ["pi", "is", "3.5"], ["$", "10", "-", "20", "&", "more"]]
+
+
+def test_replace_sentinel_and_attach_predictions(spark):
+    from canonry.functions.arrays import replace_sentinel
+    from canonry.operators.serve import attach_predictions
+    df = spark.createDataFrame([(1, [5, -100, 7]), (2, [])], "row_id long, ids array<int>")
+    got = {r.row_id: r.x for r in df.select("row_id", replace_sentinel("ids", -100, 0).alias("x")).collect()}
+    assert got == {1: [5, 0, 7], 2: []}
+    preds = spark.createDataFrame([(1, "a")], "row_id long, predicted string")
+    rows = attach_predictions(df.select("row_id"), preds).orderBy("row_id").collect()
+    assert [(r.row_id, r.predicted) for r in rows] == [(1, "a"), (2, None)]
+
+
+def test_spread_only_when_under_split(spark):
+    from canonry.sources.tables import spread
+    one = spark.range(100).coalesce(1)
+    target = spark.sparkContext.defaultParallelism
+    if target > 1:
+        assert spread(one).rdd.getNumPartitions() == target
+        assert sorted(r.id for r in spread(one).collect()) == list(range(100))
+    many = spark.range(0, 100, 1, max(target, 2))
+    assert spread(many) is many
+
+
+def test_size_proofs_are_remembered_and_notes_are_used(spark):
+    from canonry.operators import sizing
+    df = spark.range(10)
+    assert sizing.row_bound_ok(df, 10) and not sizing.row_bound_ok(df, 9)
+    assert sizing._KNOWN[df] == (True, 10)
+    big = spark.range(50)
+    assert not sizing.row_bound_ok(big, 20)
+    assert not sizing.row_bound_ok(big, 5)          # "more than 20" answers this without a count
+    noted = sizing.note_rows(spark.range(3), 3)
+    assert sizing.row_bound_ok(noted, 3) and not sizing.row_bound_ok(noted, 2)
+
+
+def test_bucketed_lineage_cut_feeds_a_window_without_exchange(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from canonry.session import cut_lineage_bucketed
+    df = spark.range(200).select((F.col("id") % 17).alias("row"), (F.col("id") % 5).alias("t"), F.col("id").alias("v"))
+    b = cut_lineage_bucketed(df, "row", n_buckets=4, name="test-bucketed")
+    w = b.withColumn("s", F.sum("v").over(Window.partitionBy("row", "t")))
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert sorted(map(tuple, w.select("row", "t", "v", "s").collect())) == sorted(
+        map(tuple, df.withColumn("s", F.sum("v").over(Window.partitionBy("row", "t"))).collect()))
