@@ -14,15 +14,15 @@ from canonry.operators.sizing import bounded_broadcast
 from canonry.sources.tables import read_table
 
 
-# Tables whose rows carry long free text: the stages after their scan are CPU-heavy
-# (tokenising, n-grams, line splitting), so an under-split file is spread over the cores.
-# The short-row tables are cheaper to process in place than to shuffle.
-TEXT_TABLES = frozenset({"documents", "conversations", "pages"})
+# Tables whose rows carry long free text, with their row ids: the stages after their
+# scan are CPU-heavy (tokenising, n-grams, line splitting), so an under-split file is
+# spread over the cores by its id. Short-row tables are cheaper to process in place.
+TEXT_TABLES = {"documents": ["doc_id"], "conversations": ["conv_id"], "pages": ["page_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; a text table is spread over the cores when its file is one split."""
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread_input=name in TEXT_TABLES)
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", TEXT_TABLES.get(name))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

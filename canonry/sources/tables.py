@@ -37,29 +37,27 @@ def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwr
     w.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, spread_input: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by=None) -> DataFrame:
+    """Parquet table; ``spread_by`` (a list of id columns, possibly empty) spreads an
+    under-split file over the cores (see ``spread``)."""
     df = spark.read.parquet(path)
-    return spread(df) if spread_input else df
+    return df if spread_by is None else spread(df, spread_by)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, by=(), min_partitions: int | None = None) -> DataFrame:
     """Spread an under-split input over the cluster's cores.
 
     A file that is a single Parquet row group is one split, so every stage up to the
     first shuffle (tokenising, n-grams, partial aggregation, scoring) would run as one
     task on one core. When the scan yields fewer partitions than the default
-    parallelism, rows are redistributed round-robin (one shuffle of a small input;
-    deterministic on retry because Spark sorts each partition before a round-robin
-    repartition). An input with at least that many splits, which is every large
-    input, is returned unchanged: no extra shuffle at scale. Planning only, no job.
+    parallelism, rows are hash-partitioned by the row id columns ``by`` (round-robin
+    when none is given). Hashing the id is deterministic on retry without a sort, and
+    it is reused downstream: an aggregation or window keyed by the id plus other
+    columns (terms of a document, n-grams of a row) then needs no exchange.
+    An input with at least that many splits, which is every large input, is returned
+    unchanged: no extra shuffle at scale. Planning only, no job.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
-
-
-def from_texts(spark: SparkSession, texts) -> DataFrame:
-    """An in-memory list of strings -> (row_id, text). For small request-sized inputs."""
-    schema = StructType([StructField("row_id", LongType(), False), StructField("text", StringType(), True)])
-    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], schema)
+    return df.repartition(target, *by) if by else df.repartition(target)
