@@ -381,7 +381,7 @@ def _tfidf_sides(spark, sf_dir):
     """Raw mentions (no normalisation on the neighbour path), char 3-grams, IDF fitted on train."""
     m = fx.mentions(spark, sf_dir)
     train, test = m.where(F.col("split") == "train"), m.where(F.col("split") == "test")
-    ttf = sim.tfidf_terms(train, "mention_id", "mention", "char_ngram", 3, normalize=False)
+    ttf = sim.tfidf_terms(train, "mention_id", "mention", "char_ngram", 3, normalize=False, materialize=True)
     qtf = sim.tfidf_terms(test, "mention_id", "mention", "char_ngram", 3, normalize=False)
     idf = sim.tfidf_fit(ttf)
     return test, train, sim.tfidf_rows(qtf, idf, "mention_id"), sim.tfidf_rows(ttf, idf, "mention_id")
