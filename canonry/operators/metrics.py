@@ -40,12 +40,14 @@ def confusion(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def classification_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: accuracy and support-weighted precision, recall, F1 (zero_division = 0)."""
     conf = confusion(df, y, p)
-    as_true = conf.select(F.col("y").alias("c"), F.col("n").alias("support"),
-                          F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"),
-                          F.lit(0).cast("long").alias("pred"))
-    as_pred = conf.select(F.col("p").alias("c"), F.lit(0).cast("long").alias("support"),
-                          F.lit(0).cast("long").alias("tp"), F.col("n").alias("pred"))
-    per = (as_true.unionByName(as_pred).groupBy("c")
+    # Each confusion cell counts once as its true class and once as its predicted class:
+    # one explode of two roles, so the predictions under ``conf`` are evaluated once.
+    zero = F.lit(0).cast("long")
+    roles = F.array(
+        F.struct(F.col("y").alias("c"), F.col("n").alias("support"),
+                 F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero).alias("tp"), zero.alias("pred")),
+        F.struct(F.col("p").alias("c"), zero.alias("support"), zero.alias("tp"), F.col("n").alias("pred")))
+    per = (conf.select(F.inline(roles)).groupBy("c")
            .agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("pred").alias("pred")))
     prec = F.when(F.col("pred") > 0, F.col("tp") / F.col("pred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
