@@ -138,10 +138,22 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     take_default = (F.col("m").isNull()
                     | (rank_key("d_score") > rank_key("m.score"))
                     | ((rank_key("d_score") == rank_key("m.score")) & (F.col("d_label") < F.col("m.label"))))
-    return out.select(
+    result = out.select(
         F.col("_id").alias(id_col), *keep,
         F.when(take_default, F.col("d_label")).otherwise(F.col("m.label")).alias("label"),
         F.when(take_default, F.col("d_score")).otherwise(F.col("m.score")).alias("score"))
+    result._canonry_cached = [matched]
+    return result
+
+
+def release(pred: DataFrame) -> None:
+    """Unpersist what ``predict_labels`` kept for ``pred``; call once its output is written.
+
+    Long-running callers (a stream scoring every micro-batch) use it so cached
+    blocks do not pile up on the executors.
+    """
+    for part in getattr(pred, "_canonry_cached", ()):
+        part.unpersist()
 
 
 def train_lr(df: DataFrame, text_col: str = "text", label_col: str = "label",

@@ -218,3 +218,14 @@ def test_bucketed_lineage_cut_feeds_a_window_without_exchange(spark):
     assert "Exchange" not in plan
     assert sorted(map(tuple, w.select("row", "t", "v", "s").collect())) == sorted(
         map(tuple, df.withColumn("s", F.sum("v").over(Window.partitionBy("row", "t"))).collect()))
+
+
+def test_release_unpersists_prediction_cache(spark):
+    train = spark.createDataFrame([("red apple", 0), ("green pear", 1)], "text string, label long")
+    model = classify.train_classifier(train, "text", "label")
+    pred = classify.predict_labels(model, spark.createDataFrame([(1, "apple")], "id long, text string"), "id", "text")
+    assert [r.label for r in pred.collect()] == [0]
+    cached = pred._canonry_cached
+    assert all(c.storageLevel.useMemory or c.storageLevel.useDisk for c in cached)
+    classify.release(pred)
+    assert all(not (c.storageLevel.useMemory or c.storageLevel.useDisk) for c in cached)
