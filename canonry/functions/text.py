@@ -113,6 +113,16 @@ def explode_terms(df, keep_cols, text_col: str, kind: str = "word", n: int = 3,
     whole-stage codegen.
     """
     keep = [F.col(c) if isinstance(c, str) else c for c in keep_cols]
+    if kind == "char_ngram":
+        # One generated row per start position, the n-gram cut with substring: no
+        # per-row array of n-grams and no lambda. A non-empty text shorter than n is
+        # one term; an empty (or NULL) text generates nothing.
+        c = normalize_text(text_col) if normalize else F.col(text_col)
+        starts = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))))
+        gen = df.select(*keep, c.alias("_txt"), F.posexplode(starts).alias("pos", "_start"))
+        kept = gen.columns[:len(keep)]
+        return gen.select(*kept, *(["pos"] if with_pos else []),
+                          F.substring(F.col("_txt"), F.col("_start"), n).alias(term_col))
     if kind == "word":
         base = F.lower(F.col(text_col)) if normalize else F.col(text_col)
         arr = F.split(base, _WS_RUN, -1)

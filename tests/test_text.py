@@ -73,3 +73,17 @@ def test_whitespace_classes_equal_python_and_js_on_every_code_point(spark):
             .where(F.col("py") | F.col("js")).collect())
     assert {r.cp for r in rows if r.py} == {c for c in range(0x110000) if chr(c).isspace()}
     assert {r.cp for r in rows if r.js} == js
+
+
+def test_exploded_char_ngrams_equal_the_array_form(spark):
+    texts = ["abcd", "ab", "", None, "  Héllo\tWorld ", "x", "ab𝔘cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for normalize in (False, True):
+        got = {}
+        for r in T.explode_terms(df, [F.col("id").alias("_id")], "t", "char_ngram", 3, normalize,
+                                 with_pos=True).collect():
+            got.setdefault(r._id, []).append((r.pos, r.term))
+        arrays = {r.id: r.g for r in df.select("id", T.tokenize_terms("t", "char_ngram", 3, normalize).alias("g"))
+                  .collect()}
+        for i in range(len(texts)):
+            assert [g for _, g in sorted(got.get(i, []))] == (arrays[i] or []), (normalize, texts[i])
