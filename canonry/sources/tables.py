@@ -44,6 +44,10 @@ def read_table(spark: SparkSession, path: str, spread_by=None) -> DataFrame:
     return df if spread_by is None else spread(df, spread_by)
 
 
+# A scan with this many splits (or as many as the cores, if fewer) counts as parallel.
+SPREAD_BELOW = 32
+
+
 def spread(df: DataFrame, by=(), min_partitions: int | None = None) -> DataFrame:
     """Spread an under-split input over the cluster's cores.
 
@@ -54,13 +58,15 @@ def spread(df: DataFrame, by=(), min_partitions: int | None = None) -> DataFrame
     when none is given). Hashing the id is deterministic on retry without a sort, and
     it is reused downstream: an aggregation or window keyed by the id plus other
     columns (terms of a document, n-grams of a row) then needs no exchange.
-    An input with at least that many splits, which is every large input, is returned
-    unchanged: no extra shuffle at scale. Planning only, no job.
+    A scan with at least ``min(parallelism, SPREAD_BELOW)`` splits is left unchanged:
+    it already runs as many tasks, so a large input on a large cluster (thousands of
+    splits, perhaps still fewer than the cores) is never reshuffled. Planning only, no job.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    threshold = min_partitions or min(parallelism, SPREAD_BELOW)
+    if df.rdd.getNumPartitions() >= threshold:
         return df
-    return df.repartition(target, *by) if by else df.repartition(target)
+    return df.repartition(parallelism, *by) if by else df.repartition(parallelism)
 
 
 def from_texts(spark: SparkSession, texts) -> DataFrame:
