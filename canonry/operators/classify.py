@@ -8,8 +8,9 @@ occurrences the score of class ``c`` is
 
 The last sum runs only over postings with ``n_tc > 0`` (the join). A class that
 shares no term with the row keeps its first two addends, which depend only on
-``(c, L)``: the best such class per ``L`` comes from a small table over
-``L = 0..Lmax`` built with a partial aggregate, so the argmax is exact without
+``(c, L)``: the best such class per ``L`` comes from a small table over the
+lengths that occur (at most one per count up to the longest text), built with a
+partial aggregate, so the argmax is exact without
 pairing every row with every class.
 """
 
@@ -91,10 +92,10 @@ def scoring_table(postings: DataFrame) -> DataFrame:
     return cut_lineage(per_term.select("term", F.concat("lw", F.array(counter)).alias("lw")), name="nb-scoring")
 
 
-def _best_default(model: NBModel, l_max: int) -> DataFrame:
-    """For L = 0..l_max: the class with the best score among classes matching no term."""
+def _best_default(model: NBModel, lengths) -> DataFrame:
+    """For each L in ``lengths``: the class with the best score among classes matching no term."""
     per = (model.classes
-           .select("label", "prior", "per_len", F.explode(F.sequence(F.lit(0), F.lit(int(l_max)))).alias("L"))
+           .select("label", "prior", "per_len", F.explode(F.lit(sorted(int(x) for x in lengths))).alias("L"))
            .withColumn("score", F.col("prior") - F.col("L") * F.col("per_len")))
     best = F.max_by(F.struct(F.col("label"), F.col("score")),
                     F.struct(rank_key("score"), -F.col("label")))
@@ -126,11 +127,13 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
         "score", F.col("prior") - F.col("L") * F.col("per_len") + F.col("inc"))
     best = F.max_by(F.struct(F.col("label"), F.col("score")), F.struct(rank_key("score"), -F.col("label")))
     # One row per scored input row; kept (memory, spilling to disk) so that reading
-    # l_max and producing the output run the term join once.
+    # the occurring lengths and producing the output run the term join once.
     matched = cand.groupBy("_id").agg(best.alias("m"), F.max("L").alias("L")) \
                   .persist(StorageLevel.MEMORY_AND_DISK)
-    l_max = int(matched.agg(F.max("L")).first()[0] or 0)
-    defaults = bounded_broadcast(note_rows(_best_default(model, l_max), l_max + 1), max_broadcast_rows)
+    # Only the lengths that occur (plus 0, for rows with no known term) need a default:
+    # at most one value per known-term count up to the longest text, as metadata.
+    lengths = {int(r[0]) for r in matched.select(F.col("L").cast("long")).distinct().collect()} | {0}
+    defaults = bounded_broadcast(note_rows(_best_default(model, lengths), len(lengths)), max_broadcast_rows)
     keep = [c for c in keep_cols if c != id_col]
     out = (df.select(F.col(id_col).alias("_id"), *keep).join(matched, "_id", "left")
            .withColumn("L", F.coalesce(F.col("L").cast("long"), F.lit(0).cast("long")))
