@@ -229,3 +229,17 @@ def test_release_unpersists_prediction_cache(spark):
     assert all(c.storageLevel.useMemory or c.storageLevel.useDisk for c in cached)
     classify.release(pred)
     assert all(not (c.storageLevel.useMemory or c.storageLevel.useDisk) for c in cached)
+
+
+def test_block_counts_bound_block_size_and_copies():
+    import math
+
+    from canonry.operators.similarity import _block_counts
+    for nq, nt, mx, tasks in [(5000, 15000, 16384, 32), (10**6, 10**6, 16384, 32000), (100, 10**9, 16384, 32000),
+                              (10**9, 100, 16384, 32000), (5, 3, 2, 32), (0, 0, 10, 32)]:
+        qb, tb = _block_counts(nq, nt, mx, tasks)
+        assert 1 <= qb <= max(nq, 1) and 1 <= tb <= max(nt, 1)
+        assert math.ceil(max(nq, 1) / qb) <= mx and math.ceil(max(nt, 1) / tb) <= mx
+    # balanced sides on a big cluster: far fewer copies per row than fixed 1,024-row blocks
+    qb, tb = _block_counts(10**6, 10**6, 16384, 32000)
+    assert qb * tb >= 32000 and tb < 10**6 / 1024 / 4
