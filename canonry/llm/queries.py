@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm import html_extract, packing, quality, wacz
+from canonry.llm import decontaminate, html_extract, packing, quality, secrets, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
 
@@ -28,18 +35,49 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = secrets.base_of(F.col("spans"))
+    return found.select(
+        "doc_id",
+        *[secrets.number_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.names(base), 256).alias("base_sha256"), secrets.names(F.col("spans")).alias("spans"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op4_wacz": op4_wacz,
     "op5_quality_rules": op5_quality_rules,
     "op7_packing": op7_packing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_html_extraction": op10_html_extraction,
 }
 
 SQL = {
+    "op3_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+       FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+             FROM b WHERE len(ws) > 0)),
+dw AS (SELECT rid, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+       FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+             FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+h AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+c AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+      FROM (SELECT DISTINCT rid, item_id FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.rid = d.rid LEFT JOIN t ON t.rid = d.rid""",
     "op5_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text,
@@ -65,4 +103,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) OR (word_chars >= 40 AND 2 * capitals > word_chars)
        OR 3 * exclaims > n_words OR 2 * digits > word_chars) AS kept
 FROM b""",
+    "op9_secret_scan": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+p(kind, rank, pat) AS (VALUES
+  ('assign', 0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 'AKIA[A-Z0-9]{14,}'), ('hex', 2, '[0-9a-f]{16,}'), ('candidate', 3, '[A-Za-z0-9+/_=-]{24,}')),
+l AS (SELECT rid, kind, rank, pat, regexp_extract_all(text, pat) AS found,
+        string_split_regex(text, pat) AS gaps FROM d, p),
+m AS (SELECT rid, kind, rank, pat, i, found[i] AS s,
+        sum(length(gaps[i]) + CASE WHEN i > 1 THEN length(found[i - 1]) ELSE 0 END)
+          OVER (PARTITION BY rid, kind ORDER BY i) AS b
+      FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM l)),
+base AS (SELECT rid, kind, rank, b, b + length(s) AS e FROM m
+  WHERE (kind = 'assign' AND length(regexp_extract(s, pat, 1)) >= 12)
+     OR (kind = 'access' AND length(s) >= 18) OR (kind = 'hex' AND length(s) >= 16)),
+c AS (SELECT rid, b, s,
+        CASE WHEN (regexp_full_match(s, '[0-9a-f]+') OR regexp_full_match(s, '[0-9A-F]+'))
+               AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-fA-F]') THEN 'entropy_hex'
+             WHEN regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')
+               THEN 'entropy_base64' END AS kind
+      FROM m WHERE kind = 'candidate' AND length(s) >= 24
+       AND NOT regexp_matches(s, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}')
+       AND NOT regexp_matches(lower(s), 'example|sample|dummy|placeholder|changeme|your[_-]?(key|token|secret)|test[_-]?(key|token)|0123456789|abcdefghijk|qwertyuiop|^(sha256|sha384|sha512)-|/(usr|etc|var|home|static|assets|images|docs)/')
+       AND NOT list_bool_or([contains(s, repeat(x, 8)) FOR x IN string_split(s, '')])),
+w AS (SELECT rid, kind, b AS cb, b + j AS b,
+        list_aggregate(string_split(s[j + 1:j + 24], ''), 'entropy') AS h
+      FROM (SELECT *, unnest(range(0, length(s) - 23)) AS j FROM c WHERE kind IS NOT NULL)),
+hot AS (SELECT rid, kind, cb, b, CASE WHEN b - lag(b) OVER o <= 24 THEN 0 ELSE 1 END AS fresh FROM w
+        WHERE h >= CASE kind WHEN 'entropy_hex' THEN 3.05 ELSE 4.05 END WINDOW o AS (PARTITION BY rid, cb ORDER BY b)),
+isle AS (SELECT rid, kind, cb, b, sum(fresh) OVER (PARTITION BY rid, cb ORDER BY b) AS g FROM hot),
+extra AS (SELECT rid, kind, CASE kind WHEN 'entropy_base64' THEN 3 ELSE 4 END AS rank, min(b) AS b, max(b) + 24 AS e
+          FROM isle GROUP BY rid, cb, kind, g),
+spans AS (SELECT * FROM base UNION ALL
+          SELECT * FROM extra x WHERE NOT EXISTS (SELECT 1 FROM base y WHERE y.rid = x.rid AND y.b <= x.b AND x.e <= y.e)),
+a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3) AS bs,
+        string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS sp
+      FROM (SELECT rid, kind, rank, CAST(b AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM spans) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(bs, '')) AS base_sha256, coalesce(sp, '') AS spans
+FROM d LEFT JOIN a ON a.rid = d.rid""",
 }
