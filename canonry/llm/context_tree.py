@@ -52,9 +52,10 @@ def gram_codes(chunk: textbytes.Chunk, depth: int = DEPTH) -> tuple[np.ndarray,
     stream = np.full(len(chunk.data) + (n + 1) * depth, END, dtype=np.uint8)
     doc = np.repeat(np.arange(n), size)
     stream[np.arange(len(chunk.data)) + (doc + 1) * depth] = chunk.data
-    code = np.zeros(len(stream) - depth, dtype=np.uint64)
-    for i in range(depth + 1):
-        code |= stream[depth - i: len(stream) - i].astype(np.uint64) << np.uint64(8 * i)
+    # Read backwards, the eight bytes from a place on are the coded byte and those before it.
+    back = np.concatenate((stream[::-1], np.zeros(8, dtype=np.uint8)))
+    code = np.lib.stride_tricks.as_strided(back[:8].view("<u8"), (len(stream) - depth,), (1,))[::-1]
+    code = code & np.uint64((1 << 8 * (depth + 1)) - 1)
     # Of the fill between two texts only the first byte is coded: the end of the text before it.
     begin = chunk.offsets[:-1] + np.arange(n) * depth
     keep = np.zeros(len(code) + 1, dtype=np.int8)
@@ -72,6 +73,23 @@ def word_codes(chunk: textbytes.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return code, first
 
 
+def runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal codes together, where each run of them starts, and the runs' codes."""
+    bits = np.uint64(max(1, len(code).bit_length()))
+    place = np.uint64((1 << int(bits)) - 1)
+    packed = textbytes.mix(code) & ~place | np.arange(len(code), dtype=np.uint64)
+    packed.sort()
+    order = (packed & place).astype(np.int64)
+    code = code[order]
+    start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else order
+    return order, start, code[start]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
+
+
 def _counts(texts: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n) of (train, text): distinct grams and words per task with their training counts."""
 
@@ -80,9 +98,10 @@ def _counts(texts: DataFrame, depth: int) -> DataFrame:
             [pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],
             names=["kind", "key", "n"])
 
-    def merged(parts):
-        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
+    def counted(code: np.ndarray, weight: int):
+        code = np.sort(code)
+        start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, dtype=np.int64)
+        return code[start], np.diff(np.append(start, len(code))) * weight
 
     def run(batches):
         held = {_GRAM: [], _WORD: []}
@@ -91,102 +110,90 @@ def _counts(texts: DataFrame, depth: int) -> DataFrame:
             for chunk in textbytes.chunks(batch.column(1), lower=True):
                 used = train[chunk.first: chunk.first + chunk.n_docs]
                 for kind, (code, first) in ((_GRAM, gram_codes(chunk, depth)), (_WORD, word_codes(chunk))):
-                    found = pa.array(code).dictionary_encode()
-                    keys, index = found.dictionary.to_numpy(), found.indices.to_numpy()
-                    n = np.bincount(index[np.repeat(used, np.diff(first))], minlength=len(keys))
-                    held[kind].append((keys, n))
+                    learnt = np.repeat(used, np.diff(first))
+                    held[kind] += [counted(code[learnt], 1), counted(code[~learnt], 0)]
                     if sum(len(k) for k, _ in held[kind]) > FLUSH_KEYS:
-                        held[kind] = [merged(held[kind])]
+                        held[kind] = [_summed(held[kind])]
                         if len(held[kind][0][0]) > FLUSH_KEYS // 2:
                             yield rows(kind, *held[kind].pop())
         for kind, parts in held.items():
             if parts:
-                yield rows(kind, *merged(parts))
+                yield rows(kind, *_summed(parts))
 
     return texts.mapInArrow(run, "kind int, key long, n long")
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the gamma function for x >= 1/2 (Stirling's series above 8)."""
-    shift = np.zeros_like(x)
-    y = x.astype(float).copy()
-    for _ in range(8):
-        low = y < 8
-        shift[low] += np.log(y[low])
-        y[low] += 1
-    z = 1 / y
-    series = z / 12 - z ** 3 / 360 + z ** 5 / 1260 - z ** 7 / 1680
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
+_SMALL = 1 << 14
+#: ln gamma(n + 1/2) and ln gamma(n + 1) of small n.
+_HALVES = np.concatenate(([0.5 * np.log(np.pi)], 0.5 * np.log(np.pi) + np.cumsum(np.log(np.arange(_SMALL) + 0.5))))
+_WHOLES = np.concatenate(([0.0], np.cumsum(np.log(np.arange(_SMALL) + 1.0))))
+
+
+def _log_gamma(n: np.ndarray, plus: float) -> np.ndarray:
+    """ln gamma(n + plus) of whole n, plus 1/2 or 1: a table, and Stirling's series beyond it."""
+    table = _HALVES if plus == 0.5 else _WHOLES
+    out = table[np.minimum(n, _SMALL).astype(np.int64)]
+    large = n > _SMALL
+    if large.any():
+        x = n[large] + plus
+        out[large] = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x ** 3)
+    return out
 
 
 def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+    return _log_gamma(n0, 0.5) + _log_gamma(n1, 0.5) - _log_gamma(n0 + n1, 1.0) - np.log(np.pi)
 
 
-def _decisions(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each gram the eight decision nodes (1 to 255) and bits of its coded byte, decision by decision."""
-    byte = (code & np.uint64(0xFF)).astype(np.int64)
-    node = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)])
-    bit = np.stack([byte >> (7 - k) & 1 for k in range(8)])
-    return node, bit
+class Level:
+    """Nodes of one depth: key (context, decision), counts, log weighted probability, each node's parent above."""
 
+    def __init__(self, keys, n0, n1, below=None):
+        self.keys, self.n0, self.n1 = keys, n0, n1
+        self.block = kt_block(n0, n1)
+        self.weighted = self.block if below is None else np.logaddexp(_LOG_HALF + self.block, _LOG_HALF + below)
+        self.parent = None
 
-def _context(code: np.ndarray, depth: int) -> np.ndarray:
-    """The last ``depth`` bytes before the coded one."""
-    return (code >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+    def lift(self, depth: int) -> "Level":
+        """The level above, its contexts cut to ``depth`` bytes: counts and weighted probabilities of the children."""
+        keys, where = np.unique(_parents(self.keys, depth), return_inverse=True)
+        self.parent = where
+        sums = [np.bincount(where, weights=x, minlength=len(keys)) for x in (self.n0, self.n1, self.weighted)]
+        return Level(keys, *sums)
 
 
 def _parents(key: np.ndarray, depth: int) -> np.ndarray:
-    """Node keys (context and decision) with their contexts cut to ``depth`` bytes."""
+    """Node keys with their contexts cut to the last ``depth`` bytes."""
     return ((key >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | (key & np.uint64(0xFF))
 
 
-def tree(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """Trees over grams with training counts: depth -> (node keys, n0, n1, log weighted probability), from ``depth`` to ``top``."""
-    code, n = code[n > 0], n[n > 0]
-    node, bit = _decisions(code)
-    key = (_context(code, depth) << np.uint64(8))[None, :] | node.astype(np.uint64)
+def tree(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[dict[int, Level], np.ndarray, np.ndarray]:
+    """Levels ``depth`` to ``top`` over grams with training counts, and each gram's eight decisions: node at
+    ``depth`` and bit (8 x grams). Grams of count 0 have nodes too; they change no probability."""
+    byte = (code & np.uint64(0xFF)).astype(np.int64)
+    decision = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)])
+    bit = np.stack([byte >> (7 - k) & 1 for k in range(8)])
+    key = (code & ~np.uint64(0xFF))[None, :] | decision.astype(np.uint64)
     keys, where = np.unique(key.reshape(-1), return_inverse=True)
-    weight, ones = np.tile(n, 8).astype(float), bit.reshape(-1) == 1
-    n1 = np.bincount(where[ones], weights=weight[ones], minlength=len(keys))
-    n0 = np.bincount(where, weights=weight, minlength=len(keys)) - n1
-    out = {depth: (keys, n0, n1, kt_block(n0, n1))}
+    weight = np.tile(n.astype(float), 8)
+    n1 = np.bincount(where, weights=weight * bit.reshape(-1), minlength=len(keys))
+    levels = {depth: Level(keys, np.bincount(where, weights=weight, minlength=len(keys)) - n1, n1)}
     for d in range(depth - 1, top - 1, -1):
-        out[d] = lift(*out[d + 1], d)
-    return out
+        levels[d] = levels[d + 1].lift(d)
+    return levels, where.reshape(key.shape), bit
 
 
-def lift(keys, n0, n1, weighted, depth: int) -> tuple[np.ndarray, ...]:
-    """The level above: counts and children's weighted probabilities summed by shorter context, then mixed."""
-    up, where = np.unique(_parents(keys, depth), return_inverse=True)
-    n0 = np.bincount(where, weights=n0, minlength=len(up))
-    n1 = np.bincount(where, weights=n1, minlength=len(up))
-    below = np.bincount(where, weights=weighted, minlength=len(up))
-    return up, n0, n1, np.logaddexp(_LOG_HALF + kt_block(n0, n1), _LOG_HALF + below)
-
-
-def predict(code: np.ndarray, levels: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
-    """log10 probability of each gram's byte in its context."""
-    node, bit = _decisions(code)
-    deepest = max(levels)
-    chance = np.full(node.shape, 0.5)
-    for d in range(deepest, -1, -1):
-        keys, n0, n1, weighted = levels[d]
-        if not len(keys):
-            continue
-        key = ((_context(code, d) << np.uint64(8))[None, :] | node.astype(np.uint64)).reshape(-1)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        met = (keys[at] == key).reshape(node.shape)
-        a, b, w = n0[at].reshape(node.shape), n1[at].reshape(node.shape), weighted[at].reshape(node.shape)
-        own = (b + 0.5) / (a + b + 1.0)
-        if d == deepest:
-            chance, deeper = np.where(met, own, chance), met
-            continue
-        share = np.exp(np.minimum(_LOG_HALF + kt_block(a, b) - w, 0.0))
-        chance = np.where(met, np.where(deeper, share * own + (1 - share) * chance, own), chance)
-        deeper = met
-    return np.log10(np.where(bit == 1, chance, 1 - chance)).sum(axis=0)
+def predict(levels: dict[int, Level], depth: int) -> np.ndarray:
+    """Probability of a 1 at every node of the deepest level, mixed along its path from depth 0."""
+    for d in range(depth + 1):
+        level = levels[d]
+        own = (level.n1 + 0.5) / (level.n0 + level.n1 + 1.0)
+        share = np.exp(np.minimum(_LOG_HALF + level.block - level.weighted, 0.0))
+        # settled: mixed in above; left: weight not yet given away; end: the value if the path ends here.
+        settled, left, end = (x[level.parent] for x in (settled, left, end)) if d else (0.0, 1.0, 0.5)
+        end = np.where(level.n0 + level.n1 > 0, settled + left * own, end)
+        settled, left = settled + left * share * own, left * (1 - share)
+    return end
 
 
 def _gram_values(grams: DataFrame, depth: int) -> DataFrame:
@@ -196,32 +203,33 @@ def _gram_values(grams: DataFrame, depth: int) -> DataFrame:
 
     def whole(batches):
         parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return tuple(map(np.concatenate, zip(*parts))) if parts else None
 
     def sums(batches):
-        code, n = whole(batches)
-        level = tree(code, n, depth, 2)[2]
-        up, where = np.unique(_parents(level[0], 1), return_inverse=True)
-        total = [np.bincount(where, weights=x, minlength=len(up)) for x in level[1:]]
-        yield pa.RecordBatch.from_arrays([pa.array(up.view(np.int64)), *map(pa.array, total)],
-                                         names=["key", "n0", "n1", "below"])
+        if found := whole(batches):
+            level = tree(*found, depth, 2)[0][2]
+            up, where = np.unique(_parents(level.keys, 1), return_inverse=True)
+            total = [np.bincount(where, weights=x, minlength=len(up)) for x in (level.n0, level.n1, level.weighted)]
+            yield pa.RecordBatch.from_arrays([pa.array(up.view(np.int64)), *map(pa.array, total)],
+                                             names=["key", "n0", "n1", "below"])
 
     # At most 256 x 255 nodes of depth 1, whatever the data.
     top = (parted.mapInArrow(sums, "key long, n0 double, n1 double, below double").groupBy("key")
-           .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("key").toPandas())
+           .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas())
     keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    n0, n1, below = (top[c].to_numpy(dtype=float) for c in ("n0", "n1", "below"))
-    one = (keys, n0, n1, np.logaddexp(_LOG_HALF + kt_block(n0, n1), _LOG_HALF + below))
-    upper = {1: one, 0: lift(*one, 0)}
+    order = np.argsort(keys)
+    one = Level(keys[order], *(top[c].to_numpy(dtype=float)[order] for c in ("n0", "n1", "below")))
+    upper = {1: one, 0: one.lift(0)}
 
     def values(batches):
-        code, n = whole(batches)
-        if len(code):
-            levels = tree(code, n, depth, 2) | upper
-            for i in range(0, len(code), 1 << 17):
-                part = code[i: i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(predict(part, levels))],
-                                                 names=["key", "value"])
+        if found := whole(batches):
+            levels, where, bit = tree(*found, depth, 2)
+            levels[2].parent = np.searchsorted(one.keys, _parents(levels[2].keys, 1))
+            ones = predict(levels | upper, depth)
+            value = np.log10(np.where(bit == 1, ones[where], 1 - ones[where])).sum(axis=0)
+            for i in range(0, len(value), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][i: i + (1 << 17)].view(np.int64)),
+                                                  pa.array(value[i: i + (1 << 17)])], names=["key", "value"])
 
     return parted.mapInArrow(values, "key long, value double")
 
@@ -270,11 +278,14 @@ def score(docs: DataFrame, train, depth: int = DEPTH, broadcast_keys: int = BROA
         for batch in batches:
             for chunk in textbytes.chunks(batch.column(2), lower=True):
                 code, first = gram_codes(chunk, depth)
-                found = pa.array(code).dictionary_encode()
-                value = gram_values[np.searchsorted(gram_keys, found.dictionary.to_numpy())]
-                total = np.add.reduceat(value[found.indices.to_numpy()], first[:-1])
+                order, start, keys = runs(code)
+                value = np.empty(len(code))
+                value[order] = np.repeat(gram_values[np.searchsorted(gram_keys, keys)], np.diff(np.append(start, len(code))))
+                total = np.add.reduceat(value, first[:-1])
                 code, word_first = word_codes(chunk)
-                each = word_values[np.searchsorted(word_keys, code)]
+                order, start, keys = runs(code)
+                each = np.empty(len(code))
+                each[order] = np.repeat(word_values[np.searchsorted(word_keys, keys)], np.diff(np.append(start, len(code))))
                 part = slice(chunk.first, chunk.first + chunk.n_docs)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[part], batch.column(1)[part], pa.array(np.diff(word_first)),
