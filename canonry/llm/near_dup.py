@@ -10,8 +10,8 @@ keys: a pair of similarity 0.8 shares one with probability 1 - (1 - 0.8^4)^24 =
 
 Texts with the same words are one node throughout, so copies cost one row each. In a bucket
 every node is verified against one pivot (exact Jaccard of the shingle sets), never all
-against all; links give classes by repeated minimum labels. What a pivot cannot settle is
-settled afterwards: nodes of a bucket that are still in another class than its pivot are verified
+against all; links give classes by repeated minimum labels. Where that leaves much open, more
+pivots follow. What pivots cannot settle is settled afterwards: nodes of a bucket that are still in another class than its pivot are verified
 against the bucket's nodes of other classes, left out only where the two distances to the
 pivot, by the triangle inequality, rule a link out. So no link between texts that
 share a bucket is lost, and a group of copies costs rows in proportion to its size.
@@ -36,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 96
 ROWS = 4
+#: Further pivots tried where a bucket has many nodes that its first one does not link (speed only).
+ROUNDS = 4
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _PICK = np.uint64(0xA0761D6478BD642F)
@@ -162,6 +164,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds each member's ``label`` and its bucket's ``main`` one, the pivot's."""
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_pivot = named.filter("node = pivot").select("key", F.col("label").alias("main"))
+    return cut_lineage(named.join(of_pivot, "key"), name="placed")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, class_id) of every row of ``docs`` (doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
@@ -169,28 +178,45 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = RE
     signed = cut_lineage(_signed(keyed, registers, rows), name="signatures")
     nodes = signed.filter("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    pivots = (members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-              .filter("pivot < last").drop("last"))
-    members = cut_lineage(members.join(pivots, "key"), name="buckets")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = cut_lineage(members.join(sizes, "key"), name="buckets")
+    # The pivot is the node with the most company in all of its buckets: of near copies the text they came from.
+    mass = members.groupBy("node").agg(F.sum("size").alias("mass"))
+    members = members.join(mass, "node")
+    central = F.max_by("node", F.struct("mass", "node"))
+    members = cut_lineage(members.join(members.groupBy("key").agg(central.alias("pivot")), "key"), name="buckets")
+    total = members.count()
 
     wanted = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
     texts = keyed.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
     sets = cut_lineage(_shingled(texts).dropDuplicates(["node"]), name="shingles")
 
-    first = members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    known = cut_lineage(_verified(first, sets), name="pairs")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(_verified(pairs, sets), name="pairs")
+
+    known = linked(members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     links = known.filter(F.col("similarity") >= similarity).select("a", "b")
-    labels = components(links)
+    far = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
+    members = cut_lineage(members.join(far, ["node", "pivot"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))),
+                          name="buckets")
+    tried = members.select("key", F.col("pivot").alias("used")).distinct()
+    for left in range(ROUNDS, -1, -1):
+        labels = components(links)
+        placed = _placed(members, labels)
+        apart = placed.filter("label != main")
+        if not left or (apart.agg(F.sum("size")).first()[0] or 0) <= 2 * total:
+            break
+        # Many nodes apart: another pivot for them, the next in company, before all open pairs are taken.
+        rest = placed.join(tried, (placed.key == tried.key) & (placed.node == tried.used), "left_anti")
+        pivots = cut_lineage(rest.groupBy("key").agg(central.alias("next"), F.max_by("label", F.struct("mass", "node")).alias("of")),
+                             name="pivots")
+        pairs = apart.join(pivots, "key").filter("label != of").select(F.col("node").alias("a"), F.col("next").alias("b")).distinct()
+        links = cut_lineage(links.union(linked(pairs).filter(F.col("similarity") >= similarity).select("a", "b")), name="links")
+        tried = tried.union(pivots.select("key", F.col("next").alias("used")))
 
     # Nodes left in another class than their bucket's pivot, against the bucket's nodes of other classes.
-    placed = (members.join(labels, "node", "left")
-              .join(known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "similarity"), ["node", "pivot"], "left")
-              .select("key", "node", "n", "pivot", F.coalesce("label", "node").alias("label"),
-                      (1 - F.coalesce("similarity", F.lit(1.0))).alias("far")))
-    of_pivot = placed.filter("node = pivot").select("key", F.col("label").alias("main"))
-    placed = cut_lineage(placed.join(of_pivot, "key"), name="placed")
-    apart = placed.filter("label != main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "far")])
+    apart = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "far")])
     reach = 1 - similarity + 1e-9
     others = placed.filter("node != pivot").join(apart.select("key").distinct(), "key", "left_semi")
     open_pairs = (apart.join(others, "key").filter(
@@ -198,7 +224,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = RE
         & (F.abs(F.col("far_a") - F.col("far")) <= reach)
         & (F.least("n", "n_a") >= (similarity - 1e-9) * F.greatest("n", "n_a")))
         .select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct())
-    more = cut_lineage(_verified(open_pairs, sets).filter(F.col("similarity") >= similarity).select("a", "b"), name="links")
+    more = linked(open_pairs).filter(F.col("similarity") >= similarity).select("a", "b")
     if more.limit(1).count():
         labels = components(links.union(more))
 
