@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm import context_tree, decontaminate, html_extract, near_dup, packing, quality, secrets, wacz
+from canonry.llm import context_tree, decontaminate, html_extract, licenses, near_dup, packing, quality, secrets, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find(_table(spark, sf_dir, "documents"), licenses.templates(spark))
+    return found.select("doc_id", "license_id", "n_shingles", "n_found")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = secrets.base_of(F.col("spans"))
@@ -65,11 +70,27 @@ QUERIES = {
     "op4_wacz": op4_wacz,
     "op5_quality_rules": op5_quality_rules,
     "op7_packing": op7_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_html_extraction": op10_html_extraction,
 }
 
+_NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.TEMPLATES)
+
 SQL = {
+    "op8_license_scan": r"""
+WITH t(license_id, text) AS (VALUES {notices}),
+b AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, NULL AS license_id, text FROM documents
+      UNION ALL SELECT 't', 0, NULL, license_id, text FROM t),
+w AS (SELECT * EXCLUDE text, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM b),
+s AS (SELECT DISTINCT side, rid, doc_id, license_id, array_to_string(ws[i:i + 4], ' ') AS g
+      FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+n AS (SELECT license_id, count(*) AS n_shingles FROM s WHERE side = 't' GROUP BY license_id)
+SELECT DISTINCT doc_id, n.license_id, n_shingles, n_found
+FROM (SELECT d.rid, d.doc_id, x.license_id, count(*) AS n_found FROM s d JOIN s x ON d.side = 'd' AND x.side = 't' AND d.g = x.g
+      GROUP BY ALL) f JOIN n ON n.license_id = f.license_id AND n_found >= 0.8 * n_shingles""".replace("{notices}", _NOTICES),
     "op3_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
