@@ -27,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canonry.llm import textbytes
@@ -36,8 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 96
 ROWS = 4
-#: Further pivots tried where a bucket has many nodes that its first one does not link (speed only).
-ROUNDS = 4
+#: Further pivots tried in a bucket where much is left open by the first (speed only).
+PIVOTS = 3
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _PICK = np.uint64(0xA0761D6478BD642F)
@@ -200,20 +201,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = RE
     far = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
     members = cut_lineage(members.join(far, ["node", "pivot"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))),
                           name="buckets")
-    tried = members.select("key", F.col("pivot").alias("used")).distinct()
-    for left in range(ROUNDS, -1, -1):
+    labels = components(links)
+    placed = _placed(members, labels)
+    apart = placed.filter("label != main")
+    if (apart.agg(F.sum("size")).first()[0] or 0) > 4 * total:
+        # Many nodes apart: the bucket's next pivots in company for them, before all open pairs are taken.
+        by = W.partitionBy("key").orderBy(F.desc("mass"), F.desc("node"))
+        pivots = (placed.filter("node != pivot").join(apart.select("key").distinct(), "key", "left_semi")
+                  .withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= PIVOTS)
+                  .select("key", F.col("node").alias("next"), F.col("label").alias("of")))
+        pairs = apart.join(pivots, "key").filter("label != of").select(F.col("node").alias("a"), F.col("next").alias("b")).distinct()
+        links = links.union(linked(pairs).filter(F.col("similarity") >= similarity).select("a", "b"))
         labels = components(links)
         placed = _placed(members, labels)
         apart = placed.filter("label != main")
-        if not left or (apart.agg(F.sum("size")).first()[0] or 0) <= 2 * total:
-            break
-        # Many nodes apart: another pivot for them, the next in company, before all open pairs are taken.
-        rest = placed.join(tried, (placed.key == tried.key) & (placed.node == tried.used), "left_anti")
-        pivots = cut_lineage(rest.groupBy("key").agg(central.alias("next"), F.max_by("label", F.struct("mass", "node")).alias("of")),
-                             name="pivots")
-        pairs = apart.join(pivots, "key").filter("label != of").select(F.col("node").alias("a"), F.col("next").alias("b")).distinct()
-        links = cut_lineage(links.union(linked(pairs).filter(F.col("similarity") >= similarity).select("a", "b")), name="links")
-        tried = tried.union(pivots.select("key", F.col("next").alias("used")))
 
     # Nodes left in another class than their bucket's pivot, against the bucket's nodes of other classes.
     apart = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "far")])
