@@ -16,7 +16,10 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Characters outside ASCII that lower() could change (unassigned ones in case its tables are newer).
 _OTHER_CASE = r"[[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}]&&[^\x00-\x7F]]"
 
-EMPTY = F.array().cast("array<string>")
+
+def empty(kind: str) -> Column:
+    """An empty array of a given type."""
+    return F.array().cast(f"array<{kind}>")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,7 +38,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def _runs(text: Column, chars_trimmed: Column, separators: str) -> Column:
-    return F.when(chars_trimmed == "", EMPTY).otherwise(F.split(chars_trimmed, separators))
+    return F.when(chars_trimmed == "", empty("string")).otherwise(F.split(chars_trimmed, separators))
 
 
 def space_words(text: Column) -> Column:
@@ -75,7 +78,7 @@ def window_hashes(items: Column, k: int) -> Column:
 
     return let(items, lambda a: F.when(F.size(a) >= k, let(
         F.transform(a, lambda x: F.xxhash64(x)), lambda h: grow(h, 1, None, 0, k)))
-        .otherwise(F.array().cast("array<bigint>")))
+        .otherwise(empty("bigint")))
 
 
 def covered(starts: Column, k: int) -> Column:

@@ -22,10 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canonry.llm.native import let
+from canonry.llm.native import empty, let
 
 _SPAN = "struct<begin:int,rank:int,kind:string,end:int>"
-_NONE = F.array().cast(f"array<{_SPAN}>")
 
 ASSIGN = (r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"
           r"|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -56,7 +55,7 @@ def _matches(text: Column, pattern: str, body) -> Column:
     def walk(found: Column) -> Column:
         return let(F.split(text, pattern, -1), lambda between: F.aggregate(
             F.sequence(F.lit(1), F.size(found)),
-            F.struct(F.lit(0).alias("at"), _NONE.alias("out")),
+            F.struct(F.lit(0).alias("at"), empty(_SPAN).alias("out")),
             lambda state, i: let(
                 state["at"] + F.length(F.element_at(between, i)),
                 lambda begin: F.struct(
@@ -64,7 +63,7 @@ def _matches(text: Column, pattern: str, body) -> Column:
                     F.concat(state["out"], body(F.element_at(found, i), begin)).alias("out"))),
             lambda state: state["out"]))
 
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)).otherwise(_NONE)
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)).otherwise(empty(_SPAN))
 
 
 def _span(begin: Column, end: Column, rank: int, kind: str) -> Column:
@@ -75,7 +74,7 @@ def _span(begin: Column, end: Column, rank: int, kind: str) -> Column:
 def _fixed(text: Column, pattern: str, rank: int, kind: str, accept=None) -> Column:
     def body(match: Column, begin: Column) -> Column:
         span = _span(begin, begin + F.length(match), rank, kind)
-        return span if accept is None else F.when(accept(match), span).otherwise(_NONE)
+        return span if accept is None else F.when(accept(match), span).otherwise(empty(_SPAN))
 
     return _matches(text, pattern, body)
 
@@ -126,10 +125,10 @@ def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
 
         is_hex = match.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & match.rlike("[0-9]") & match.rlike("[a-fA-F]")
         is_mixed = match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
-        return (F.when(match.rlike("|".join(allow)), _NONE)
+        return (F.when(match.rlike("|".join(allow)), empty(_SPAN))
                 .when(is_hex, spans(HEX_BITS, 4, "entropy_hex"))
                 .when(is_mixed, spans(BASE64_BITS, 3, "entropy_base64"))
-                .otherwise(_NONE))
+                .otherwise(empty(_SPAN)))
 
     return _matches(text, CANDIDATE, body)
 
