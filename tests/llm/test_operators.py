@@ -1,0 +1,384 @@
+"""The ten operators and the pipeline against brute force, and on odd tables."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import random
+import re
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from canonry.llm import (context_tree, decontaminate, html_extract, licenses, near_dup, packing, quality, secrets,
+                         substrings, wacz)
+
+SCHEMA = "doc_id long, text string, lang string, w string, spans string, key long"
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def space_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def corpus():
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdeghinorstu") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    texts = [prose(rng.randint(25, 120)).capitalize() + ".\n" + prose(30) + "." for _ in range(30)]
+    passage = prose(55)
+    for i in (3, 8, 15, 21):
+        texts[i] += " " + passage + " " + prose(10)
+    base = texts[5].split(" ")
+    for i in range(4):
+        copy = list(base)
+        copy[10 + 9 * i] = "changed"
+        texts.append(" ".join(copy))
+    texts += [texts[2], texts[2], "One two three", "", None, "  \n\t ", "ÄÖ Straße ÉCOLE İ   x " * 4,
+              "a b c d e f g h " * 40, "x " * 3000, "no\nno\nno\nno\n" + prose(40),
+              f'the token = "{hashlib.sha1(b"k").hexdigest()}" and AKIA{"B" * 16} password: hunter2hunter2 short secret=abc',
+              "key aB3dE5gH7jK9mN1pQ3sT5vW7yZ0cF2 id 123e4567-e89b-12d3-a456-426614174000 ok", prose(8000)]
+    rows = [(i, t, "en", "clash", "clash", 1) for i, t in enumerate(texts)]
+    return [*rows, rows[4], rows[4], (None, "a null id " + prose(30), None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_context_tree(spark, docs, none):
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1
+    one = sorted(map(tuple, context_tree.score(docs, train, depth=3).collect()), key=str)
+    two = sorted(map(tuple, context_tree.score(docs, train, depth=3, broadcast_keys=0).collect()), key=str)
+    assert len(one) == docs.count() and context_tree.score(none, train).count() == 0
+    for a, b in zip(one, two):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    empty = [r for r in one if r[0] in (37, 38)]
+    assert len(empty) == 2 and all(r[2] == r[7] == 1 and r[6] < 0 for r in empty)
+
+
+def test_context_tree_is_context_tree_weighting():
+    """The predictions' product over a sequence's last bit equals the ratio of weighted probabilities."""
+    rng = np.random.default_rng(1)
+    text = bytes(rng.choice(list(b"ab"), 40).astype(np.uint8))
+    chunk = context_tree.textbytes.Chunk(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    code, first = context_tree.gram_codes(chunk, 3)
+    assert first.tolist() == [0, 41]
+    padded = b"\xff\xff\xff" + text + b"\xff"
+    assert [int(c) for c in code] == [int.from_bytes(padded[i:i + 4][::-1], "little") for i in range(41)]
+
+    def total(n):
+        keys, counts = np.unique(code[:n], return_counts=True)
+        levels, _, _ = context_tree.tree(keys, counts, 3, 0)
+        return levels, levels[0].weighted.sum()
+
+    levels, before = total(30)
+    _, after = total(31)
+    grams = np.array([code[30]])
+    keys = np.unique(np.concatenate((np.unique(code[:30]), grams)))
+    counts = np.array([(code[:30] == k).sum() for k in keys])
+    levels, where, bit = context_tree.tree(keys, counts, 3, 0)
+    ones = context_tree.predict(levels, 3)
+    at = int(np.searchsorted(keys, code[30]))
+    if counts[at]:  # a context that training met: the prediction is exact
+        value = np.where(bit[:, at] == 1, ones[where[:, at]], 1 - ones[where[:, at]])
+        assert np.log(value).sum() == pytest.approx(after - before, rel=1e-9)
+
+
+def test_near_duplicates(spark, docs, none):
+    rows = {(r.doc_id, r.text_hash): r.class_id for r in near_dup.classes(docs).collect()}
+    sets = {}
+    for r in corpus():
+        w = space_words(lower(r[1]))
+        sets[r[0], r[1]] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    keys = list(sets)
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                root[find(a)] = find(b)
+    want = {k: min((x[0] for x in keys if find(x) == find(k) and x[0] is not None), default=None) for k in keys}
+    assert {k: v for (k, _), v in rows.items()} == {k[0]: v for k, v in want.items()}
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(
+        {v for v in want.values() if v is not None})
+    assert near_dup.classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
+
+
+def test_signatures_estimate_the_probability_jaccard():
+    rng = np.random.default_rng(3)
+    value = context_tree.textbytes.mix(np.arange(1, 301, dtype=np.uint64))
+    x, y = rng.integers(1, 6, 300) * (rng.random(300) < 0.8), rng.integers(1, 6, 300) * (rng.random(300) < 0.8)
+    weight = np.concatenate((x[x > 0], y[y > 0])).astype(float)
+    doc = np.repeat([0, 1], [(x > 0).sum(), (y > 0).sum()])
+    held = near_dup.signatures(2, doc, np.concatenate((value[x > 0], value[y > 0])), weight, 4096)
+    both = np.flatnonzero((x > 0) & (y > 0))
+    exact = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in both)
+    assert (held[0] == held[1]).mean() == pytest.approx(exact, abs=0.04)
+
+
+def brute_hits(text, items):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    hit, found = set(), set()
+    for item, other in items:
+        v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(other))
+        n = min(10, len(v))
+        grams = {tuple(v[i:i + n]) for i in range(len(v) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1):
+            if n and tuple(w[i:i + n]) in grams:
+                hit |= set(range(i, i + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontamination(spark, docs, none):
+    texts = [r[1] for r in corpus()]
+    items = [(1, texts[3][40:200]), (2, "one TWO three"), (3, None), (4, ""), (5, "a b c d e f g h a b c d"),
+             (6, "x " * 12), (7, texts[3][40:200]), (10, "ÉCOLE")]
+    bench = spark.createDataFrame([(*i, "clash") for i in items], "item_id long, text string, doc_id string")
+    want = sorted(((r[0], *brute_hits(r[1], items)) for r in corpus()), key=str)
+    for limit in (10 ** 6, 0):
+        got = decontaminate.find(docs, bench, broadcast_words=limit)
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()), key=str) == want
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(w[0]) for w in want if not w[2])
+    assert decontaminate.find(none, bench).count() == 0
+    assert decontaminate.find(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_archives(spark, tmp_path):
+    schema = "page_id long, url string, html string, payload string"
+    rows = [(5, "http://a", "<p>ä</p>", "x"), (2, None, "<p>ä</p>", None), (9, "u\n", None, None), (3, "http://b", "", None),
+            (3, "http://b", "", None), (None, "http://c", "z" * 300_000, None), (7, "http://d", "z" * 300_000, None)]
+    pages = spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, wacz.round_trip(pages, archive_bytes=200).drop("url", "payload").collect()), key=str)
+    sha = lambda t: wacz.digest((t or "").encode())
+    want = [(i, len((t or "").encode()), sha(t), "revisit" if ref else "response", ref)
+            for (i, _, t, _), ref in zip(rows, (2, None, 3, None, None, 7, None))]
+    assert got == sorted(want, key=str)
+    limited = wacz.round_trip(pages, min_bytes=100).collect()
+    assert sum(r.record_type == "revisit" for r in limited) == 1
+    assert wacz.round_trip(spark.createDataFrame([], schema)).count() == 0
+    for zip64 in (False, True):
+        writer = wacz.ArchiveWriter(zip64)
+        for i in range(3):
+            writer.add("u", wacz.record(i, "u", b"p" * 5000, wacz.digest(b"p" * 5000), None))
+        data = writer.finish() + b"\n"
+        assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+        assert len(list(wacz.read_records(wacz.Ranges(io.BytesIO(data))))) == 3
+    with pytest.raises(ValueError):
+        list(wacz.read_records(b"no archive"))
+
+
+def test_quality(spark, docs, none):
+    got = {(r.doc_id, r.n_words): r for r in quality.judge(docs).collect()}
+    for doc_id, text, *_ in corpus():
+        w = space_words(text)
+        grams = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
+        often = {g for g in set(grams) if grams.count(g) > 1} if len(set(grams)) < len(grams) else set()
+        covered = {j for i, g in enumerate(grams) if g in often for j in range(i, i + 8)}
+        lines = [x for x in (text or "").split("\n") if space_words(x)]
+        r = got[doc_id, len(w)]
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        assert not (r.base_failed and r.kept)
+    assert got[0, got_words(0)].kept and quality.keep(docs).columns == docs.columns
+    assert quality.judge(none).count() == 0 and quality.keep(none).count() == 0
+
+
+def got_words(i):
+    return len(space_words(corpus()[i][1]))
+
+
+def test_quality_keeps_good_documents(spark):
+    d = "/root/testdata/sf0.01"
+    kept = quality.keep(spark.read.parquet(f"{d}/documents.parquet"))
+    good = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1")
+    lost = good.join(kept, "doc_id", "left_anti").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
+    assert lost.filter(F.size(F.split("text", r"\s+")) >= 25).count() <= 0.02 * good.count()
+
+
+def test_substrings(spark, docs, none):
+    rows = [r for r in corpus() if r[0] is not None]
+    seen, want = {}, {}
+    for r in sorted({(r[0], r[1]) for r in rows}, key=lambda r: r[0]):
+        w = space_words(r[1])
+        gone = set()
+        for i in range(len(w) - 19):
+            g = tuple(w[i:i + 20])
+            if g in seen:
+                gone |= set(range(i, i + 20))
+            seen.setdefault(g, (r[0], i))
+        want[r[0]] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    got = substrings.deduplicate(docs.filter("doc_id IS NOT NULL")).collect()
+    assert len(got) == len(rows) and all((r.n_words, r.n_removed, r.kept) == want[r.doc_id] for r in got)
+    assert substrings.deduplicate(none).count() == 0
+    assert substrings.deduplicate(docs).filter("doc_id IS NULL").count() == 1
+
+
+def test_hot_regions_give_the_same(spark, docs, monkeypatch):
+    rows = docs.filter("doc_id IS NOT NULL")
+    want = sorted(map(tuple, substrings.deduplicate(rows).collect()))
+    monkeypatch.setattr(substrings, "HOT_REGIONS", 1)
+    texts = rows.distinct().select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    found = substrings._settle(substrings._anchored(texts, 20, 8)).withColumn("hot", F.col("anchor").isNotNull())
+    placed = substrings._with_words(texts, found.filter("anchor IS NOT NULL"), 20)
+    gone = found.filter("anchor IS NULL").select("id", "part", "start", "n").union(substrings._streamed(placed, 20))
+    got = {tuple(r)[0]: tuple(r)[2:] for r in substrings._kept(texts, gone, 20).collect()}
+    assert all(got[w[0]] == w[1:] for w in want)
+
+
+def test_automaton_matching_statistics():
+    rng = random.Random(2)
+    for _ in range(30):
+        known = [[rng.randrange(3) for _ in range(12)] for _ in range(3)]
+        text = [rng.randrange(3) for _ in range(20)]
+        automaton = substrings.Automaton()
+        for k in known:
+            automaton.add(k)
+        parts = {tuple(k[i:j]) for k in known for i in range(12) for j in range(i, 13)}
+        want = [max(n for n in range(e + 2) if tuple(text[e + 1 - n:e + 1]) in parts) for e in range(20)]
+        assert automaton.matches(text) == want
+
+
+def test_packing(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    pieces = packing.pack(docs).collect()
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault((p.doc_id, p.doc_tokens), []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    for doc_id, text, *_ in corpus():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        own = {(p.start, p.ids) for p in by_doc[doc_id, len(ids)]}
+        assert b"".join(i for _, i in sorted(own)) == ids.tobytes()
+    for s in by_sequence.values():
+        at = 0
+        for p in sorted(s, key=lambda p: p.offset):
+            assert p.offset == at and len(p.ids) == 4 * p.length > 0
+            at += p.length
+        assert at <= 2048
+    assert packing.pack(none).count() == 0
+
+
+def test_cuts_are_the_cheapest():
+    rng = random.Random(5)
+    for _ in range(40):
+        length = rng.randint(1, 40)
+        ends = np.array(sorted({*rng.sample(range(1, length + 1), min(length, 3)), length}))
+        stops = np.array(sorted(rng.sample(range(1, length + 1), min(length, 4))))
+        place, cost = packing.candidates(length, ends, stops, 8, 1.5, 4.0)
+        price = dict(zip(place.tolist(), cost.tolist()))
+        best = {0: 0.0}
+        for j in place.tolist():
+            best[j] = min(best[i] + 8 - (j - i) + price[j] for i in best if j - 8 <= i < j)
+        cuts = packing.choose_cuts(length, place, cost, 8)
+        assert sum(8 - (b - a) + price[b] for a, b in zip(cuts, cuts[1:])) == pytest.approx(best[length])
+
+
+def test_licenses(spark, docs, none):
+    notice = dict(licenses.TEMPLATES)["MIT"]
+    words = notice.split(" ")
+    edited = " ".join(w if i % 40 else "edited" for i, w in enumerate(words))
+    rows = [(1, "intro words " + notice + " outro"), (2, edited), (3, "Released under the MIT license"), (4, None), (5, ""),
+            (6, "nothing of the kind"), (7, " ".join(words[:40])), (8, "short note"), (8, "short note")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    notices = licenses.templates(spark, [*licenses.TEMPLATES, ("short", "Short Note!"), ("none", "")])
+
+    def shingles(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    want = {(i, k) for i, t in rows for k, v in licenses.TEMPLATES
+            if len(shingles(v) & shingles(t)) >= 0.8 * len(shingles(v))} | {(8, "short")}
+    for limit in (200_000, 0):
+        got = licenses.find(table, notices, broadcast_shingles=limit).collect()
+        assert {(r.doc_id, r.license_id) for r in got} == want
+    assert licenses.find(none, notices).count() == 0 and licenses.find(docs, notices.limit(0)).count() == 0
+
+
+def test_secrets(spark, docs, none):
+    import math
+
+    found = {r.doc_id: [(s.kind, s.begin, s.end) for s in r.spans] for r in secrets.scan(docs).collect()}
+    for doc_id, text, *_ in corpus():
+        text = text or ""
+        base = [("assign", m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[1]) >= 12]
+        base += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        base += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        order = {"assign": 0, "access": 1, "hex": 2}
+        assert [s for s in found[doc_id] if s[0] in order] == sorted(base, key=lambda s: (s[1], order[s[0]]))
+    high = [(i, s) for i, spans in found.items() for s in spans if s[0].startswith("entropy")]
+    assert [s[0] for _, s in high] == ["entropy_base64"]
+    text = {r[0]: r[1] for r in corpus()}
+    i, (_, begin, end) = high[0]
+    for a in range(begin, end - 23):
+        part = text[i][a:a + 24]
+        bits = -sum(part.count(c) / 24 * math.log2(part.count(c) / 24) for c in set(part))
+        assert bits >= 3.9
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert clean.filter(F.col("text").contains("hunter2hunter2")).count() == 0
+    assert secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+PAGES = [
+    ("<html><body><nav><a>Menu</a></nav><article><header><h1>Ti&amp;tle</h1></header><p>Long text of the article that goes on."
+     "<p>Short.<script>var x='<p>no</p>'</script><aside>Side</aside><ul><li>one<li>two</ul></article>"
+     "<section class=comments><p>A reader says much here, and more.</p></section><footer>Foot</footer></body></html>",
+     "Ti&tle Long text of the article that goes on. Short. one two"),
+    ("<div id='page'><div class='sidebar'>Links and links</div><div class='content'><h1>Head</h1><div><p>Body text that is long enough "
+     "to be found.</p><p>More\n of &nbsp; it<br>here</p></div></div><div class='cookie-notice'>We use cookies</div></div>",
+     "Head Body text that is long enough to be found. More of it here"),
+    ("", ""), (None, ""), ("<p>", ""), ("plain words only", "plain words only"), ("<article><p>cut sho", "cut sho"),
+]
+
+
+def test_html(spark):
+    rows = [(i, "u", h, "clash") for i, (h, _) in enumerate(PAGES)]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, text string")
+    got = html_extract.extract(pages).collect()
+    assert len(got) == len(rows) + 1 and all(r.text == PAGES[r.page_id][1] for r in got)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert pieces.select(F.sum("length")).first()[0] > 0
+    odd = spark.createDataFrame(corpus(), SCHEMA)
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, corpus()[3][1][40:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns
+    kept = {r.doc_id for r in docs.collect()}
+    assert {0, 1, 4} <= kept and not kept & {3, 30, 31, 32, 33, 34, 35}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(kept)
+    odd.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
