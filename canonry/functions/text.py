@@ -17,8 +17,8 @@ PY_WHITESPACE = r"[\s\x1c-\x1f]"
 JS_TRIM_CLASS = r"[\t\n\x0B\f\r\x{00A0}\x{FEFF}\x{2028}\x{2029}\p{Zs}]"
 
 _WS_RUN = "(?U)" + PY_WHITESPACE + "+"
-_PY_STRIP = "(?U)^" + PY_WHITESPACE + "+|" + PY_WHITESPACE + "+$"
-_JS_TRIM = "^" + JS_TRIM_CLASS + "+|" + JS_TRIM_CLASS + "+$"
+_PY_STRIP = "(?U)^" + PY_WHITESPACE + "+|" + PY_WHITESPACE + r"+\z"
+_JS_TRIM = "^" + JS_TRIM_CLASS + "+|" + JS_TRIM_CLASS + r"+\z"
 
 
 def _c(col) -> Column:

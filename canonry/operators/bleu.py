@@ -29,6 +29,7 @@ def tokenize_13a(col) -> Column:
                   F.lit("\n"), F.lit(" "))
     for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         c = F.replace(c, F.lit(a), F.lit(b))
+    c = F.concat(F.lit(" "), c, F.lit(" "))  # the rules see a blank at both ends
     for pat, rep in RULES_13A:
         c = F.regexp_replace(c, pat, rep)
     return c

@@ -49,11 +49,11 @@ def uncovered_classes(test: DataFrame, train: DataFrame, col: str = "entity_id")
 
 
 def entity_lookup(entities: DataFrame) -> DataFrame:
-    """``id -> name``; when an id repeats, the row with the largest ``_pos`` (last in file) wins."""
+    """``id -> name`` (leading blanks removed); when an id repeats, the row with the largest ``_pos`` (last in file) wins."""
     pos = F.col("_pos") if "_pos" in entities.columns else F.lit(0)
     return (entities.withColumn("_p", pos)
             .groupBy(F.col("id").alias("entity_id"))
-            .agg(F.max_by(F.col("name"), F.col("_p")).alias("_lk_name")))
+            .agg(F.max_by(F.ltrim("name"), F.col("_p")).alias("_lk_name")))
 
 
 def resolve_entities(mentions: DataFrame, entities: DataFrame, on_missing: str = "fail",
@@ -70,11 +70,11 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, on_missing: str =
     base = mentions.drop("entity_name") if "entity_name" in mentions.columns else mentions
     joined = base.join(lookup, "entity_id", "left")
     if on_missing == "fail":
-        name = F.when(F.col("_found").isNull(),
-                      F.raise_error(F.concat(F.lit("unknown entity_id: "),
-                                             F.col("entity_id").cast("string"))).cast("string")
-                      ).otherwise(F.col("_lk_name"))
-        return joined.withColumn("entity_name", name).drop("_lk_name", "_found")
+        # A filter, so that the check runs whichever columns are read later.
+        shown = F.coalesce(F.col("entity_id").cast("string"), F.lit("NULL"))
+        known = F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("unknown entity_id: "), shown))
+                       .cast("boolean")).otherwise(F.lit(True))
+        return joined.where(known).withColumnRenamed("_lk_name", "entity_name").drop("_found")
     if on_missing == "quarantine":
         resolved = (joined.where(F.col("_found").isNotNull())
                     .withColumnRenamed("_lk_name", "entity_name").drop("_found"))

@@ -43,12 +43,12 @@ def argmax_by(group_cols, value_col: str, score_col: str, tie_col: str | None =
               df: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """Per group, the ``value_col`` with the highest score; tie -> smallest ``tie_col``.
 
-    A partial + final aggregate (``max_by``): no sort, hot groups are combined map-side.
+    A partial + final aggregate (``min_by``; ids of any type that orders): no sort, hot groups are combined map-side.
     """
     tie_col = tie_col or value_col
     out = out or value_col
-    key = F.struct(rank_key(score_col).alias("s"), (-F.col(tie_col)).alias("t"))
-    best = F.max_by(F.struct(F.col(value_col).alias("v"), F.col(score_col).alias("score")), key)
+    key = F.struct((-rank_key(score_col)).alias("s"), F.col(tie_col).alias("t"))
+    best = F.min_by(F.struct(F.col(value_col).alias("v"), F.col(score_col).alias("score")), key)
     return (df.groupBy(*group_cols).agg(best.alias("_best"))
             .select(*group_cols, F.col("_best.v").alias(out), F.col("_best.score").alias(score_col)))
 

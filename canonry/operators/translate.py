@@ -25,7 +25,6 @@ from canonry.session import cut_lineage, cut_lineage_bucketed
 
 # Decoding defaults.
 DEFAULT_MIN_P = 0.5
-MAX_GENERATE_TOKENS = 90
 
 
 def alignment_rows(df: DataFrame, id_col: str, src_col: str, tgt_col: str) -> DataFrame:
@@ -70,16 +69,18 @@ def best_targets(table: DataFrame) -> DataFrame:
 
 
 def generate_names(table: DataFrame, df: DataFrame, id_col: str, src_col: str, min_p: float = DEFAULT_MIN_P,
-                   max_len: int = MAX_GENERATE_TOKENS, out: str = "generated",
+                   max_len: int | None = None, out: str = "generated",
                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Each known source token, in order, becomes its best target if ``p >= min_p``;
-    the first occurrence of each target is kept, at most ``max_len`` tokens, joined by a
+    the first occurrence of each target is kept (at most ``max_len`` if given), joined by a
     space. Rows with no emitted token get the empty string. One row out per row in.
     """
     best = bounded_broadcast(best_targets(table).where(rank_key("p") >= F.lit(min_p)), max_broadcast_rows)
     toks = explode_terms(df, [F.col(id_col).alias("_id")], src_col, "word", with_pos=True, term_col="s")
     emitted = toks.join(best, "s").groupBy("_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("_seq"))
-    words = F.slice(F.array_distinct(F.transform("_seq", lambda x: x["t"])), 1, max_len)
+    words = F.array_distinct(F.transform("_seq", lambda x: x["t"]))
+    if max_len is not None:
+        words = F.slice(words, 1, max_len)
     gen = emitted.select(F.col("_id").alias(id_col), F.array_join(words, " ").alias(out))
     return df.join(gen, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))

@@ -327,6 +327,7 @@ def tok13a(x: str) -> str:
     c = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
     for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         c = f"replace({c}, '{a}', '{b}')"
+    c = f"(' ' || {c} || ' ')"
     for pat, rep in RULES_13A_SQL:
         c = f"regexp_replace({c}, '{pat}', '{rep}', 'g')"
     return c
@@ -412,8 +413,7 @@ toks as (select mention_id, generate_subscripts(arr, 1) as pos, unnest(arr) as s
 em as (select k.mention_id, k.pos, b.t from toks k join best b using (s)),
 firsts as (select mention_id, t, min(pos) as pos from em group by mention_id, t),
 gen as (select mention_id, string_agg(t, ' ' order by pos) as generated from
-        (select *, row_number() over (partition by mention_id order by pos) as k from firsts) where k <= 90
-        group by mention_id),
+        firsts group by mention_id),
 g as (select t.mention_id, t.mention, t.entity_name, coalesce(gen.generated, '') as generated
       from m_test t left join gen using (mention_id))"""
 SQL["generate_names"] = GEN + "\nselect mention_id, mention, generated from g"

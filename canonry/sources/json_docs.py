@@ -24,17 +24,19 @@ from canonry.operators.labels import resolve_entities
 ENTITY_FIELDS = ["entity_id:bigint", "entity_name:string", "entity_type_id:bigint", "entity_type_name:string"]
 TRAIN_FIELDS = ["entity_id:bigint", "mentions:array<string>"]
 TEST_FIELDS = ["mention:string", "entity_id:bigint"]
+REQUIRED = ("entity_id", "entity_name", "mentions", "mention")
 
 
 def _read(spark: SparkSession, path: str, fields: list[str], layout: str) -> DataFrame:
     """-> (key, value struct, _pos) with one row per key (the last entry of a repeated key)."""
     if layout == "document":
         doc = spark.read.schema(f"data map<string, struct<{','.join(fields)}>>") \
-            .option("multiLine", True).json(path)
+            .option("multiLine", True).option("mode", "FAILFAST").json(path)
         rows = doc.select(F.input_file_name().alias("_file"), F.posexplode("data").alias("_i", "key", "value"))
         pos = F.struct(F.col("_file"), F.lit(0).cast("long"), F.col("_i").cast("long"))
     elif layout == "lines":
-        flat = spark.read.schema("key string, " + ", ".join(f.replace(":", " ", 1) for f in fields)).json(path)
+        flat = spark.read.schema("key string, " + ", ".join(f.replace(":", " ", 1) for f in fields)) \
+            .option("mode", "FAILFAST").json(path)
         names = [f.split(":", 1)[0] for f in fields]
         rows = flat.select("key", F.struct(*names).alias("value"),
                            F.col("_metadata.file_path").alias("_file"),
@@ -43,7 +45,15 @@ def _read(spark: SparkSession, path: str, fields: list[str], layout: str) -> Dat
         pos = F.struct(F.col("_file"), F.col("_blk"), F.col("_i"))
     else:
         raise ValueError(f"layout must be 'document' or 'lines', not {layout!r}")
-    rows = rows.withColumn("_pos", pos)
+    # A malformed line, a NULL key or a missing field stops the job: nothing is lost silently.
+    names = [f.split(":", 1)[0] for f in fields]
+    required = [n for n in names if n in REQUIRED]
+    missing = F.col("key").isNull() | F.col("value").isNull()
+    for n in required:
+        missing = missing | F.col("value")[n].isNull()
+    complete = F.when(missing, F.raise_error(F.concat(F.lit("entry without key or required field: "), F.coalesce(
+        F.col("key"), F.lit("NULL")))).cast("boolean")).otherwise(F.lit(True))
+    rows = rows.where(complete).withColumn("_pos", pos)
     return rows.groupBy("key").agg(F.max_by(F.struct("value", "_pos"), F.col("_pos")).alias("_last")) \
                .select("key", F.col("_last.value").alias("value"), F.col("_last._pos").alias("_pos"))
 
