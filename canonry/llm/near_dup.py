@@ -37,8 +37,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 96
 ROWS = 4
-#: Further pivots tried in a bucket where much is left open by the first (speed only).
-PIVOTS = 3
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _PICK = np.uint64(0xA0761D6478BD642F)
@@ -165,6 +163,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, n, label) of different labels that may be ``similarity`` alike; none is lost.
+
+    With all shingles ordered from rare to common, a pair's first common shingle stands at places i and j
+    with min(n_a - i, n_b - j) >= similarity / (1 + similarity) * (n_a + n_b): it is among the first of both.
+    Texts that differ from a common source in more than a link allows have their own shingles there.
+    """
+    shingles = sets.join(nodes, "node").select("node", "n", "label", F.explode("shingles").alias("shingle"))
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("texts", F.lit(1)), "shingle"))
+    placed = shingles.join(shared, "shingle", "left").withColumn("rest", F.col("n") - place + 1)
+    first = cut_lineage(placed.filter((F.col("rest") >= similarity * F.col("n") - 1e-6) & F.col("texts").isNotNull()), name="first")
+    share = similarity / (1 + similarity)
+    smaller = first.filter(F.col("rest") >= 2 * share * F.col("n") - 1e-6).select(
+        "shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "rest")])
+    larger = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("node_a") < F.col("node")))
+    near = F.least("rest_a", "rest") >= share * (F.col("n_a") + F.col("n")) - 1e-6
+    return smaller.join(first, "shingle").filter((F.col("label_a") != F.col("label")) & larger & near).select(
+        F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds each member's ``label`` and its bucket's ``main`` one, the pivot's."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -186,7 +205,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = RE
     members = members.join(mass, "node")
     central = F.max_by("node", F.struct("mass", "node"))
     members = cut_lineage(members.join(members.groupBy("key").agg(central.alias("pivot")), "key"), name="buckets")
-    total = members.count()
 
     wanted = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
@@ -198,33 +216,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = RE
 
     known = linked(members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     links = known.filter(F.col("similarity") >= similarity).select("a", "b")
-    far = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
-    members = cut_lineage(members.join(far, ["node", "pivot"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))),
-                          name="buckets")
     labels = components(links)
     placed = _placed(members, labels)
-    apart = placed.filter("label != main")
-    if (apart.agg(F.sum("size")).first()[0] or 0) > 4 * total:
-        # Many nodes apart: the bucket's next pivots in company for them, before all open pairs are taken.
-        by = W.partitionBy("key").orderBy(F.desc("mass"), F.desc("node"))
-        pivots = (placed.filter("node != pivot").join(apart.select("key").distinct(), "key", "left_semi")
-                  .withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= PIVOTS)
-                  .select("key", F.col("node").alias("next"), F.col("label").alias("of")))
-        pairs = apart.join(pivots, "key").filter("label != of").select(F.col("node").alias("a"), F.col("next").alias("b")).distinct()
-        links = links.union(linked(pairs).filter(F.col("similarity") >= similarity).select("a", "b"))
-        labels = components(links)
-        placed = _placed(members, labels)
-        apart = placed.filter("label != main")
-
-    # Nodes left in another class than their bucket's pivot, against the bucket's nodes of other classes.
-    apart = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "far")])
-    reach = 1 - similarity + 1e-9
-    others = placed.filter("node != pivot").join(apart.select("key").distinct(), "key", "left_semi")
-    open_pairs = (apart.join(others, "key").filter(
-        (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("node_a") < F.col("node")))
-        & (F.abs(F.col("far_a") - F.col("far")) <= reach)
-        & (F.least("n", "n_a") >= (similarity - 1e-9) * F.greatest("n", "n_a")))
-        .select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct())
+    # Nodes left in another class than their bucket's pivot, against all nodes of other classes in such buckets.
+    unsettled = placed.filter("label != main").select("key").distinct()
+    nodes = cut_lineage(placed.join(unsettled, "key", "left_semi").select("node", "n", "label").distinct(), name="open")
+    open_pairs = _open_pairs(nodes, sets, similarity)
     more = linked(open_pairs).filter(F.col("similarity") >= similarity).select("a", "b")
     if more.limit(1).count():
         labels = components(links.union(more))
