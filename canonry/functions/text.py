@@ -83,24 +83,18 @@ def char_ngrams(col, n: int = 3) -> Column:
             .otherwise(F.array().cast("array<string>")))
 
 
-def tokenize_terms(col, kind: str = "word", n: int = 3, normalize: bool = True,
-                   max_len: int | None = None) -> Column:
-    """Terms of a text, with repeats, in order.
+def tokenize_terms(col, kind: str = "word", n: int = 3, normalize: bool = True) -> Column:
+    """Terms of a whole text, with repeats, in order.
 
     ``kind="word"``: words of the normalised text; ``kind="char_ngram"``: character
-    n-grams. ``max_len`` truncates like a model's maximum length (off by default:
-    whole texts are processed).
+    n-grams.
     """
     c = normalize_text(col) if normalize else _c(col)
     if kind == "word":
-        terms = word_terms(c) if normalize else split_whitespace(c)
-    elif kind == "char_ngram":
-        terms = char_ngrams(c, n)
-    else:
-        raise ValueError(f"unknown term kind {kind!r}")
-    if max_len is not None:
-        terms = F.slice(terms, 1, max_len)
-    return terms
+        return word_terms(c) if normalize else split_whitespace(c)
+    if kind == "char_ngram":
+        return char_ngrams(c, n)
+    raise ValueError(f"unknown term kind {kind!r}")
 
 
 def explode_terms(df, keep_cols, text_col: str, kind: str = "word", n: int = 3, normalize: bool = True,
@@ -114,15 +108,19 @@ def explode_terms(df, keep_cols, text_col: str, kind: str = "word", n: int = 3,
     """
     keep = [F.col(c) if isinstance(c, str) else c for c in keep_cols]
     if kind == "char_ngram":
-        # One generated row per start position, the n-gram cut with substring: no
-        # per-row array of n-grams and no lambda. A non-empty text shorter than n is
-        # one term; an empty (or NULL) text generates nothing.
+        # The normalised text becomes an array of characters once per row (the one-element
+        # explode keeps the optimiser from moving that work above the second generator);
+        # each start position then cuts its n-gram by index, so the work is linear in the
+        # text's length. A non-empty text shorter than n is one term; an empty (or NULL)
+        # text generates only an empty term, dropped below.
         c = normalize_text(text_col) if normalize else F.col(text_col)
-        starts = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))))
-        gen = df.select(*keep, c.alias("_txt"), F.posexplode(starts).alias("pos", "_start"))
-        kept = gen.columns[:len(keep)]
-        return gen.select(*kept, *(["pos"] if with_pos else []),
-                          F.substring(F.col("_txt"), F.col("_start"), n).alias(term_col))
+        chars = df.select(*keep, F.explode(F.array(F.split(c, ""))).alias("_chars"))
+        kept = chars.columns[:len(keep)]
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_chars") - n + 1, F.lit(1)))
+        gen = chars.select(*kept, "_chars", F.posexplode(starts).alias("pos", "_start"))
+        out = gen.select(*kept, *(["pos"] if with_pos else []),
+                         F.array_join(F.slice("_chars", F.col("_start"), n), "").alias(term_col))
+        return out.where(F.length(F.col(term_col)) > 0)
     if kind == "word":
         base = F.lower(F.col(text_col)) if normalize else F.col(text_col)
         arr = F.split(base, _WS_RUN, -1)
