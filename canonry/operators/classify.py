@@ -21,8 +21,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
 from canonry.functions.text import explode_terms
 from canonry.operators.ranking import rank_key
 from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, broadcast_if, note_rows
@@ -126,10 +124,9 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     cand = cand.join(classes, "label").withColumn(
         "score", F.col("prior") - F.col("L") * F.col("per_len") + F.col("inc"))
     best = F.max_by(F.struct(F.col("label"), F.col("score")), F.struct(rank_key("score"), -F.col("label")))
-    # One row per scored input row; kept (memory, spilling to disk) so that reading
-    # the occurring lengths and producing the output run the term join once.
-    matched = cand.groupBy("_id").agg(best.alias("m"), F.max("L").alias("L")) \
-                  .persist(StorageLevel.MEMORY_AND_DISK)
+    # One row per scored input row; written once, so that reading the occurring lengths and
+    # producing the output run the term join once and a lost executor loses nothing.
+    matched = cut_lineage(cand.groupBy("_id").agg(best.alias("m"), F.max("L").alias("L")), name="nb-matched")
     # Only the lengths that occur (plus 0, for rows with no known term) need a default:
     # at most one value per known-term count up to the longest text, as metadata.
     lengths = {int(r[0]) for r in matched.select(F.col("L").cast("long")).distinct().collect()} | {0}
@@ -141,22 +138,10 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     take_default = (F.col("m").isNull()
                     | (rank_key("d_score") > rank_key("m.score"))
                     | ((rank_key("d_score") == rank_key("m.score")) & (F.col("d_label") < F.col("m.label"))))
-    result = out.select(
+    return out.select(
         F.col("_id").alias(id_col), *keep,
         F.when(take_default, F.col("d_label")).otherwise(F.col("m.label")).alias("label"),
         F.when(take_default, F.col("d_score")).otherwise(F.col("m.score")).alias("score"))
-    result._canonry_cached = [matched]
-    return result
-
-
-def release(pred: DataFrame) -> None:
-    """Unpersist what ``predict_labels`` kept for ``pred``; call once its output is written.
-
-    Long-running callers (a stream scoring every micro-batch) use it so cached
-    blocks do not pile up on the executors.
-    """
-    for part in getattr(pred, "_canonry_cached", ()):
-        part.unpersist()
 
 
 def train_lr(df: DataFrame, text_col: str = "text", label_col: str = "label",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from canonry.functions.text import split_lines
 from canonry.operators.classify import NBModel, predict_labels, train_classifier
 from canonry.operators.labels import build_vocabulary, decode_labels, encode_labels
+from canonry.session import cut_lineage
 
 # Fixed value shown when a line has no (or an empty) prediction.
 NO_MATCH = "(no match)"
@@ -24,7 +25,7 @@ class Standardizer:
 def fit_standardizer(train: DataFrame, text_col: str = "mention", name_col: str = "entity_name",
                      kind: str = "word", n: int = 3, alpha: float = 1.0) -> Standardizer:
     """Vocabulary from the training rows only, then naive Bayes on (normalised text, label)."""
-    vocab = build_vocabulary(train, name_col).cache()
+    vocab = cut_lineage(build_vocabulary(train, name_col), name="vocabulary")
     rows = encode_labels(train.select(text_col, name_col), vocab, name_col, "label")
     return Standardizer(vocab, train_classifier(rows, text_col, "label", kind, n, alpha))
 

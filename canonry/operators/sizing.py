@@ -1,8 +1,7 @@
 """Size checks that guard every broadcast.
 
-A side is broadcast only after a bounded count proves it small:
-``df.limit(bound + 1).count()`` stops reading after ``bound + 1`` rows. Beyond
-the bound the join is left to a shuffle (sort-merge with AQE skew splitting).
+A side is broadcast only after a count (partial per task, then one row each) proves it
+small. Beyond the bound the join is left to a shuffle (sort-merge with AQE skew splitting).
 
 A proof is remembered per DataFrame object (immutable plan), and an operator that
 already knows a table's row count (it wrote or counted it) records it with
@@ -19,28 +18,21 @@ from pyspark.sql import functions as F
 # Defaults; override per call.
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
-# DataFrame -> (exact, n): exact row count n, or (False, n) for "more than n rows".
-_KNOWN: "weakref.WeakKeyDictionary[DataFrame, tuple[bool, int]]" = weakref.WeakKeyDictionary()
+# DataFrame -> its row count.
+_KNOWN: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
 
 
 def note_rows(df: DataFrame, n: int) -> DataFrame:
     """Record that ``df`` has exactly ``n`` rows; returns ``df``."""
-    _KNOWN[df] = (True, int(n))
+    _KNOWN[df] = int(n)
     return df
 
 
 def row_bound_ok(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    known = _KNOWN.get(df)
-    if known is not None:
-        exact, n = known
-        if exact:
-            return n <= max_rows
-        if n >= max_rows:
-            return False
-    n = df.limit(max_rows + 1).count()
-    _KNOWN[df] = (True, n) if n <= max_rows else (False, max_rows)
-    return n <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows."""
+    if df not in _KNOWN:
+        note_rows(df, df.count())
+    return _KNOWN[df] <= max_rows
 
 
 def broadcast_if(df: DataFrame, proof: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -392,6 +392,7 @@ def tfidf_nearest(spark, sf_dir):
     """TF-IDF char 3-gram nearest training mention per test mention, exact (blocked sparse)."""
     test, train, qv, tv = _tfidf_sides(spark, sf_dir)
     nb = sim.nearest(qv, tv, qid="mention_id", tid="mention_id", sparse=True, method="blocked")
+    nb = sim.every_query(nb, test, train, "mention_id", "mention_id")
     return _rounded(sim.transfer_labels(nb, train, "mention_id", "entity_name", "predicted"))
 
 
@@ -400,6 +401,7 @@ def nn_standardize(spark, sf_dir):
     """Nearest-neighbour standardisation accuracy (labels from training neighbours)."""
     test, train, qv, tv = _tfidf_sides(spark, sf_dir)
     nb = sim.nearest(qv, tv, qid="mention_id", tid="mention_id", sparse=True)
+    nb = sim.every_query(nb, test, train, "mention_id", "mention_id")
     pred = sim.transfer_labels(nb, train, "mention_id", "entity_name", "p")
     pairs = test.select(F.col("mention_id").alias("query_id"), F.col("entity_name").alias("y")) \
         .join(pred, "query_id", "left")

@@ -293,11 +293,14 @@ best as (select * from (
   from pairs where score > 0) where rank = 1)"""
 
 SQL["tfidf_nearest"] = "with " + TFIDF + """
-select b.query_id, b.neighbour_id, round(b.score, 6) as score, b.rank, t.entity_name as predicted
-from best b join m_train t on t.mention_id = b.neighbour_id"""
+select q.mention_id as query_id, t.mention_id as neighbour_id, round(coalesce(b.score, 0), 6) as score,
+  coalesce(b.rank, 1) as rank, t.entity_name as predicted
+from m_test q left join best b on b.query_id = q.mention_id
+join m_train t on t.mention_id = coalesce(b.neighbour_id, (select min(mention_id) from m_train))"""
 SQL["nn_standardize"] = "with " + TFIDF + """
 select round(avg(case when t.entity_name = n.entity_name then 1.0 else 0.0 end), 9) as accuracy
-from m_test t left join best b on b.query_id = t.mention_id left join m_train n on n.mention_id = b.neighbour_id"""
+from m_test t left join best b on b.query_id = t.mention_id left join m_train n
+  on n.mention_id = coalesce(b.neighbour_id, (select min(mention_id) from m_train))"""
 SQL["tfidf_vectors"] = f"""
 with m as ({MENTIONS}),
 tf as (select id, term, count(*) as tf from

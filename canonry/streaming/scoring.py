@@ -18,10 +18,11 @@ def standardize_stream(stream_df: DataFrame, std: Standardizer, id_col: str, tex
     """Start the query; returns the StreamingQuery (``availableNow`` drains then stops)."""
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        pred = classify.predict_labels(std.model, batch.select(id_col, text_col), id_col, text_col)
+        rows = batch.select(id_col, text_col).persist()  # read for the terms and for the output
+        pred = classify.predict_labels(std.model, rows, id_col, text_col)
         named = labels.decode_labels(pred.select(id_col, "label"), std.vocab, "label", "predicted")
         named.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
-        classify.release(pred)
+        rows.unpersist()
 
     w = stream_df.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

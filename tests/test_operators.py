@@ -198,10 +198,10 @@ def test_size_proofs_are_remembered_and_notes_are_used(spark):
     from canonry.operators import sizing
     df = spark.range(10)
     assert sizing.row_bound_ok(df, 10) and not sizing.row_bound_ok(df, 9)
-    assert sizing._KNOWN[df] == (True, 10)
+    assert sizing._KNOWN[df] == 10
     big = spark.range(50)
     assert not sizing.row_bound_ok(big, 20)
-    assert not sizing.row_bound_ok(big, 5)          # "more than 20" answers this without a count
+    assert not sizing.row_bound_ok(big, 5)
     noted = sizing.note_rows(spark.range(3), 3)
     assert sizing.row_bound_ok(noted, 3) and not sizing.row_bound_ok(noted, 2)
 
@@ -220,15 +220,39 @@ def test_bucketed_lineage_cut_feeds_a_window_without_exchange(spark):
         map(tuple, df.withColumn("s", F.sum("v").over(Window.partitionBy("row", "t"))).collect()))
 
 
-def test_release_unpersists_prediction_cache(spark):
-    train = spark.createDataFrame([("red apple", 0), ("green pear", 1)], "text string, label long")
-    model = classify.train_classifier(train, "text", "label")
-    pred = classify.predict_labels(model, spark.createDataFrame([(1, "apple")], "id long, text string"), "id", "text")
-    assert [r.label for r in pred.collect()] == [0]
-    cached = pred._canonry_cached
-    assert all(c.storageLevel.useMemory or c.storageLevel.useDisk for c in cached)
-    classify.release(pred)
-    assert all(not (c.storageLevel.useMemory or c.storageLevel.useDisk) for c in cached)
+def test_predictions_leave_nothing_cached(spark):
+    from canonry.operators import serve
+    train = spark.createDataFrame([("red apple", "A"), ("green pear", "B")], "mention string, entity_name string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    std = serve.fit_standardizer(train)
+    for _ in range(2):
+        df = spark.createDataFrame([(1, "apple"), (2, "zzz"), (3, None)], "row_id long, text string")
+        assert {r.row_id: r.predicted for r in serve.standardize(df, std).collect()} == {1: "A", 2: "A", 3: "A"}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_topk_rows_equals_full_sort():
+    import numpy as np
+
+    from canonry.operators.similarity import _topk_rows
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 50):
+        scores = rng.integers(0, 4, (7, 12)) / 4.0
+        tids = np.array([f"t{i}" for i in rng.permutation(12)], dtype=object)
+        q, t, s, r = _topk_rows(np.arange(7), scores, tids, k, False)
+        want = [(i, tid, -neg, n + 1) for i in range(7)
+                for n, (neg, tid) in enumerate(sorted((-scores[i, j], tids[j]) for j in range(12))[:k])]
+        assert list(zip(q, t, s, r)) == want
+
+
+def test_every_query_has_a_neighbour(spark):
+    from canonry.operators import similarity as sim
+    nb = spark.createDataFrame([(1, 20, 0.5, 1)], "query_id long, neighbour_id long, score double, rank int")
+    q = spark.createDataFrame([(1,), (2,)], "id long")
+    t = spark.createDataFrame([(20,), (10,)], "id long")
+    rows = sorted(tuple(x) for x in sim.every_query(nb, q, t, "id", "id").collect())
+    assert rows == [(1, 20, 0.5, 1), (2, 10, 0.0, 1)]
+    assert sim.every_query(nb, q, t.limit(0), "id", "id").count() == 1
 
 
 def test_block_counts_bound_block_size_and_copies():
