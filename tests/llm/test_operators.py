@@ -97,6 +97,26 @@ def test_context_tree_is_context_tree_weighting():
         assert np.log(value).sum() == pytest.approx(after - before, rel=1e-9)
 
 
+def test_open_pairs_lose_no_link(spark):
+    rng = random.Random(11)
+    base = rng.sample(range(10 ** 6), 60)
+    sets = []
+    for i in range(90):
+        own = set(rng.sample(base, rng.randint(30, 60))) if i % 3 else set(sets[rng.randrange(len(sets))]) if sets else set(base)
+        for _ in range(rng.randint(0, 9)):
+            own.discard(rng.choice(base))
+            own.add(rng.randrange(10 ** 6, 10 ** 7))
+        sets.append(own)
+    labels = [i % 7 for i in range(90)]
+    nodes = spark.createDataFrame([(i, len(x), labels[i]) for i, x in enumerate(sets)], "node long, n long, label long")
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, shingles array<long>")
+    found = {frozenset((r.a, r.b)) for r in near_dup._open_pairs(nodes, table, 0.8).collect()}
+    alike = {frozenset((i, j)) for i in range(90) for j in range(i) if labels[i] != labels[j]
+             and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(alike) > 10 and alike <= found
+    assert near_dup._open_pairs(nodes.limit(0), table, 0.8).count() == 0
+
+
 def test_near_duplicates(spark, docs, none):
     rows = {(r.doc_id, r.text_hash): r.class_id for r in near_dup.classes(docs).collect()}
     sets = {}
