@@ -1,11 +1,12 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 A text's elements are its distinct five-word shingles (lower-cased A to Z; a shorter text is one
-shingle), weighted 1 + ln(occurrences). Each element's arrivals are a Poisson process of its
+shingle), all of one weight however often they occur, as the verification below counts them. Each
+element's arrivals are a Poisson process of its
 weight, seeded by its hash; an arrival takes one of ``REGISTERS`` registers, which
 keeps its earliest arrival's element. An element stops as soon as its next arrival is later than
 all of its text's registers. Two texts agree in a register with the probability Jaccard similarity
-of their weighted shingles. Bands of ``ROWS`` registers (``REGISTERS / ROWS`` of them) are bucket
+of their weighted shingles, for equal weights the Jaccard similarity of the sets. Bands of ``ROWS`` registers (``REGISTERS / ROWS`` of them) are bucket
 keys: a pair of similarity 0.8 shares one with probability 1 - (1 - 0.8^4)^24 = 0.999997.
 
 Texts with the same words are one node throughout, so copies cost one row each. In a bucket
@@ -99,8 +100,9 @@ def _signed(docs: DataFrame, registers: int, rows: int) -> DataFrame:
         for batch in batches:
             for chunk in textbytes.chunks(batch.column(2), lower=True):
                 words = textbytes.words(chunk)
-                doc, value, n = elements(words)
-                held = signatures(chunk.n_docs, doc, value, 1.0 + np.log(n), registers)
+                doc, value, _ = elements(words)
+                # Equal weights: candidates are drawn by the measure that _verified judges links by.
+                held = signatures(chunk.n_docs, doc, value, np.ones(len(value)), registers)
                 bands = np.zeros((chunk.n_docs, registers // rows), dtype=np.uint64)
                 for i in range(rows):
                     bands = textbytes.mix(bands * _STEP + held[:, i::rows] + np.arange(registers // rows, dtype=np.uint64))

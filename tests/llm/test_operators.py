@@ -144,6 +144,20 @@ def test_near_duplicates(spark, docs, none):
     assert near_dup.classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
 
 
+def test_repeated_lines_lose_no_link(spark):
+    """A block that one text of a pair repeats changes its counts, not its set: the pair stays linked."""
+    rng = random.Random(13)
+    rows, pairs = [], 20
+    for i in range(pairs):
+        own = [f"w{rng.randrange(10 ** 6)}" for _ in range(304)]
+        block = [f"b{rng.randrange(10 ** 6)}" for _ in range(55)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own + block * rng.choice((50, 200, 1000))))]
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in (space_words(t) for _, t in rows)]
+    assert all(0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.85 for i in range(0, 2 * pairs, 2))
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * pairs)}
+
+
 def test_signatures_estimate_the_probability_jaccard():
     rng = np.random.default_rng(3)
     value = context_tree.textbytes.mix(np.arange(1, 301, dtype=np.uint64))
