@@ -3,7 +3,7 @@
 Texts and templates are five-word shingles of lower-cased alphanumeric words (a template of
 fewer words is one shingle of its own length; those lengths are looked up too). A window of
 ``WINDOW`` shingles starts every ``STRIDE`` of them; of each window, ``BANDS`` smallest values
-under different permutations (the hash xor-ed with a mask) are its band keys, one row each.
+under different permutations (the shingle hashed with the band's number) are its band keys, one row each.
 Templates of at least twice a window's length give the keys of all their windows: a copy of
 the template then holds whole windows equal to template windows, which agree in every band, and an
 edited window of Jaccard similarity s agrees in some band with probability 1 - (1 - s)^BANDS, 0.998 at
@@ -11,7 +11,7 @@ edited window of Jaccard similarity s agrees in some band with probability 1 - (
 are equal or not. Retrieved pairs are verified exactly: the share of the template's
 distinct shingles that occur in the text must reach ``CONTAINMENT``.
 
-The templates are a given table or the short list below; they are broadcast while they have at
+The templates are a given table or the list in ``notices``; they are broadcast while they have at
 most ``BROADCAST_SHINGLES`` shingles (counted) and joined by a shuffle beyond that. Texts are exploded and
 joined where they are read; of a retrieved text only its hashes are shuffled, once per template.
 
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.llm.native import let, lower_words, window_hashes
+from canonry.llm.notices import NOTICES
 
 SHINGLE = 5
 WINDOW = 8
@@ -33,34 +34,8 @@ BANDS = 4
 CONTAINMENT = 0.8
 BROADCAST_SHINGLES = 200_000
 
-#: Notices as licenses ask for them.
-TEMPLATES = (
-    ("Apache-2.0-short", "Licensed under the Apache License, Version 2.0."),
-    ("MIT-short", "Released under the MIT License."),
-    ("GPL-3.0-short", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0-short", "Licensed under CC BY-NC 4.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
-     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
-     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
-     'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
-     "the specific language governing permissions and limitations under the License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-     'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-     "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-     "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-     "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the "
-     "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
-     "your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-     "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
-     "General Public License for more details."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
-     "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-)
-#: One mask per band.
-MASKS = (0x0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x106689D45497FDB5, 0x6C8E9CF570932BD5)
+#: Notices of common licenses.
+TEMPLATES = NOTICES
 
 
 def templates(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
@@ -78,11 +53,11 @@ def _window_keys(shingles: Column, stride: int, bands: int) -> Column:
     """Band keys (band number and smallest value) of the windows of a text's shingles."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(shingles) - (WINDOW - 1), F.lit(1)), F.lit(stride))
 
-    def band(b: int, mask: int) -> Column:
-        permuted = F.transform(shingles, lambda h: h.bitwiseXOR(F.lit(mask)))
+    def band(b: int) -> Column:
+        permuted = F.transform(shingles, lambda h: F.xxhash64(F.lit(b), h))
         return let(permuted, lambda x: F.transform(starts, lambda i: F.xxhash64(F.lit(b), F.array_min(F.slice(x, i, WINDOW)))))
 
-    keys = [band(b, mask) for b, mask in enumerate(MASKS[:bands])]
+    keys = [band(b) for b in range(bands)]
     return F.when(F.size(shingles) >= WINDOW, F.concat(*keys)).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -354,6 +354,44 @@ def test_licenses(spark, docs, none):
     assert licenses.find(none, notices).count() == 0 and licenses.find(docs, notices.limit(0)).count() == 0
 
 
+def test_licenses_of_all_kinds(spark):
+    """Licenses beyond the first nine notices, each by a text that is not word for word the table's."""
+    rows = [
+        ("BSD", open("/usr/share/common-licenses/BSD").read()), ("GPL-2.0-text", open("/usr/share/common-licenses/GPL-2").read()),
+        ("Apache-2.0-text", open("/usr/share/common-licenses/Apache-2.0").read()),
+        ("GPL-2.0-or-later", "# it under the terms of the GNU General Public License\n# as published by the Free Software Foundation;\n"
+         "# either version 2 of the License, or (at your option) any later version."),
+        ("AGPL-3.0-or-later", "modify it under the terms of the GNU Affero General Public License as published by the Free "
+         "Software Foundation, either version 3 of the License, or (at your option) any later version."),
+        ("LGPL-2.1-short", "Free to use, under the GNU Lesser General Public License, version 2.1, as ever"),
+        ("CC-BY-SA-4.0", "Text is available under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+         "rights to this software to the public domain worldwide. This software is distributed without any guarantee."),
+        ("EPL-2.0-short", "Published under the Eclipse Public License 2.0."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+         "publish, use, compile, sell or distribute this software in source code form or as a compiled binary, for any purpose, "
+         "commercial or non-commercial, and by any means."),
+    ]
+    table = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
+    found = {}
+    for r in licenses.find(table, licenses.templates(spark)).collect():
+        found.setdefault(r.doc_id, set()).add(r.license_id)
+    assert [k for i, (k, _) in enumerate(rows) if not any(f == k or f.startswith(f"{k}-short") for f in found.get(i, ()))] == []
+    # A version or a family is not taken for another one.
+    assert not any(k.startswith("GPL-3") for k in found[3]) and not any(k.startswith("GPL") for k in found[4])
+    assert len({k for k, _ in licenses.TEMPLATES}) == len(licenses.TEMPLATES)
+
+
+def test_license_bands_are_independent(spark):
+    """Of windows that share 7 of 9 shingles, (2/9) ** 4 = 0.24 % agree in no band."""
+    rng = np.random.default_rng(5)
+    value = rng.integers(-2 ** 63, 2 ** 63, (6000, 9)).tolist()
+    pairs = spark.createDataFrame([(v[:8], v[1:]) for v in value], "a array<long>, b array<long>")
+    keys = [licenses._window_keys(F.col(c), 1, licenses.BANDS) for c in "ab"]
+    missed = pairs.filter(F.size(F.array_intersect(*keys)) == 0).count()
+    assert missed <= 33  # 14.6 expected
+
+
 def test_secrets(spark, docs, none):
     import math
 
