@@ -16,7 +16,9 @@ to every task: each text meets the shards it has anchors in, and no others.
 
 Hot passages: a batch keeps one row per anchor and region on its way to the shard; its other rows are settled on
 the spot and dealt out by document. Of an anchor with more than ``HOT_REGIONS`` different regions
-each window becomes a shard of its own (equal windows only), so no automaton outgrows a task.
+each window becomes a shard of its own (equal windows only): the first place of each window hash is a partial and
+final minimum, and the windows at other places go. No words and no automaton are held for them, and the
+rows of an anchor are told apart as they stream by, so no group is held that grows with the corpus.
 
 Edge cases: null and empty texts have no words. Rows that repeat an id and a text are one
 document and each get its row; one id with different texts counts as several documents in the order
@@ -184,52 +186,57 @@ def _settle(anchored: DataFrame) -> DataFrame:
     """(id, part, start, n, anchor, hot): windows to remove (null anchor), and the regions, first of their
     content, of anchors that have several contents."""
 
-    def rows(own, part, start, n, anchor, keep):
+    def rows(own, part, start, n, anchor, keep, hot):
         return pa.RecordBatch.from_arrays(
             [pa.array(own), pa.array(part), pa.array(start), pa.array(n.astype(np.int32)),
-             pa.array(anchor, mask=~keep), pa.array(hot_of(anchor, keep))],
+             pa.array(anchor, mask=np.full(len(anchor), not keep)), pa.array(hot)],
             names=["id", "part", "start", "n", "anchor", "hot"])
 
-    def hot_of(anchor, keep):
-        _, where, size = np.unique(anchor[keep], return_inverse=True, return_counts=True)
-        hot = np.zeros(len(anchor), dtype=bool)
-        hot[keep] = size[where] > HOT_REGIONS
-        return hot
-
-    def judged(table):
-        anchor, content, own, part, start, n, settled = (table.column(i).to_numpy() for i in range(7))
-        first = _first_of_each(anchor, content, own, part, start) & ~settled
-        # Anchors whose first regions number two or more go on to the automata.
-        _, where = np.unique(anchor, return_inverse=True)
-        several = (np.bincount(where, weights=first, minlength=where.max() + 1) > 1)[where]
-        keep = first & several
-        out = keep | ~first
-        return rows(*(x[out] for x in (own, part, start, n, anchor, keep)))
-
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        # Rows come sorted by anchor, content and place. Of a batch's last anchor, which may go on in the next, the
+        # first rows of the contents are held until they are over HOT_REGIONS: then it is known to be hot.
+        last, known_hot = (None, None), None
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int32, np.int32, np.int16, np.int64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # Rows come sorted by anchor; a batch's last anchor may go on in the next.
-            anchor = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1], side="left"))
-            if cut:
-                yield judged(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield judged(pa.Table.from_batches(held).combine_chunks())
+            anchor, content, own, part, start, n, settled = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            first = np.ones(len(anchor), dtype=bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+            first[0] = (anchor[0], content[0]) != last
+            last = (anchor[-1], content[-1])
+            first &= ~settled
+            if not first.all():
+                yield rows(*(x[~first] for x in (own, part, start, n, anchor)), False, np.zeros(int((~first).sum()), dtype=bool))
+            held = [np.concatenate((x, y[first])) for x, y in zip(held, (own, part, start, n, anchor))]
+            _, where, size = np.unique(held[4], return_inverse=True, return_counts=True)
+            size = size[where]
+            hot = (size > HOT_REGIONS) | (held[4] == known_hot if known_hot is not None else False)
+            ended = held[4] != anchor[-1]
+            out = hot | ended & (size > 1)
+            if out.any():
+                yield rows(*(x[out] for x in held), True, hot[out])
+            if hot[~ended].any():
+                known_hot = anchor[-1]
+            elif known_hot != anchor[-1]:
+                known_hot = None
+            held = [x[~ended & ~hot] for x in held]
+        # Anchors whose first regions number two or more go on to the automata.
+        if len(held[4]) > 1:
+            yield rows(*held, True, np.zeros(len(held[4]), dtype=bool))
 
     # Settled rows pass through wherever they were dealt to: each is its own anchor.
     free = F.when(F.col("settled"), F.col("route")).otherwise(F.col("anchor"))
     sorted_rows = (anchored.repartition("route").select(free.alias("anchor"), "content", "id", "part", "start", "n", "settled")
-                   .sortWithinPartitions("anchor"))
+                   .sortWithinPartitions("anchor", "content", "id", "part", "start"))
     return sorted_rows.mapInArrow(run, "id long, part int, start int, n int, anchor long, hot boolean")
 
 
-def _with_words(texts: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """(key, id, part, start, words): the words of the regions at ``places``, windows of hot anchors one by one."""
+def _with_words(texts: DataFrame, places: DataFrame, window: int, words_too: bool = True) -> DataFrame:
+    """(key, id, part, start, words): the words of the regions at ``places``, windows of hot anchors one by one.
+
+    Without ``words_too`` the words are left empty.
+    """
     grouped = places.groupBy("id", "part").agg(
         F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("at"))
     joined = texts.join(grouped, ["id", "part"]).select("id", "part", "text", "at.anchor", "at.start", "at.n", "at.hot")
@@ -253,6 +260,8 @@ def _with_words(texts: DataFrame, places: DataFrame, window: int) -> DataFrame:
                     for key, start, size in spans:
                         keys.append(key)
                         starts.append(start)
+                        if not words_too:
+                            size = 0
                         sizes.append(size)
                         content.append(code[start: start + size])
                     own += [batch.column(0)[row].as_py()] * len(spans)
@@ -301,6 +310,15 @@ def _streamed(placed: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "id long, part int, start int, n int")
 
 
+def _repeated(placed: DataFrame) -> DataFrame:
+    """(id, part, start, n): windows whose key has an earlier place; no group is brought together in one task."""
+    # Read twice, not written: within one query the shuffled texts below are the same exchange.
+    windows = placed.select("key", "id", "part", "start")
+    first = windows.groupBy("key").agg(F.min(F.struct("id", "part", "start")).alias("at")).select("at.*")
+    # By place, which is unique, and not by key: a hot window's rows are dealt out evenly.
+    return windows.join(first, ["id", "part", "start"], "left_anti").select("id", "part", "start", F.lit(1).alias("n"))
+
+
 def _kept(texts: DataFrame, gone: DataFrame, window: int) -> DataFrame:
     """(id, part, n_words, n_removed, kept) of every text."""
     spans = gone.groupBy("id", "part").agg(F.collect_list(F.struct("start", "n")).alias("at"))
@@ -353,8 +371,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         texts = rows.withColumn("part", F.lit(0))
     texts = texts.select("id", "part", "text")
     found = cut_lineage(_settle(_anchored(texts, window, gram)), name="regions")
-    placed = _with_words(texts, found.filter("anchor IS NOT NULL"), window)
+    placed = _with_words(texts, found.filter("anchor IS NOT NULL AND NOT hot"), window)
     gone = found.filter("anchor IS NULL").select("id", "part", "start", "n").union(_streamed(placed, window))
+    hot = found.filter("hot")
+    if hot.limit(1).count():
+        gone = gone.union(_repeated(_with_words(texts, hot, window, words_too=False)))
     result = _kept(texts, gone, window)
     if repeated:
         every = rows.join(texts.withColumnRenamed("id", "i").withColumnRenamed("text", "t"),

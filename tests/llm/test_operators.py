@@ -283,6 +283,38 @@ def test_hot_regions_give_the_same(spark, docs, monkeypatch):
     assert all(got[w[0]] == w[1:] for w in want)
 
 
+def test_hot_passage_is_never_one_group(spark, monkeypatch):
+    """A passage with other words around it in every document: whole results, and no large group of equal windows."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(45)]
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    rows = [(i, " ".join(word(15) + passage[:rng.randint(38, 45)] + word(15))) for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)] + [(300, " ".join(word(60)))]
+    seen, want = {}, {}
+    for i, text in rows:
+        w, gone = text.split(" "), set()
+        for j in range(len(w) - 19):
+            if seen.setdefault(tuple(w[j:j + 20]), (i, j)) != (i, j):
+                gone |= set(range(j, j + 20))
+        want[i] = (len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+    groups, streamed = [], substrings._streamed
+
+    def recorded(placed, window):
+        groups.extend(r["count"] for r in placed.groupBy("key").count().collect())
+        return streamed(placed, window)
+
+    monkeypatch.setattr(substrings, "HOT_REGIONS", 5)
+    monkeypatch.setattr(substrings, "_streamed", recorded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for records in ("10000", "7"):  # of few records a batch, anchors go on over many batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            got = {r.doc_id: (r.n_removed, r.kept) for r in substrings.deduplicate(docs).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want and max(groups, default=0) <= 5
+
+
 def test_automaton_matching_statistics():
     rng = random.Random(2)
     for _ in range(30):
