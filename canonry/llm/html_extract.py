@@ -5,9 +5,10 @@ block, with the number of tags met in it. Each line gets its text-to-tag ratio,
 smoothed with a Gaussian kernel along the page, and a threshold of one standard deviation
 clusters the lines into content and the rest. The clustered lines select the page's content
 region: the smallest element that holds most of their text, widened to the article (or main
-element) around it. Every line of that region is returned, short ones as well, but for lines
+element) around it; without one, the smallest that holds all of their text and the h1. Every line of that region is returned, short ones as well, but for lines
 inside menus, headers, footers, side bars, notices, adverts, forms, comments, scripts and
-styles, which are known by element name, ARIA role or class and id words.
+styles, which are known by element name, ARIA role or class and id words. A form, or an element known by class
+or id words alone, stays where no article is outside such elements and it holds the clustered text.
 
 Edge cases: a null or empty page, or one without text, gives an empty string. Broken markup
 (unclosed elements, a page cut short) is read as far as it goes. A page is one row's work,
@@ -55,12 +56,13 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []      # element, its number, dropped
+        self.doubtful: list[bool] = [False]                # of each element number: dropped unless it holds the article
         self.parent: list[int] = [-1]                      # of each element number; 0 is the page
         self.name: list[str] = ["page"]
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element number, heading
+        self.lines: list[tuple[str, int, int, int]] = []   # text, tags, element number, heading (h1 2, h2 1)
         self._text: list[str] = []
         self._tags = 0
-        self._heading = False
+        self._heading = 0
 
     def _inside(self, name: str) -> bool:
         return any(tag == name for tag, _, _ in self.stack)
@@ -68,14 +70,26 @@ class _Lines(HTMLParser):
     def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if self.stack and self.stack[-1][2]:
             return True
-        if tag in _DROP and not (tag == "header" and self._inside("article")):
+        if tag in _DROP and tag != "form" and not (tag == "header" and self._inside("article")):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
         for key, value in attrs:
             if key == "hidden" or key == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if key == "role" and value and value.lower() in _ROLES:
+            if key == "role" and value and value.lower() in _ROLES - {"form"}:
+                return True
+        return False
+
+    @staticmethod
+    def _doubtful(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Marked as no part of the article by what a container of the article may carry as well."""
+        if tag == "form":
+            return True
+        if tag in ("html", "body", "article", "main"):
+            return False
+        for key, value in attrs:
+            if key == "role" and value and value.lower() == "form":
                 return True
             if key in ("class", "id") and value and tag not in _INLINE:
                 words = set(_SPLIT.split(value.lower()))
@@ -88,7 +102,7 @@ class _Lines(HTMLParser):
         if text and not (self.stack and self.stack[-1][2]):
             element = self.stack[-1][1] if self.stack else 0
             self.lines.append((text, self._tags, element, self._heading))
-        self._text, self._tags, self._heading = [], 0, False
+        self._text, self._tags, self._heading = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -106,9 +120,11 @@ class _Lines(HTMLParser):
             number = len(self.parent)
             self.parent.append(self.stack[-1][1] if self.stack else 0)
             self.name.append(tag)
-            self.stack.append((tag, number, self._dropped(tag, attrs)))
+            dropped = self._dropped(tag, attrs)
+            self.stack.append((tag, number, dropped))
+            self.doubtful.append(not dropped and self._doubtful(tag, attrs))
             self._tags += 1
-            self._heading = tag in ("h1", "h2")
+            self._heading = (tag in ("h1", "h2")) + (tag == "h1")
 
     def handle_startendtag(self, tag, attrs):
         if tag in _VOID or tag in _INLINE:
@@ -149,6 +165,32 @@ def content_lines(lengths: np.ndarray, tags: np.ndarray, sigma: float = SIGMA) -
     return smooth >= min(smooth.std(), smooth.max())
 
 
+def _gone(page: _Lines, sigma: float, share: float) -> list[bool]:
+    """Of each element: inside a doubtful one that does not hold the article."""
+    def spread(doubtful: list[bool]) -> list[bool]:
+        gone = [False] * len(page.parent)
+        for i in range(1, len(gone)):
+            gone[i] = doubtful[i] or gone[page.parent[i]]
+        return gone
+
+    gone = spread(page.doubtful)
+    mains = [i for i, name in enumerate(page.name) if name in ("article", "main")]
+    if not any(page.doubtful) or not page.lines or any(not gone[i] for i in mains):
+        return gone
+    lengths = np.array([len(x[0]) for x in page.lines], dtype=float)
+    held = [0.0] * len(page.parent)
+    for (_, _, element, _), length, good in zip(page.lines, lengths, content_lines(
+            lengths, np.array([x[1] for x in page.lines]), sigma)):
+        held[element] += length * good
+    holds = [False] * len(page.parent)
+    for i in mains:
+        holds[i] = True
+    for i in range(len(held) - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+        holds[page.parent[i]] |= holds[i]
+    return spread([doubt and held[i] < (0.5 if holds[i] else share) * held[0] for i, doubt in enumerate(page.doubtful)])
+
+
 def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
     """The article's blocks in page order, joined by one space."""
     if not html:
@@ -156,17 +198,18 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     page = _Lines()
     page.feed(html)
     page.close()
-    lines = page.lines
+    gone = _gone(page, sigma, share)
+    lines = [x for x in page.lines if not gone[x[2]]]
     if not lines:
         return ""
     lengths = np.array([len(x[0]) for x in lines], dtype=float)
     chosen = content_lines(lengths, np.array([x[1] for x in lines]), sigma)
     held = [0.0] * len(page.parent)
-    headed = [False] * len(page.parent)
+    headed = [0] * len(page.parent)
     for (_, _, element, heading), length, good in zip(lines, lengths, chosen):
         while element >= 0:
             held[element] += length * good
-            headed[element] |= heading
+            headed[element] = max(headed[element], heading)
             element = page.parent[element]
     need = share * held[0]
     region = max((i for i in range(len(held)) if held[i] >= need), key=lambda i: (i > 0, i))
@@ -179,8 +222,9 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
                 break
         at = page.parent[at]
     if around == region and page.name[region] not in ("article", "main"):
-        at = region
-        while at > 0 and not headed[at] and page.name[at] not in ("body", "html"):
+        # No article element: all clustered lines, and the h1 (the first heading where there is none).
+        at = max((i for i in range(len(held)) if held[i] >= held[0] * (1 - 1e-9)), key=lambda i: (i > 0, i))
+        while at > 0 and headed[at] < (headed[0] or 1) and page.name[at] not in ("body", "html"):
             at = page.parent[at]
         around = at
     inside = [False] * len(page.parent)

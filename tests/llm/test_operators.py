@@ -469,6 +469,22 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_regions_are_whole():
+    long = "<p>" + "A long paragraph of the article that says many things. " * 6 + "</p>"
+    text = " ".join(("A long paragraph of the article that says many things. " * 6).split())
+    menu = "<nav><a>Menu</a></nav><div class='sidebar'><a>Links</a></div>"
+    assert html_extract.main_text(f"<body>{menu}<div><h1>Head</h1><p>Intro.</p><div><h2>Part</h2>{long * 3}</div></div></body>") == (
+        f"Head Intro. Part {text} {text} {text}")
+    for opened in ("<div class='content has-sidebar'>", "<div class='layout right-sidebar'>", "<form id='aspnetForm'>"):
+        end = "</form>" if "form" in opened else "</div>"
+        for a, b in (("<article>", "</article>"), ("<div>", "</div>")):
+            page = f"<body><nav>Menu</nav>{opened}{a}<h1>Head</h1>{long * 3}{b}{menu}{end}</body>"
+            assert html_extract.main_text(page) == f"Head {text} {text} {text}"
+    # A form or comments beside the article still go.
+    page = f"<body><article><h1>Head</h1>{long}</article><form>{long * 3}</form><div id='comments'><article>{long * 3}</article></div></body>"
+    assert html_extract.main_text(page) == f"Head {text}"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
