@@ -19,6 +19,3 @@ def spark():
     checkpoint_root(s)  # sets a local folder only where spark.checkpoint.dir is unset
     yield s
 
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
