@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm import context_tree, decontaminate, html_extract, licenses, near_dup, packing, quality, secrets, substrings, wacz
+from canonry.llm import context_tree, decontaminate, html_extract, licenses, near_dup, packing, pii, quality, secrets, substrings, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs)).select("doc_id", "spans")
+    base = pii.base_of(F.col("spans"))
+    return found.select(
+        "doc_id", *[pii.number_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.names(base), 256).alias("base_sha256"), pii.names(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_near_duplicates": op2_near_duplicates,
@@ -79,6 +88,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_pii": op11_pii,
 }
 
 _NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.TEMPLATES)
