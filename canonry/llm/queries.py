@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm import context_tree, decontaminate, html_extract, licenses, near_dup, packing, pii, quality, secrets, substrings, wacz
+from canonry.llm import (context_tree, decontaminate, filter_audit, html_extract, licenses, near_dup, packing, pii, quality, secrets,
+                         substrings, wacz, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,14 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.names(base), 256).alias("base_sha256"), pii.names(F.col("spans")).alias("spans"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_near_duplicates": op2_near_duplicates,
@@ -89,11 +98,45 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_html_extraction": op10_html_extraction,
     "op11_pii": op11_pii,
+    "op12_whitening": op12_whitening,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.TEMPLATES)
 
 SQL = {
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END,
+               CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+               CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END,
+               CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+               CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+      FROM d LEFT JOIN k ON k.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM f GROUP BY part, fails),
+l(a) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.a || q.a || r.a || s.a || t.a AS filter_order FROM l p, l q, l r, l s, l t
+      WHERE len(list_distinct([p.a, q.a, r.a, s.a, t.a])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS a, filter_order[1:step - 1] AS before, filter_order[1:step] AS so_far
+      FROM o, (SELECT unnest(range(1, 6)) AS step)),
+m AS (SELECT part, filter_order, step, a,
+        sum(n) FILTER (translate(fails, so_far, '') = fails) AS kept,
+        sum(n) FILTER (contains(fails, a) AND translate(fails, before, '') = fails) AS removed,
+        sum(n) FILTER (contains(fails, a) AND translate(fails, before, '') <> fails) AS redundant,
+        sum(n) FILTER (fails = a) AS unique_fails,
+        sum(g) FILTER (contains(fails, a) AND translate(fails, before, '') = fails) AS good_lost,
+        sum(x) FILTER (contains(fails, a) AND translate(fails, before, '') = fails) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, a)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, a) AS BIGINT) AS shapley
+FROM m""",
     "op8_license_scan": r"""
 WITH t(license_id, text) AS (VALUES {notices}),
 b AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, NULL AS license_id, text FROM documents
