@@ -162,7 +162,7 @@ def embed_custom(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sources
-from canonry.session import scratch_path  # noqa: E402
+from canonry.session import cut_lineage, scratch_path  # noqa: E402
 from canonry.sources import json_docs, tables  # noqa: E402
 
 
@@ -314,7 +314,7 @@ def lr_evaluate(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- vectors
-from canonry.operators import similarity as sim  # noqa: E402
+from canonry.operators import dense_cells, similarity as sim  # noqa: E402
 
 
 def _emb_sides(spark, sf_dir):
@@ -396,6 +396,51 @@ def tfidf_nearest(spark, sf_dir):
     return _rounded(sim.transfer_labels(nb, train, "mention_id", "entity_name", "predicted"))
 
 
+@query
+def tfidf_nearest_indexed(spark, sf_dir):
+    """Same answer as tfidf_nearest through the inverted index."""
+    test, train, qv, tv = _tfidf_sides(spark, sf_dir)
+    nb = sim.nearest(qv, tv, qid="mention_id", tid="mention_id", sparse=True, method="index")
+    nb = sim.every_query(nb, test, train, "mention_id", "mention_id")
+    return _rounded(sim.transfer_labels(nb, train, "mention_id", "entity_name", "predicted"))
+
+
+@query
+def tfidf_documents_top3(spark, sf_dir):
+    """Word TF-IDF of whole documents: the three nearest rows of every document whose id is divisible by 20."""
+    tf = sim.tfidf_terms(fx.table(spark, sf_dir, "documents"), "doc_id", "text", "word", materialize=True)
+    rows = cut_lineage(sim.tfidf_rows(tf, sim.tfidf_fit(tf), "doc_id"), name="tfidf-documents")
+    return _rounded(sim.top_k_similar(rows.where(F.col("doc_id") % 20 == 0), rows, k=3, qid="doc_id", tid="doc_id",
+                                      sparse=True, method="index"))
+
+
+def _every_twentieth(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.where(F.col("vec_id") % 20 == 0), e
+
+
+@query
+def cosine_pruned(spark, sf_dir):
+    """Same answer as cosine_top1 over cells: a cell is skipped where its ball bound rules it out."""
+    q, t = _emb_sides(spark, sf_dir)
+    return _rounded(sim.nearest(q, t, qid="vec_id", tid="vec_id", vec_col="embedding", method="cells"))
+
+
+@query
+def cells_top3(spark, sf_dir):
+    """Inverted file over all embeddings, exact: every id divisible by 20 against all rows."""
+    q, t = _every_twentieth(spark, sf_dir)
+    return _rounded(sim.top_k_similar(q, t, k=3, qid="vec_id", tid="vec_id", vec_col="embedding", method="cells"))
+
+
+@query
+def cells_recall(spark, sf_dir):
+    """Probes alone against the exact answer: is the measured recall 0.9 or more?"""
+    q, t = _every_twentieth(spark, sf_dir)
+    report = dense_cells.search_report(q, t, 3, "vec_id", "vec_id", "embedding")
+    return report.select(F.col("n_queries").cast("long").alias("n_queries"), (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query
 def nn_standardize(spark, sf_dir):
     """Nearest-neighbour standardisation accuracy (labels from training neighbours)."""

