@@ -408,7 +408,7 @@ def tfidf_nearest_indexed(spark, sf_dir):
 @query
 def tfidf_documents_top3(spark, sf_dir):
     """Word TF-IDF of whole documents: the three nearest rows of every document whose id is divisible by 20."""
-    tf = sim.tfidf_terms(fx.table(spark, sf_dir, "documents"), "doc_id", "text", "word", materialize=True)
+    tf = sim.tfidf_terms(fx.table(spark, sf_dir, "documents"), "doc_id", "text", "word", normalize=True, materialize=True)
     rows = cut_lineage(sim.tfidf_rows(tf, sim.tfidf_fit(tf), "doc_id"), name="tfidf-documents")
     return _rounded(sim.top_k_similar(rows.where(F.col("doc_id") % 20 == 0), rows, k=3, qid="doc_id", tid="doc_id",
                                       sparse=True, method="index"))
