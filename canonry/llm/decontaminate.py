@@ -11,12 +11,14 @@ An item of fewer words, which has no whole window, is one window of its own leng
 such length present in the benchmark, documents give the hashes of all windows of that length
 to the same join.
 
-Documents are exploded and joined where they are read: the benchmark side is broadcast while its
-words are at most ``BROADCAST_WORDS`` (counted), and joined by a shuffle beyond that, where
-skewed fingerprints are split by the skew join. Only hits are shuffled, combined per document.
+Documents are exploded and joined where they are read. A fingerprint of the benchmark carries the word hashes around it,
+at most ``WINDOW + 2 * (WINDOW - GRAM)`` however long its item, and there are no more fingerprints than words, so while the words are at
+most ``BROADCAST_WORDS`` (counted) the benchmark side has some 100 MB at most and is broadcast. Beyond that it is
+joined by a shuffle, where skewed fingerprints are split by the skew join. Only hits are shuffled, combined per document.
 
 Edge cases: null and empty texts have no words, are not contaminated and hit nothing as items.
-Items with equal texts are all reported. Rows with equal id and text share a result, each
+Items with equal texts are all reported. An item with a null id counts like any other in ``n_hit``; it has no name in
+``items``, ``nameless`` tells that such an item was found. Rows with equal id and text share a result, each
 row gets it; rows with one id and different texts are judged apart. Empty tables on either side
 give no hits. Extra columns are ignored by ``find`` and kept by ``clean``.
 """
@@ -30,7 +32,7 @@ from canonry.llm.native import let, lower_words, window_hashes
 
 WINDOW = 10
 GRAM = 5
-BROADCAST_WORDS = 1_000_000
+BROADCAST_WORDS = 500_000
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -76,16 +78,18 @@ def _whole_windows(rows: DataFrame, n: int) -> DataFrame:
 def _meet(left: DataFrame, right: DataFrame, fits: bool, window: int, back: int) -> DataFrame:
     """(doc_id, text_hash, n_words, item_id, start, length) of shared windows around equal keys: those whose
     first word lies up to ``back`` before the key's place. Rows without a key pass with null item and start."""
-    item = right.filter("key IS NOT NULL").select("item_id", F.col("w").alias("iw"), "key", F.col("at").alias("q"))
+    # Only the words around a key go with it.
+    first = F.greatest(F.col("at") - back, F.lit(0))
+    item = right.filter("key IS NOT NULL").select("item_id", F.slice("w", first + 1, window + 2 * back).alias("iw"), "key",
+                                                  (F.col("at") - first).alias("q"), F.lit(True).alias("met"))
     found = left.withColumn("n_words", F.size("w").cast("long")).withColumnRenamed("at", "p")
     if fits:
         item, found = F.broadcast(item), found.withColumn("before", F.lit(0))
     else:
-        # Only the words around a key are shuffled with it.
         lead = F.greatest(F.col("p") - back, F.lit(0))
         found = found.select("doc_id", "text_hash", "n_words", "key", lead.alias("before"), (F.col("p") - lead).alias("p"),
                              F.when(F.col("key").isNotNull(), F.slice("w", lead + 1, window + 2 * back)).alias("w"))
-    met = found.join(item, "key", "left").filter("key IS NULL OR item_id IS NOT NULL")
+    met = found.join(item, "key", "left").filter("key IS NULL OR met")
     inside = lambda a, at: (at >= 0) & (at + window <= F.size(a))
     part = lambda a, at: F.slice(a, F.greatest(at, F.lit(0)) + 1, window)
     shifts = F.transform(F.filter(
@@ -105,8 +109,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
     ``docs``: doc_id, text_hash, text; ``benchmark``: item_id, text.
     """
-    items = _hashed(benchmark).select(F.col("item_id").cast("string").alias("item_id"), "w").filter(
-        (F.size("w") > 0) & F.col("item_id").isNotNull())
+    items = _hashed(benchmark).select(F.col("item_id").cast("string").alias("item_id"), "w").filter(F.size("w") > 0)
     sizes = items.agg(F.sum(F.size("w")).alias("words"), F.sort_array(F.collect_set(
         F.when(F.size("w") < window, F.size("w")))).alias("short")).first()
     fits = (sizes["words"] or 0) <= broadcast_words
@@ -123,13 +126,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
          broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """Per document row: doc_id, text_hash, n_words, n_hit (words inside shared windows), items (ids as strings, sorted)."""
+    """Per document row: doc_id, text_hash, n_words, n_hit (words inside shared windows), items (ids as strings, sorted),
+    nameless (an item with a null id is among those found)."""
     marks = hits(_keyed(docs), benchmark, window, gram, broadcast_words)
     # Sets, so what a document gathers is bounded by its own words and by its own items.
     found = marks.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"), F.count(F.when(F.col("start").isNull(), 1)).alias("n_rows"),
         F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length")))).alias("spans"),
-        F.sort_array(F.collect_set("item_id")).alias("items"))
+        F.sort_array(F.collect_set("item_id")).alias("items"),
+        F.coalesce(F.max(F.col("start").isNotNull() & F.col("item_id").isNull()), F.lit(False)).alias("nameless"))
     n_hit = F.aggregate(
         F.col("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, s: let(s["start"] + s["length"], lambda e: F.struct(
@@ -137,7 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
             F.greatest(a["end"], e).alias("end"))),
         lambda a: a["n"])
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))).select(
-        "doc_id", "text_hash", "n_words", n_hit.cast("long").alias("n_hit"), "items")
+        "doc_id", "text_hash", "n_words", n_hit.cast("long").alias("n_hit"), "items", "nameless")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

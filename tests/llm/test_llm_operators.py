@@ -200,6 +200,28 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.find(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_items_without_id_count(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "en"), (2, "clean text " * 9, "en"), (3, "short one here", "en")], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(None, text[30:200]), (None, "short one"), (7, text[30:200]), (None, None)], "item_id long, text string")
+    hit = len(re.findall(r"\S+", text[30:200])) - 2
+    for limit in (10 ** 6, 0):
+        got = {r.doc_id: r for r in decontaminate.find(docs, bench, broadcast_words=limit).collect()}
+        assert (got[1].n_hit >= hit and got[1]["items"] == ["7"] and got[1].nameless)
+        assert (got[2].n_hit, got[2]["items"], got[2].nameless) == (0, [], False)
+        assert (got[3].n_hit, got[3]["items"], got[3].nameless) == (2, [], True)
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
+def test_long_items_carry_only_words_around_a_fingerprint(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 500)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 250:i * 250 + 60]), "en") for i in range(10)], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for limit in (10 ** 6, 0):
+        assert all(r.n_hit == 60 for r in decontaminate.find(docs, bench, broadcast_words=limit).collect())
+
+
 def test_archives(spark, tmp_path):
     schema = "page_id long, url string, html string, payload string"
     rows = [(5, "http://a", "<p>ä</p>", "x"), (2, None, "<p>ä</p>", None), (9, "u\n", None, None), (3, "http://b", "", None),
