@@ -584,12 +584,17 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
           steps: int = TRAIN_STEPS) -> bytes:
     """Model weights from a piece of each of at most ``sample_rows`` texts, those of the smallest hash of id and length.
 
-    Trained in one task, lost with its executor and then run again; the same pieces give the same weights.
+
+    Rows are thinned by a hash to about twice the number first, so that no task sends its share of a large table to
+    the one that sorts. Trained in one task, lost with its executor and then run again; the same pieces give the same weights.
     """
+    n = docs.count()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mixed = F.xxhash64(F.col(id_col).cast("string"), F.length(text), F.lit(SEED))
     at = F.pmod(mixed, F.greatest(F.length(text) - PIECE, F.lit(0)) + 1).cast("int") + 1
-    pieces = docs.select(mixed.alias("h"), F.substring(text, at, F.lit(PIECE)).alias("piece")).orderBy("h", "piece").limit(sample_rows)
+    spread = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.lit(SEED + 1)), F.lit(1 << 30))
+    some = docs if n <= 2 * sample_rows else docs.where(spread < F.lit(int((1 << 30) * min(1.0, 2 * sample_rows / n))))
+    pieces = some.select(mixed.alias("h"), F.substring(text, at, F.lit(PIECE)).alias("piece")).orderBy("h", "piece").limit(sample_rows)
 
     def learn(batches):
         texts = [x for b in batches for x in b.column("piece").to_pylist()]
