@@ -8,21 +8,21 @@ occurrences the score of class ``c`` is
 
 The last sum runs only over postings with ``n_tc > 0`` (the join). A class that
 shares no term with the row keeps its first two addends, which depend only on
-``(c, L)``: the best such class per ``L`` comes from a small table over the
-lengths that occur (at most one per count up to the longest text), built with a
-partial aggregate, so the argmax is exact without
-pairing every row with every class.
+``(c, L)``: a line over ``L``. The best such class is read off the upper envelope of
+all classes' lines by each row's ``L``, so the argmax is exact without
+pairing rows or lengths with classes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canonry.functions.text import explode_terms
-from canonry.operators.ranking import rank_key
+from canonry.operators.ranking import RANK_DECIMALS, rank_key
 from canonry.operators.sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast, broadcast_if, note_rows
 from canonry.session import cut_lineage
 
@@ -41,6 +41,7 @@ class NBModel:
     kind: str
     n: int
     normalize: bool
+    envelope: dict | None = None  # found at the first prediction
 
 
 def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
@@ -90,15 +91,67 @@ def scoring_table(postings: DataFrame) -> DataFrame:
     return cut_lineage(per_term.select("term", F.concat("lw", F.array(counter)).alias("lw")), name="nb-scoring")
 
 
-def _best_default(model: NBModel, lengths) -> DataFrame:
-    """For each L in ``lengths``: the class with the best score among classes matching no term."""
-    per = (model.classes
-           .select("label", "prior", "per_len", F.explode(F.lit(sorted(int(x) for x in lengths))).alias("L"))
-           .withColumn("score", F.col("prior") - F.col("L") * F.col("per_len")))
-    best = F.max_by(F.struct(F.col("label"), F.col("score")),
-                    F.struct(rank_key("score"), -F.col("label")))
-    return (per.groupBy("L").agg(best.alias("b"))
-            .select("L", F.col("b.label").alias("d_label"), F.col("b.score").alias("d_score")))
+def _hull(lines: pd.DataFrame) -> pd.DataFrame:
+    """The lines ``prior - L * per_len`` that are highest for some L >= 0, by falling ``per_len``; equal lines: the smallest label."""
+    best = lines.sort_values(["per_len", "prior", "label"], ascending=[False, False, True]).drop_duplicates("per_len")
+    kept: list[tuple[float, float, int]] = []  # per_len, prior, label
+    for line in zip(best["per_len"], best["prior"], best["label"]):
+        # The last line is nowhere highest if the new one is above it before it passes the one before.
+        while kept and (line[1] > kept[-1][1] or len(kept) > 1 and _crossing(kept[-2], line) <= _crossing(kept[-2], kept[-1])):
+            kept.pop()
+        kept.append(line)
+    return pd.DataFrame([(label, prior, per) for per, prior, label in kept], columns=["label", "prior", "per_len"])
+
+
+def _crossing(steep: tuple, flat: tuple) -> float:
+    """The L from which ``flat`` is above ``steep`` (lines as in ``_hull``)."""
+    return (steep[1] - flat[1]) / (steep[0] - flat[0])
+
+
+def _envelope(model: NBModel) -> dict:
+    """The upper envelope of all classes' scores without a shared term, and the best class at L = 0.
+
+    Each partition of the classes gives its own envelope, one task joins these; what comes back are the
+    classes that are best for some L, a handful (about the logarithm of their number). Found once per model.
+    """
+    if model.envelope is None:
+        def run(frames):
+            kept = None
+            for f in frames:
+                kept = _hull(f if kept is None else pd.concat([kept, f], ignore_index=True))
+            if kept is not None:
+                yield kept
+
+        schema = "label long, prior double, per_len double"
+        lines = model.classes.select(F.col("label").cast("long").alias("label"), "prior", "per_len")
+        hull = sorted(lines.mapInPandas(run, schema).coalesce(1).mapInPandas(run, schema).collect(), key=lambda r: -r["per_len"])
+        first = model.classes.agg(F.min_by(F.struct(F.col("label").cast("long").alias("label"), "prior"),
+                                           F.struct((-rank_key("prior")).alias("s"), F.col("label").alias("t"))).alias("b")).first()["b"]
+        model.envelope = {"lines": [(r["label"], r["prior"], r["per_len"]) for r in hull], "first": first}
+    return model.envelope
+
+
+def _default_at(model: NBModel, known: Column) -> Column:
+    """(s, label, score) of the best class sharing no term, for ``known`` known occurrences (long)."""
+    found = _envelope(model)
+    lines = found["lines"]
+    if not lines:
+        return F.lit(None).cast("struct<s:double,label:bigint,score:double>")
+    as_line = lambda x: (x[2], x[1], x[0])
+    turns = [_crossing(as_line(a), as_line(b)) for a, b in zip(lines, lines[1:])]
+    at = F.size(F.filter(F.lit(turns).cast("array<double>"), lambda t: t <= known))
+    labels, priors, pers = (F.lit(list(c)) for c in zip(*lines))
+    # The neighbours as well: at a turn both lines may agree to 9 decimals.
+    near = F.sequence(F.greatest(at - 1, F.lit(0)), F.least(at + 1, F.lit(len(lines) - 1)))
+
+    def scored(i: Column) -> Column:
+        score = F.get(priors, i) - known * F.get(pers, i)
+        return F.struct((-rank_key(score)).alias("s"), F.get(labels, i).cast("long").alias("label"), score.alias("score"))
+
+    first = found["first"]
+    at_zero = F.struct(F.lit(-round(first["prior"], RANK_DECIMALS)).alias("s"), F.lit(first["label"]).cast("long").alias("label"),
+                       F.lit(first["prior"]).alias("score"))
+    return F.when(known == 0, at_zero).otherwise(F.array_min(F.transform(near, scored)))
 
 
 def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
@@ -109,14 +162,24 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     (and no second shuffle) to put predictions back on their rows.
 
     Exact argmax; tie -> smallest label. Model tables are broadcast only under a
-    proven row bound, otherwise joined by shuffle (AQE splits hot terms).
+    proven row bound, otherwise joined by shuffle (AQE splits hot terms). Ids need not be unique or known:
+    rows are told apart by id and text, and rows with both equal get the same answer.
     """
-    ids = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    occ = explode_terms(ids, ["_id"], "_text", model.kind, model.n, model.normalize)
+    text = F.col(text_col).cast("string")
+    keys = [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2")]
+    by = ["_id", "_h1", "_h2"]
+    occ = explode_terms(df.select(*keys, text.alias("_text")), by, "_text", model.kind, model.n, model.normalize)
     table = bounded_broadcast(model.scoring, max_broadcast_rows)
-    cand = (occ.join(table, "term").select("_id", F.explode("lw").alias("e"))
-            .groupBy("_id", F.col("e.label").alias("label")).agg(F.sum("e.weight").alias("inc")))
-    per_row = Window.partitionBy("_id")
+    cand = (occ.join(table, "term").select(*by, F.explode("lw").alias("e"))
+            .groupBy(*by, F.col("e.label").alias("label")).agg(F.sum("e.weight").alias("inc")))
+    # A row that is there several times has its terms that often.
+    copies = df.select(*keys).groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    same = lambda a, b: (a["_h1"] == b["_h1"]) & (a["_h2"] == b["_h2"]) & a["_id"].eqNullSafe(b["_id"])
+    many = copies.select(*[F.col(c).alias(f"c{c}") for c in by], "_n")
+    cand = cand.join(many, (F.col("_h1") == F.col("c_h1")) & (F.col("_h2") == F.col("c_h2"))
+                     & F.col("_id").eqNullSafe(F.col("c_id")), "left")
+    cand = cand.select(*by, "label", (F.col("inc") / F.coalesce("_n", F.lit(1))).alias("inc"))
+    per_row = Window.partitionBy(*by)
     cand = (cand.withColumn("L", F.max(F.when(F.col("label") == _COUNTER, F.col("inc"))).over(per_row))
             .where(F.col("label") != _COUNTER))
     classes = broadcast_if(model.classes.select(F.col("label").cast("long"), "prior", "per_len"),
@@ -124,24 +187,18 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
     cand = cand.join(classes, "label").withColumn(
         "score", F.col("prior") - F.col("L") * F.col("per_len") + F.col("inc"))
     best = F.max_by(F.struct(F.col("label"), F.col("score")), F.struct(rank_key("score"), -F.col("label")))
-    # One row per scored input row; written once, so that reading the occurring lengths and
-    # producing the output run the term join once and a lost executor loses nothing.
-    matched = cut_lineage(cand.groupBy("_id").agg(best.alias("m"), F.max("L").alias("L")), name="nb-matched")
-    # Only the lengths that occur (plus 0, for rows with no known term) need a default:
-    # at most one value per known-term count up to the longest text, as metadata.
-    lengths = {int(r[0]) for r in matched.select(F.col("L").cast("long")).distinct().collect()} | {0}
-    defaults = bounded_broadcast(note_rows(_best_default(model, lengths), len(lengths)), max_broadcast_rows)
+    matched = cand.groupBy(*by).agg(best.alias("m"), F.max("L").alias("L"))
     keep = [c for c in keep_cols if c != id_col]
-    out = (df.select(F.col(id_col).alias("_id"), *keep).join(matched, "_id", "left")
-           .withColumn("L", F.coalesce(F.col("L").cast("long"), F.lit(0).cast("long")))
-           .join(defaults, "L", "left"))
-    take_default = (F.col("m").isNull()
-                    | (rank_key("d_score") > rank_key("m.score"))
-                    | ((rank_key("d_score") == rank_key("m.score")) & (F.col("d_label") < F.col("m.label"))))
+    rows, found = df.select(*keys, *keep).alias("rows"), matched.alias("found")
+    joined = rows.join(found, same({c: F.col(f"rows.{c}") for c in by}, {c: F.col(f"found.{c}") for c in by}), "left")
+    known = F.coalesce(F.round("L").cast("long"), F.lit(0).cast("long"))
+    out = joined.select(F.col("rows._id").alias(id_col), *[F.col(f"rows.{c}") for c in keep], F.col("m"),
+                        _default_at(model, known).alias("d"))
+    take_default = F.col("m").isNull() | (-F.col("d.s") > rank_key("m.score")) | (
+        (-F.col("d.s") == rank_key("m.score")) & (F.col("d.label") < F.col("m.label")))
     return out.select(
-        F.col("_id").alias(id_col), *keep,
-        F.when(take_default, F.col("d_label")).otherwise(F.col("m.label")).alias("label"),
-        F.when(take_default, F.col("d_score")).otherwise(F.col("m.score")).alias("score"))
+        id_col, *keep, F.when(take_default, F.col("d.label")).otherwise(F.col("m.label")).alias("label"),
+        F.when(take_default, F.col("d.score")).otherwise(F.col("m.score")).alias("score"))
 
 
 def train_lr(df: DataFrame, text_col: str = "text", label_col: str = "label",

@@ -267,3 +267,34 @@ def test_block_counts_bound_block_size_and_copies():
     # balanced sides on a big cluster: far fewer copies per row than fixed 1,024-row blocks
     qb, tb = _block_counts(10**6, 10**6, 16384, 32000)
     assert qb * tb >= 32000 and tb < 10**6 / 1024 / 4
+
+
+def test_rows_with_equal_or_no_ids_are_scored_apart(spark):
+    train = spark.createDataFrame([("red apple", 0), ("green apple", 0), ("blue sky", 1), ("blue sea blue", 1), ("x", 2)], "text string, label long")
+    model = classify.train_classifier(train)
+    texts = ["red apple", "blue sky blue", "", None, "unknown words", "blue", "red red green"]
+    alone = {t: classify.predict_labels(model, spark.createDataFrame([(1, t)], "id long, text string"), "id", "text").first()[1:] for t in texts}
+    rows = [(1, t, k) for k, t in enumerate(texts)] + [(None, t, 10 + k) for k, t in enumerate(texts)] + [(1, "blue", 30), (1, "blue", 31), (None, "blue", 32)]
+    got = classify.predict_labels(model, spark.createDataFrame(rows, "id long, text string, k int"), "id", "text", keep_cols=["k", "text"]).collect()
+    assert sorted(r.k for r in got) == sorted(r[2] for r in rows)
+    for r in got:
+        assert r.label == alone[r.text][0] and abs(r.score - alone[r.text][1]) < 1e-9
+
+
+def test_envelope_is_the_best_class_at_every_length(spark):
+    rng = np.random.default_rng(6)
+    n = 10_000
+    prior = np.log(rng.integers(1, 40, n) / 1e5)
+    per = np.log(rng.integers(1, 500, n) + 3000.0)
+    labels = rng.permutation(n)
+    import pandas as pd
+    classes = spark.createDataFrame(pd.DataFrame({"label": labels, "prior": prior, "per_len": per})).repartition(5)
+    model = classify.NBModel(classes, None, None, 1, 1, 1.0, "word", 3, True)
+    sizes = [0, 1, 2, 3, 5, 8, 13, 50, 200, 1000, 10**6]
+    got = spark.createDataFrame([(x,) for x in sizes], "n long").select("n", classify._default_at(model, F.col("n")).alias("d")).collect()
+    for r in got:
+        score = np.round(prior - r.n * per, 9)
+        assert r.d.label == labels[score == score.max()].min() and abs(r.d.score - score.max()) < 1e-6
+    assert len(model.envelope["lines"]) < 60
+    none = classify.NBModel(classes.limit(0), None, None, 0, 0, 1.0, "word", 3, True)
+    assert spark.range(1).select(classify._default_at(none, F.col("id")).alias("d")).first().d is None
