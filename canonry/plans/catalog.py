@@ -198,6 +198,35 @@ def ingest_test_mentions(spark, sf_dir):
     return json_docs.read_test_mentions(spark, path, ent, layout="lines")
 
 
+def _entities_document(spark, sf_dir):
+    path = scratch_path(spark, "entities-document")
+    json_docs.write_entities(fx.entities(spark, sf_dir), path, files=1)
+    return json_docs.read_entities(spark, path)
+
+
+@query
+def ingest_entities_document(spark, sf_dir):
+    """Entities as one JSON object keyed by id, read back flat."""
+    return _entities_document(spark, sf_dir).select("id", "name", "type_id", "type_name")
+
+
+@query
+def ingest_mentions_document(spark, sf_dir):
+    """Training mentions as one JSON object of keys with mention lists, exploded and resolved."""
+    path = scratch_path(spark, "train-document")
+    train = fx.mentions_with_ids(spark, sf_dir).where(F.col("split") == "train")
+    json_docs.write_mentions(train.select("mention_id", "mention", "entity_id"), path, files=1)
+    return json_docs.read_mentions(spark, path, _entities_document(spark, sf_dir))
+
+
+@query
+def ingest_test_mentions_document(spark, sf_dir):
+    path = scratch_path(spark, "infer-document")
+    test = fx.mentions_with_ids(spark, sf_dir).where(F.col("split") == "test")
+    json_docs.write_test_mentions(test.select("mention_id", "mention", "entity_id"), path, files=1)
+    return json_docs.read_test_mentions(spark, path, _entities_document(spark, sf_dir))
+
+
 @query
 def quarantine_unresolved(spark, sf_dir):
     """Mentions whose entity is missing from the entity table (all 'ring' entities removed)."""
@@ -218,6 +247,14 @@ def csv_roundtrip(spark, sf_dir):
     return tables.read_table_csv(spark, path, DOC_SCHEMA)
 
 
+@query
+def csv_roundtrip_split(spark, sf_dir):
+    """The same through the reader that splits a file between records."""
+    path = scratch_path(spark, "documents-csv-split")
+    tables.write_table_csv(fx.table(spark, sf_dir, "documents").coalesce(1), path)
+    return tables.read_table_csv_split(spark, path, DOC_SCHEMA)
+
+
 @query
 def parquet_roundtrip(spark, sf_dir):
     """Documents through Parquet partitioned by language and back."""

@@ -470,3 +470,7 @@ select a.vec_id,
              / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]))
                 * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) + 1e-8), 6) as cosine
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"""
+
+SQL["csv_roundtrip_split"] = SQL["csv_roundtrip"]
+for _name in ("ingest_entities", "ingest_mentions", "ingest_test_mentions"):
+    SQL[f"{_name}_document"] = SQL[_name]

@@ -3,10 +3,9 @@
 Two layouts:
 
 * ``"document"``: one JSON object ``{"data": {"<key>": {...}, ...}}`` per file, the
-  shape the original files have. A single object cannot be split, so one file is
-  one task; use it for small files.
-* ``"lines"``: JSON Lines, one ``{"key": ..., <fields>}`` per line. Splittable: the
-  form to use at scale.
+  shape the original files have. A file is read in many tasks: entries are found from any
+  split on (``split_records``).
+* ``"lines"``: JSON Lines, one ``{"key": ..., <fields>}`` per line.
 
 Keys are otherwise ignored, except that a repeated key keeps its last entry
 (as a JSON object does). Read with an explicit schema: inference would make one
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.operators.labels import resolve_entities
+from canonry.sources.split_records import json_entries, write_json_objects
 
 # Field names and types of the three file shapes.
 ENTITY_FIELDS = ["entity_id:bigint", "entity_name:string", "entity_type_id:bigint", "entity_type_name:string"]
@@ -30,10 +30,8 @@ REQUIRED = ("entity_id", "entity_name", "mentions", "mention")
 def _read(spark: SparkSession, path: str, fields: list[str], layout: str) -> DataFrame:
     """-> (key, value struct, _pos) with one row per key (the last entry of a repeated key)."""
     if layout == "document":
-        doc = spark.read.schema(f"data map<string, struct<{','.join(fields)}>>") \
-            .option("multiLine", True).option("mode", "FAILFAST").json(path)
-        rows = doc.select(F.input_file_name().alias("_file"), F.posexplode("data").alias("_i", "key", "value"))
-        pos = F.struct(F.col("_file"), F.lit(0).cast("long"), F.col("_i").cast("long"))
+        rows = json_entries(spark, path, fields)
+        pos = F.struct(F.col("_file"), F.col("_blk"), F.col("_i"))
     elif layout == "lines":
         flat = spark.read.schema("key string, " + ", ".join(f.replace(":", " ", 1) for f in fields)) \
             .option("mode", "FAILFAST").json(path)
@@ -85,14 +83,23 @@ def read_test_mentions(spark: SparkSession, path: str, entities: DataFrame, layo
     return resolve_entities(m, entities, on_missing)
 
 
-# -------------------------------------------------------------- writers (JSON Lines)
+# -------------------------------------------------------------- writers (JSON Lines, one object per file)
+def _entity_rows(entities: DataFrame) -> DataFrame:
+    return entities.select(F.col("id").cast("string").alias("key"), F.col("id").alias("entity_id"),
+                           F.col("name").alias("entity_name"), F.col("type_id").alias("entity_type_id"),
+                           F.col("type_name").alias("entity_type_name"))
+
+
 def write_entities_lines(entities: DataFrame, path: str) -> None:
-    entities.select(F.col("id").cast("string").alias("key"), F.col("id").alias("entity_id"),
-                    F.col("name").alias("entity_name"), F.col("type_id").alias("entity_type_id"),
-                    F.col("type_name").alias("entity_type_name")).write.mode("overwrite").json(path)
+    _entity_rows(entities).write.mode("overwrite").json(path)
 
 
-def write_mentions_lines(mentions: DataFrame, path: str, chunk: int = 100) -> None:
+def write_entities(entities: DataFrame, path: str, files: int | None = None) -> None:
+    """One-object files, the shape ``read_entities`` has as its default."""
+    write_json_objects(_entity_rows(entities), "key", path, files)
+
+
+def _mention_rows(mentions: DataFrame, chunk: int) -> DataFrame:
     """Group mentions under keys ``<entity_id>-<mention_id div chunk>``.
 
     A key holds at most ``chunk`` mentions, so a hot entity is spread over many
@@ -101,10 +108,25 @@ def write_mentions_lines(mentions: DataFrame, path: str, chunk: int = 100) -> No
     key = F.concat_ws("-", F.col("entity_id").cast("string"), F.expr(f"mention_id div {chunk}").cast("string"))
     grouped = mentions.groupBy(key.alias("key"), "entity_id").agg(
         F.array_sort(F.collect_list(F.struct("mention_id", "mention"))).alias("_m"))
-    grouped.select("key", "entity_id", F.transform("_m", lambda x: x["mention"]).alias("mentions")) \
-        .write.mode("overwrite").json(path)
+    return grouped.select("key", "entity_id", F.transform("_m", lambda x: x["mention"]).alias("mentions"))
+
+
+def write_mentions_lines(mentions: DataFrame, path: str, chunk: int = 100) -> None:
+    _mention_rows(mentions, chunk).write.mode("overwrite").json(path)
+
+
+def write_mentions(mentions: DataFrame, path: str, chunk: int = 100, files: int | None = None) -> None:
+    """One-object files of mentions grouped under keys (at most ``chunk`` a key)."""
+    write_json_objects(_mention_rows(mentions, chunk), "key", path, files)
+
+
+def _test_rows(mentions: DataFrame) -> DataFrame:
+    return mentions.select(F.col("mention_id").cast("string").alias("key"), "mention", "entity_id")
 
 
 def write_test_mentions_lines(mentions: DataFrame, path: str) -> None:
-    mentions.select(F.col("mention_id").cast("string").alias("key"), "mention", "entity_id") \
-        .write.mode("overwrite").json(path)
+    _test_rows(mentions).write.mode("overwrite").json(path)
+
+
+def write_test_mentions(mentions: DataFrame, path: str, files: int | None = None) -> None:
+    write_json_objects(_test_rows(mentions), "key", path, files)
