@@ -351,7 +351,7 @@ def lr_evaluate(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- vectors
-from canonry.operators import dense_cells, similarity as sim  # noqa: E402
+from canonry.operators import dense_cells, similarity as sim, sketch  # noqa: E402
 
 
 def _emb_sides(spark, sf_dir):
@@ -490,6 +490,23 @@ def nn_standardize(spark, sf_dir):
     return metrics.accuracy(pairs, "y", "p")
 
 
+@query
+def sketch_entries(spark, sf_dir):
+    """Native encoder: signed count sketch of the mentions' character 3-grams, non-zero entries."""
+    m = fx.mentions(spark, sf_dir)
+    return sketch.sketch_entries(m, "mention_id", "mention").withColumn("weight", F.round("weight", 9))
+
+
+@query
+def sketch_nearest(spark, sf_dir):
+    """Nearest training mention of each test mention by sketch, over cells, with its label."""
+    m = fx.mentions(spark, sf_dir)
+    train, test = m.where(F.col("split") == "train"), m.where(F.col("split") == "test")
+    q, t = (sketch.sketch_vectors(d, "mention_id", "mention") for d in (test, train))
+    nb = sim.nearest(q, t, qid="mention_id", tid="mention_id", method="cells")
+    return _rounded(sim.transfer_labels(nb, train, "mention_id", "entity_name", "predicted"))
+
+
 @query
 def tfidf_vectors(spark, sf_dir):
     """Built-in embedding as long rows: (mention_id, term, weight) for all mentions."""

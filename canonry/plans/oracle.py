@@ -471,6 +471,21 @@ select a.vec_id,
                 * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) + 1e-8), 6) as cosine
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"""
 
+SKETCH = f"""
+m as ({MENTIONS}),
+g as (select id, unnest({grams('x')}) as term from (select mention_id as id, {norm('mention')} as x from m)),
+h as (select id, cast(concat('0x', substring(md5(term), 1, 8)) as bigint) as code from g),
+s as (select id, code % 64 as entry, sum(1 - 2 * ((code // 64) % 2)) as s from h group by id, entry),
+z as (select id, cast(entry as integer) as entry, s / sqrt(sum(s * s) over (partition by id)) as weight from s where s <> 0)"""
+SQL["sketch_entries"] = "with " + SKETCH + "\nselect id as mention_id, entry, round(weight, 9) as weight from z"
+SQL["sketch_nearest"] = "with " + SKETCH + """,
+p as (select q.id as query_id, t.id as neighbour_id, sum(q.weight * t.weight) / (1 + 1e-8) as score
+      from z q join m a on a.mention_id = q.id and a.split = 'test'
+      join z t on t.entry = q.entry join m b on b.mention_id = t.id and b.split = 'train' group by q.id, t.id),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, neighbour_id) as rank from p)
+select query_id, neighbour_id, round(score, 6) as score, rank, b.entity_name as predicted
+from r join m b on b.mention_id = neighbour_id where rank = 1"""
+
 SQL["csv_roundtrip_split"] = SQL["csv_roundtrip"]
 for _name in ("ingest_entities", "ingest_mentions", "ingest_test_mentions"):
     SQL[f"{_name}_document"] = SQL[_name]
