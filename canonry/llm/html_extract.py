@@ -7,8 +7,10 @@ clusters the lines into content and the rest. The clustered lines select the pag
 region: the smallest element that holds most of their text, widened to the article (or main
 element) around it; without one, the smallest that holds all of their text and the h1. Every line of that region is returned, short ones as well, but for lines
 inside menus, headers, footers, side bars, notices, adverts, forms, comments, scripts and
-styles, which are known by element name, ARIA role or class and id words. A form, or an element known by class
-or id words alone, stays where no article is outside such elements and it holds the clustered text.
+styles, which are known by element name, ARIA role or class and id values. A value is judged whole: ``advert``, or
+a compound whose every part says so or names a page part (``ad-slot``, ``site-footer``); ``side-effects`` says nothing. A form, or
+an element known by class or id alone, stays where no article is outside such elements and it holds the clustered text.
+Text of inline elements goes where they are hidden or marked as advert.
 
 Edge cases: a null or empty page, or one without text, gives an empty string. Broken markup
 (unclosed elements, a page cut short) is read as far as it goes. A page is one row's work,
@@ -46,8 +48,29 @@ _WORDS = frozenset(
     "notice popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended comment comments commentlist respond disqus replies reply widget skip pagination pager "
     "disclaimer alert tags".split())
+#: Words that name a part of a page and say nothing of what it is; in a compound they leave the judgement to the others.
+_PARTS = frozenset(
+    "area article articles bar block blog body bottom box btn button buttons card cards col column container content count "
+    "desktop entry fixed floating form global google group header heading icon icons image inline inner item items label left "
+    "link links list main menu mobile module native news page pane panel post posts rail reader right row section site slot "
+    "sticky stories story strip text title top unit user wrap wrapper zone".split())
+_ADVERT = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_MAIN_WORDS = frozenset(("article", "main", "content", "post", "entry"))
+_MAIN_WORDS = frozenset(("article", "main", "post", "entry"))
+_SIDEBAR = frozenset(("sidebar",))
+
+
+def _marks(value: str, words: frozenset[str]) -> bool:
+    """Does a class or id value hold a name made of ``words`` and parts of a page alone?"""
+    for name in value.lower().split():
+        parts = [p for p in _SPLIT.split(name) if p and not p[0].isdigit()]
+        if any(p in words for p in parts) and all(p in words or p in _PARTS for p in parts):
+            return True
+    return False
+
+
+def _hidden(key: str, value: str | None) -> bool:
+    return key == "hidden" or key == "style" and bool(value) and "display:none" in value.replace(" ", "").lower()
 
 
 class _Lines(HTMLParser):
@@ -63,9 +86,26 @@ class _Lines(HTMLParser):
         self._text: list[str] = []
         self._tags = 0
         self._heading = 0
+        self._open: dict[str, int] = {}                    # open elements by name
+        self._mute: tuple[str, int, int] | None = None     # inline element left out, its depth in itself, stack size
 
     def _inside(self, name: str) -> bool:
-        return any(tag == name for tag, _, _ in self.stack)
+        return self._open.get(name, 0) > 0
+
+    def _pop(self, size: int) -> None:
+        """Closes the innermost open elements down to ``size``, and what is left out inside them."""
+        while len(self.stack) > size:
+            self._open[self.stack.pop()[0]] -= 1
+        if self._mute and self._mute[2] > size:
+            self._mute = None
+
+    def _inline(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """Opens an inline element: its text goes if it is hidden or an advert."""
+        if self._mute:
+            name, depth, size = self._mute
+            self._mute = (name, depth + (tag == name), size)
+        elif any(_hidden(k, v) or k in ("class", "id") and v and _marks(v, _ADVERT) for k, v in attrs):
+            self._mute = (tag, 1, len(self.stack))
 
     def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if self.stack and self.stack[-1][2]:
@@ -75,7 +115,7 @@ class _Lines(HTMLParser):
         if tag in ("html", "body", "article", "main"):
             return False
         for key, value in attrs:
-            if key == "hidden" or key == "style" and value and "display:none" in value.replace(" ", "").lower():
+            if _hidden(key, value):
                 return True
             if key == "role" and value and value.lower() in _ROLES - {"form"}:
                 return True
@@ -91,10 +131,9 @@ class _Lines(HTMLParser):
         for key, value in attrs:
             if key == "role" and value and value.lower() == "form":
                 return True
-            if key in ("class", "id") and value and tag not in _INLINE:
-                words = set(_SPLIT.split(value.lower()))
-                if words & _WORDS and not words & _MAIN_WORDS - {"content"} or "sidebar" in words:
-                    return True
+            if key in ("class", "id") and value and (
+                    _marks(value, _WORDS) and not _MAIN_WORDS & set(value.lower().split()) or _marks(value, _SIDEBAR)):
+                return True
         return False
 
     def _flush(self) -> None:
@@ -109,6 +148,8 @@ class _Lines(HTMLParser):
             self._text.append(" ")
         elif tag in _INLINE:
             self._tags += 1
+            if tag not in _VOID:
+                self._inline(tag, attrs)
         elif tag in _VOID:
             self._flush()
         else:
@@ -116,39 +157,46 @@ class _Lines(HTMLParser):
             if tag == "p" or tag == "li" or tag in ("td", "th", "tr", "dt", "dd", "option"):
                 # End tags that may be left out: an open one of the same kind ends here.
                 if self.stack and self.stack[-1][0] == tag:
-                    self.stack.pop()
+                    self._pop(len(self.stack) - 1)
             number = len(self.parent)
             self.parent.append(self.stack[-1][1] if self.stack else 0)
             self.name.append(tag)
             dropped = self._dropped(tag, attrs)
             self.stack.append((tag, number, dropped))
+            self._open[tag] = self._open.get(tag, 0) + 1
             self.doubtful.append(not dropped and self._doubtful(tag, attrs))
             self._tags += 1
             self._heading = (tag in ("h1", "h2")) + (tag == "h1")
 
     def handle_startendtag(self, tag, attrs):
-        if tag in _VOID or tag in _INLINE:
+        if tag in _VOID:
             self.handle_starttag(tag, attrs)
+        elif tag in _INLINE:
+            self._tags += 1
         else:
             self._flush()
 
     def handle_endtag(self, tag):
         if tag in _INLINE:
             self._tags += 1
+            if self._mute and self._mute[0] == tag:
+                name, depth, size = self._mute
+                self._mute = (name, depth - 1, size) if depth > 1 else None
             return
         if tag in _VOID:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._flush()
-                del self.stack[i:]
-                return
-            if tag == "p" and self.stack[i][0] != "p":
-                break  # a stray </p> closes nothing
         self._flush()
+        # A stray </p> closes nothing, nor does the end of an element that is not open.
+        if not self._inside(tag) or tag == "p" and self.stack[-1][0] != "p":
+            return
+        at = len(self.stack) - 1
+        while self.stack[at][0] != tag:
+            at -= 1
+        self._pop(at)
 
     def handle_data(self, data):
-        self._text.append(data)
+        if not self._mute:
+            self._text.append(data)
 
     def close(self):
         super().close()
@@ -207,10 +255,11 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     held = [0.0] * len(page.parent)
     headed = [0] * len(page.parent)
     for (_, _, element, heading), length, good in zip(lines, lengths, chosen):
-        while element >= 0:
-            held[element] += length * good
-            headed[element] = max(headed[element], heading)
-            element = page.parent[element]
+        held[element] += length * good
+        headed[element] = max(headed[element], heading)
+    for i in range(len(held) - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+        headed[page.parent[i]] = max(headed[page.parent[i]], headed[i])
     need = share * held[0]
     region = max((i for i in range(len(held)) if held[i] >= need), key=lambda i: (i > 0, i))
     # Elements are numbered in page order, so the last one that holds enough is the smallest.
