@@ -1,8 +1,9 @@
 """Packing: documents cut into sequences of at most ``window`` tokens, order kept.
 
 The tokens of consecutive documents form one stream. A dynamic programme chooses where the
-stream is cut: at document ends (free), at sentence ends (``sentence_cost``) and, only inside
-a sentence longer than a window, anywhere (``token_cost``). A sequence costs its padding plus
+stream is cut: at document ends (free), at sentence ends (``sentence_cost``) and, at one word end in
+each ``STEP`` tokens, inside a sentence (``token_cost``); a stretch of two steps without any of these
+may be cut every ``STEP`` tokens. A sequence costs its padding plus
 the penalty of the cut that ends it,
 
     best[j] = penalty(j) + window - j + min(best[i] + i  for  j - window <= i < j),
@@ -38,6 +39,8 @@ WINDOW = 2048
 END_ID = 1
 SENTENCE_COST = 12.0
 TOKEN_COST = 64.0
+#: Tokens from one cut inside a sentence to the next: about what a sequence pads at most.
+STEP = 64
 #: Distinct pieces of words whose ids a task keeps; a full cache starts anew (speed only).
 CACHE_PIECES = 600_000
 
@@ -186,20 +189,27 @@ def choose_cuts(length: int, position: np.ndarray, penalty: np.ndarray, window:
     return cuts[::-1]
 
 
-def candidates(length: int, doc_end: np.ndarray, sentence_end: np.ndarray, window: int,
-               sentence_cost: float, token_cost: float) -> tuple[np.ndarray, np.ndarray]:
-    """Possible cuts and their penalties: document ends, sentence ends, and steps of a window in longer gaps."""
+def candidates(length: int, doc_end: np.ndarray, sentence_end: np.ndarray, window: int, sentence_cost: float,
+               token_cost: float, word_end: np.ndarray | None = None, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Possible cuts and their penalties: document ends, sentence ends, the last of ``word_end`` (ascending) in each
+    ``step`` tokens, and every ``step`` tokens where these leave a gap of over two steps."""
+    step = min(step, window)
+    place = np.zeros(length + 1, dtype=bool)
+    if word_end is not None and len(word_end):
+        place[word_end[np.append(word_end[1:] // step != word_end[:-1] // step, True)]] = True
     mark = np.zeros(length + 1, dtype=np.uint8)
     mark[sentence_end] = 1
     mark[doc_end] = 2
-    position = np.flatnonzero(mark)
+    place |= mark > 0
+    place[0] = False
+    position = np.flatnonzero(place)
     gap = np.diff(position, prepend=0)
-    steps = (gap - 1) // window
+    steps = np.where(gap > min(2 * step, window), (gap - 1) // step, 0)
     if steps.any():
         long = np.flatnonzero(steps)
         base = np.repeat(position[long] - gap[long], steps[long])
-        step = np.arange(len(base)) - np.repeat(np.cumsum(steps[long]) - steps[long], steps[long]) + 1
-        position = np.sort(np.concatenate((position, base + step * window)))
+        nth = np.arange(len(base)) - np.repeat(np.cumsum(steps[long]) - steps[long], steps[long]) + 1
+        position = np.sort(np.concatenate((position, base + nth * step)))
     return position, np.array([float(token_cost), float(sentence_cost), 0.0])[mark[position]]
 
 
@@ -233,11 +243,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
                 ids = np.full(length, end_id, dtype=np.uint32)
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(tokens)), tokens - 1)] = flat
                 after = np.append(chunk.data, 0x20)[end]
-                stop = _STOPS[chunk.data[end - 1]] & (_CLASS[after] == _SPACE)
-                of = np.searchsorted(chunk.offsets, start[stop], side="right") - 1
-                sentence_end = first[1:][stop] + of
+                spaced = _CLASS[after] == _SPACE
+                of = np.searchsorted(chunk.offsets, start[spaced], side="right") - 1
+                word_end = first[1:][spaced] + of
+                sentence_end = word_end[_STOPS[chunk.data[end[spaced] - 1]]]
                 cuts = np.array(choose_cuts(length, *candidates(
-                    length, doc_end, sentence_end, window, sentence_cost, token_cost), window))
+                    length, doc_end, sentence_end, window, sentence_cost, token_cost, word_end), window))
                 edge = np.unique(np.concatenate((cuts, doc_end)))
                 begin, finish = edge[:-1], edge[1:]
                 size = finish - begin
