@@ -18,6 +18,7 @@ row; ties do not occur. An empty table gives no rows. Extra columns are ignored
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,39 +59,64 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def words_and_marks() -> dict[str, Column]:
+    """``words``, and ``marks``: what is neither a lower-case letter nor white space, a small part of prose; counts read that."""
+    return {"words": space_words(F.col("text")),
+            "marks": F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[a-z\x20\x09-\x0D]+", "")}
+
+
+def counts(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """The counts every text is judged by."""
+    return {
+        "n_words": F.size(of("words")).cast("long"),
+        "word_chars": F.length(F.array_join(of("words"), "")).cast("long"),
+        "n_symbols": count_of(SYMBOLS, of("marks")),
+        "n_dup_lines": n_dup_lines(F.coalesce(of("text").cast("string"), F.lit(""))).cast("long"),
+        "n_repeat_words": n_repeat_words(of("words")).cast("long"),
+    }
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """Adds ``words``, ``marks`` and the counts every text is judged by."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # What is neither a lower-case letter nor white space is a small part of prose; counts read that.
-    counted = docs.withColumns({"words": space_words(F.col("text")),
-                                "marks": F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")})
-    return counted.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.array_join("words", "")).cast("long"),
-        "n_symbols": count_of(SYMBOLS, F.col("marks")),
-        "n_dup_lines": n_dup_lines(text).cast("long"),
-        "n_repeat_words": n_repeat_words(F.col("words")).cast("long"),
-    })
+    """Adds ``words``, ``marks`` and the counts."""
+    return docs.withColumns(words_and_marks()).withColumns(counts())
+
+
+def _of(record: Column) -> Callable[[str], Column]:
+    return lambda name: record[name]
+
 
+def verdict(order: list[str]) -> Column:
+    """Kept or not, of the column ``text`` alone. The counts are bound by ``let``: a filter on this
+    column is pushed below projections, and would otherwise write each count's expression into every branch."""
+    def struct(columns: dict[str, Column]) -> Column:
+        return F.struct(*[c.alias(name) for name, c in columns.items()])
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    def judged(base: Column) -> Column:
+        have = {name: base[name] for name in ("text", "words", "marks")}
+        return let(struct({"text": have["text"], "marks": have["marks"], **counts(have.__getitem__)}),
+                   lambda s: cascade(order, rules(_of(s)), base_failed(_of(s))))
 
+    return let(struct({"text": F.col("text").cast("string"), **words_and_marks()}), judged)
 
-def rules() -> dict[str, Column]:
+
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEAT_PERCENT * of("n_words"))
+
+
+def rules(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """Rule name -> "rejects": over the text and the columns of ``statistics``.
 
-    Thresholds are wide: prose of any language passes all of them.
+    Thresholds are wide: prose of any language passes all of them. ``of`` gives the column of a name.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(of("text").cast("string"), F.lit(""))
     lines = F.size(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(r"^[\x20\x09-\x0D]*$")))
     return {
-        "symbols": 2 * F.col("n_symbols") > F.col("n_words"),
-        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
-        "duplicate_lines": (F.col("n_dup_lines") >= 3) & (2 * F.col("n_dup_lines") > lines),
-        "capitals": (F.col("word_chars") >= 40) & (2 * count_of("[A-Z]+", F.col("marks")) > F.col("word_chars")),
-        "exclamation": 3 * count_of("[!?]+", F.col("marks")) > F.col("n_words"),
-        "digits": 2 * count_of("[0-9]+", F.col("marks")) > F.col("word_chars"),
+        "symbols": 2 * of("n_symbols") > of("n_words"),
+        "word_length": (of("word_chars") < 2 * of("n_words")) | (of("word_chars") > 20 * of("n_words")),
+        "duplicate_lines": (of("n_dup_lines") >= 3) & (2 * of("n_dup_lines") > lines),
+        "capitals": (of("word_chars") >= 40) & (2 * count_of("[A-Z]+", of("marks")) > of("word_chars")),
+        "exclamation": 3 * count_of("[!?]+", of("marks")) > of("n_words"),
+        "digits": 2 * count_of("[0-9]+", of("marks")) > of("word_chars"),
     }
 
 
@@ -121,18 +147,21 @@ def cascade(order: list[str], checks: dict[str, Column], first: Column) -> Colum
     return verdict.otherwise(F.lit(True))
 
 
-def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep_cols``, the counts, ``base_failed`` and ``kept`` of every document."""
-    checks = rules()
+def measured_order(docs: DataFrame, sample_rows: int) -> list[str]:
+    """The rules' order by a sample of ``sample_rows`` expected rows of the whole table."""
     texts = docs.select("text")
     share = min(1.0, sample_rows / max(docs.select(F.lit(1)).count(), 1))
-    order = order_rules(statistics(texts.sample(False, share, seed=5)), checks)
+    return order_rules(statistics(texts.sample(False, share, seed=5)), rules())
+
+
+def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep_cols``, the counts, ``base_failed`` and ``kept`` of every document."""
+    order = measured_order(docs, sample_rows)
     return (statistics(docs.select(*keep_cols, "text") if "text" not in keep_cols else docs.select(*keep_cols))
             .withColumn("base_failed", base_failed())
-            .withColumn("kept", cascade(order, checks, F.col("base_failed"))))
+            .withColumn("kept", cascade(order, rules(), F.col("base_failed"))))
 
 
 def keep(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that pass, all columns as they came."""
-    judged = judge(docs.select(F.struct("*").alias("row"), "text"), sample_rows, ("row", "text"))
-    return judged.filter("kept").select("row.*")
+    """The documents that pass, all columns as they came; each text's counts are computed once."""
+    return docs.filter(verdict(measured_order(docs, sample_rows)))
