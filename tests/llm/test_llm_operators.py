@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -259,6 +260,10 @@ def test_quality(spark, docs, none):
             sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (r.base_failed and r.kept)
+    passed = quality.judge(docs).filter("kept").select("doc_id").collect()
+    assert sorted(str(r.doc_id) for r in passed) == sorted(str(r.doc_id) for r in quality.keep(docs).collect())
+    # Each count is written once into the filter, not into every branch.
+    assert quality.keep(docs)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
     assert got[0, got_words(0)].kept and quality.keep(docs).columns == docs.columns
     assert quality.judge(none).count() == 0 and quality.keep(none).count() == 0
 
@@ -372,13 +377,24 @@ def test_packing(spark, docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_little_padding_without_full_stops(spark):
+    rows = [(i, " ".join(["ab cd ef"] * 685) + " x" * (i % 3)) for i in range(120)] + [(500, "😀" * 3000), (501, "x1" * 9000)]
+    by_sequence = {}
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect():
+        by_sequence[p.sequence_id] = by_sequence.get(p.sequence_id, 0) + p.length
+    total = sum(by_sequence.values())
+    assert total / len(by_sequence) > 0.97 * 2048 and max(by_sequence.values()) <= 2048
+
+
 def test_cuts_are_the_cheapest():
     rng = random.Random(5)
     for _ in range(40):
         length = rng.randint(1, 40)
         ends = np.array(sorted({*rng.sample(range(1, length + 1), min(length, 3)), length}))
         stops = np.array(sorted(rng.sample(range(1, length + 1), min(length, 4))))
-        place, cost = packing.candidates(length, ends, stops, 8, 1.5, 4.0)
+        words = np.array(sorted(rng.sample(range(1, length + 1), min(length, 6))))
+        place, cost = packing.candidates(length, ends, stops, 8, 1.5, 4.0, words, rng.choice((2, 3, 64)))
+        assert {*ends.tolist(), *stops.tolist()} <= {*place.tolist()} and np.diff(place, prepend=0).max() <= 8
         price = dict(zip(place.tolist(), cost.tolist()))
         best = {0: 0.0}
         for j in place.tolist():
@@ -502,11 +518,27 @@ def test_html_regions_are_whole():
         for a, b in (("<article>", "</article>"), ("<div>", "</div>")):
             page = f"<body><nav>Menu</nav>{opened}{a}<h1>Head</h1>{long * 3}{b}{menu}{end}</body>"
             assert html_extract.main_text(page) == f"Head {text} {text} {text}"
+    # A word of a compound name says nothing by itself; adverts and hidden text go in inline elements too.
+    for name in ("side-effects", "share-of-market", "tags-explained", "the-ad-business"):
+        page = f"<body><article><h1>Head</h1>{long}<div id='{name}'><h2>Part</h2><p>Short.</p></div></article></body>"
+        assert html_extract.main_text(page) == f"Head {text} Part Short."
+    for gone in ("<div class='ad-slot'>Buy</div>", "<div class='article-comments'><p>Me too</p></div>", "<p><span class='advert'>Buy <b>it</b></span></p>",
+                 "<p><span hidden>Not <span>to be</span> seen</span></p>", "<p><i style='display: none'>Never closed</p>"):
+        assert html_extract.main_text(f"<body><article><h1>Head</h1>{long}{gone}<p>End.</p></article></body>") == f"Head {text} End."
     # A form or comments beside the article still go.
     page = f"<body><article><h1>Head</h1>{long}</article><form>{long * 3}</form><div id='comments'><article>{long * 3}</article></div></body>"
     assert html_extract.main_text(page) == f"Head {text}"
 
 
+def test_html_is_linear_in_depth():
+    begin = time.perf_counter()
+    deep = "<article><h1>Head</h1>" + "<div>" * 50_000 + "<p>The text below.</p>" + "</div>" * 50_000 + "</article>"
+    assert html_extract.main_text(deep) == "Head The text below."
+    stray = "<article><h1>Head</h1>" + "<div>" * 20_000 + "<p>The text below.</p>" + "</section>" * 50_000
+    assert html_extract.main_text(stray) == "Head The text below."
+    assert time.perf_counter() - begin < 20
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
