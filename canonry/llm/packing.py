@@ -2,7 +2,7 @@
 
 The tokens of consecutive documents form one stream. A dynamic programme chooses where the
 stream is cut: at document ends (free), at sentence ends (``sentence_cost``) and, at one word end in
-each ``STEP`` tokens, inside a sentence (``token_cost``); a stretch of two steps without any of these
+each ``STEP`` tokens without these, inside a sentence (``token_cost``); a stretch of two steps without any of these
 may be cut every ``STEP`` tokens. A sequence costs its padding plus
 the penalty of the cut that ends it,
 
@@ -192,15 +192,17 @@ def choose_cuts(length: int, position: np.ndarray, penalty: np.ndarray, window:
 def candidates(length: int, doc_end: np.ndarray, sentence_end: np.ndarray, window: int, sentence_cost: float,
                token_cost: float, word_end: np.ndarray | None = None, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Possible cuts and their penalties: document ends, sentence ends, the last of ``word_end`` (ascending) in each
-    ``step`` tokens, and every ``step`` tokens where these leave a gap of over two steps."""
+    ``step`` tokens without either, and every ``step`` tokens where these leave a gap of over two steps."""
     step = min(step, window)
-    place = np.zeros(length + 1, dtype=bool)
-    if word_end is not None and len(word_end):
-        place[word_end[np.append(word_end[1:] // step != word_end[:-1] // step, True)]] = True
     mark = np.zeros(length + 1, dtype=np.uint8)
     mark[sentence_end] = 1
     mark[doc_end] = 2
-    place |= mark > 0
+    place = mark > 0
+    if word_end is not None and len(word_end):
+        served = np.zeros(length // step + 1, dtype=bool)
+        served[np.flatnonzero(place) // step] = True
+        last = word_end[np.append(word_end[1:] // step != word_end[:-1] // step, True)]
+        place[last[~served[last // step]]] = True
     place[0] = False
     position = np.flatnonzero(place)
     gap = np.diff(position, prepend=0)
