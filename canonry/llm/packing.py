@@ -10,7 +10,7 @@ the penalty of the cut that ends it,
 
 whose inner minimum is over a sliding window: a monotone queue gives every transition in
 constant amortised time. The programme runs over one block of consecutive documents at a time
-(``textbytes.CHUNK_BYTES`` of text, or one longer document), so memory is bounded and nothing
+(``BLOCK_BYTES`` of text, or one longer document), so memory is bounded and nothing
 is shuffled; a block ends with one sequence that may be short.
 
 Tokens: the tokenizer drops white space and splits words into letters, digits and the rest
@@ -41,6 +41,8 @@ SENTENCE_COST = 12.0
 TOKEN_COST = 64.0
 #: Tokens from one cut inside a sentence to the next: about what a sequence pads at most.
 STEP = 64
+#: Text of one block.
+BLOCK_BYTES = 2 << 20
 #: Distinct pieces of words whose ids a task keeps; a full cache starts anew (speed only).
 CACHE_PIECES = 600_000
 
@@ -235,7 +237,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids = batch.column(0)
-            for chunk in textbytes.chunks(batch.column(1)):
+            for chunk in textbytes.chunks(batch.column(1), limit=BLOCK_BYTES):
                 flat, first, start, end = encoder.chunk(chunk)
                 docs_first = first[np.searchsorted(start, chunk.offsets)]
                 tokens = np.diff(docs_first) + 1
