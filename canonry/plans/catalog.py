@@ -43,7 +43,7 @@ def standardize_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- labels
 from canonry.functions.arrays import replace_sentinel  # noqa: E402
 from canonry.functions.text import explode_terms, normalize_text, strip_token  # noqa: E402
-from canonry.operators import inference, labels  # noqa: E402
+from canonry.operators import inference, labels, ridge  # noqa: E402
 
 
 def _vocab(spark, sf_dir):
@@ -350,6 +350,47 @@ def lr_evaluate(spark, sf_dir):
     return metrics.classification_metrics(test.join(pred, "doc_id"), "label", "p")
 
 
+RIDGE_DIM = 32  # small enough for the elimination in the oracle's SQL
+
+
+def _ridge(spark, sf_dir):
+    """Ridge classifier documents -> language, with its vocabulary."""
+    train = fx.doc_split(spark, sf_dir, test=False).select("doc_id", "text", "lang")
+    vocab = labels.build_vocabulary(train, "lang")
+    return ridge.train_ridge(labels.encode_labels(train, vocab, "lang", "label"), "doc_id", dim=RIDGE_DIM), vocab
+
+
+def _ridge_predictions(spark, sf_dir, model, vocab):
+    test = fx.doc_split(spark, sf_dir, test=True).select("doc_id", "text", "lang")
+    pred = ridge.predict_ridge(model, test, "doc_id", keep_cols=("lang",))
+    return labels.decode_labels(pred.withColumn("score", F.round("score", 6)), vocab, "label", "predicted")
+
+
+@query
+def ridge_train(spark, sf_dir):
+    """Ridge weights of every language and hashed entry (the constant is the last entry)."""
+    weights = _ridge(spark, sf_dir)[0].weights
+    return weights.select("label", F.posexplode("weights").alias("entry", "w")).select("label", "entry", F.round("w", 6).alias("weight"))
+
+
+@query
+def ridge_predict(spark, sf_dir):
+    """Saved, loaded and applied to whole test documents."""
+    model, vocab = _ridge(spark, sf_dir)
+    path = scratch_path(spark, "ridge-model")
+    models.save_ridge(model, path)
+    pred = _ridge_predictions(spark, sf_dir, models.load_ridge(spark, path), vocab)
+    return pred.select("doc_id", "label", "score", "predicted")
+
+
+@query
+def ridge_evaluate(spark, sf_dir):
+    """Accuracy and weighted precision, recall and F1 of the ridge classifier."""
+    model, vocab = _ridge(spark, sf_dir)
+    pred = _ridge_predictions(spark, sf_dir, model, vocab).select("lang", F.col("label").alias("p"))
+    return metrics.classification_metrics(labels.encode_labels(pred, vocab, "lang", "y"), "y", "p")
+
+
 # ---------------------------------------------------------------- vectors
 from canonry.operators import dense_cells, similarity as sim, sketch  # noqa: E402
 

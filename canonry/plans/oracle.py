@@ -489,3 +489,38 @@ from r join m b on b.mention_id = neighbour_id where rank = 1"""
 SQL["csv_roundtrip_split"] = SQL["csv_roundtrip"]
 for _name in ("ingest_entities", "ingest_mentions", "ingest_test_mentions"):
     SQL[f"{_name}_document"] = SQL[_name]
+
+# Normal equations of one-hot ridge regression, solved by Gauss-Jordan elimination on a list of rows.
+RIDGE = "with recursive " + _DOCS + f"""
+tk as (select doc_id, unnest(string_split({norm('text')}, ' ')) as term from documents),
+hc as (select doc_id, cast(concat('0x', substring(md5(term), 1, 8)) as bigint) as code from tk where term <> ''),
+hs as (select doc_id, code % 32 as entry, cast(sum(1 - 2 * ((code // 32) % 2)) as bigint) as s from hc group by doc_id, code % 32),
+fx as (select doc_id, entry, cast(floor(1024 * s / sqrt(cast(sum(s * s) over (partition by doc_id) as double)) + 0.5) as bigint) as v
+       from hs where s <> 0 union all select doc_id, 32, 1024 from documents),
+tr as (select t.doc_id, v.label_id as label from d_train t join lvocab v using (lang)),
+ft as (select f.*, t.label from fx f join tr t using (doc_id)),
+gm as (select a.entry as i, b.entry as j, cast(sum(a.v * b.v) as double) / 1048576 as v
+       from ft a join ft b using (doc_id) group by a.entry, b.entry),
+rh as (select entry as i, 33 + label as j, cast(sum(v) as double) / 1024 as v from ft group by entry, label),
+ce as (select r.i, c.j, coalesce(g.v, h.v, 0) + case when r.i = c.j then 1.0 else 0.0 end as v
+       from (select unnest(range(0, 33)) as i) r
+       cross join (select unnest(range(0, 33 + (select count(*) from lvocab))) as j) c
+       left join gm g on g.i = r.i and g.j = c.j left join rh h on h.i = r.i and h.j = c.j),
+rw as (select i, list(v order by j) as r from ce group by i),
+gj as (select 0 as k, list(r order by i) as m from rw
+       union all
+       select k + 1, list_transform(m, lambda row, i: list_transform(row, lambda x, j:
+         case when i = k + 1 then x / m[k + 1][k + 1] else x - row[k + 1] * (m[k + 1][j] / m[k + 1][k + 1]) end))
+       from gj where k < 33),
+wt as (select l.label_id as label, e.entry, m[e.entry + 1][34 + l.label_id] as w
+       from gj, lvocab l, (select unnest(range(0, 33)) as entry) e where k = 33),
+sc as (select f.doc_id, w.label, round(sum(f.v * w.w) / 1024, 9) as score
+       from fx f join d_test using (doc_id) join wt w using (entry) group by f.doc_id, w.label),
+rp as (select doc_id, label, score from (
+         select *, row_number() over (partition by doc_id order by score desc, label) as rn from sc) where rn = 1)"""
+SQL["ridge_train"] = RIDGE + "\nselect label, cast(entry as integer) as entry, round(w, 6) as weight from wt"
+SQL["ridge_predict"] = RIDGE + """
+select p.doc_id, p.label, round(p.score, 6) as score, v.lang as predicted from rp p join lvocab v on v.label_id = p.label"""
+SQL["ridge_evaluate"] = RIDGE + "," + metrics_sql("""
+select coalesce(v.label_id, -1) as y, b.label as p
+from d_test t left join lvocab v using (lang) join rp b using (doc_id)""") + "\nselect * from met"

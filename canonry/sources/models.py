@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from canonry.operators.classify import NBModel
+from canonry.operators.ridge import RidgeModel
 from canonry.operators.serve import Standardizer
 
 
@@ -30,5 +31,20 @@ def load_model(spark: SparkSession, path: str) -> Standardizer:
     return Standardizer(spark.read.parquet(f"{path}/vocab"), model)
 
 
+_RIDGE_META = "dim int, penalty double, kind string, n int, normalize boolean"
+
+
+def save_ridge(model: RidgeModel, path: str) -> None:
+    """One row of settings and the weights, one row a class."""
+    model.weights.write.mode("overwrite").parquet(f"{path}/weights")
+    meta = [(model.dim, model.penalty, model.kind, model.n, model.normalize)]
+    model.weights.sparkSession.createDataFrame(meta, _RIDGE_META).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_ridge(spark: SparkSession, path: str) -> RidgeModel:
+    meta = spark.read.schema(_RIDGE_META).json(f"{path}/meta").first()
+    return RidgeModel(spark.read.parquet(f"{path}/weights"), *meta)
+
+
 def vocab_ids(std: Standardizer):
     return std.vocab.select(F.col("label_id"), F.col("entity_name"))

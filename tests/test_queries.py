@@ -17,7 +17,7 @@ FAST = ["standardize_mentions", "vocabulary", "encode_labels", "uncovered_classe
         "term_counts", "lines_to_rows", "ingest_mentions", "quarantine_unresolved", "csv_roundtrip",
         "classification_metrics", "metrics_report", "nb_predict", "cosine_top1", "cosine_top3_blocked",
         "tfidf_nearest", "corpus_bleu", "generate_names", "ingest_mentions_document", "csv_roundtrip_split", "cosine_pruned",
-        "tfidf_documents_top3", "sketch_nearest", "request_response", "map_lines", "batch_infer"]
+        "tfidf_documents_top3", "sketch_nearest", "ridge_predict", "request_response", "map_lines", "batch_infer"]
 
 
 def test_entry_smoke(spark):
