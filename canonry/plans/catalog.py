@@ -43,7 +43,7 @@ def standardize_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- labels
 from canonry.functions.arrays import replace_sentinel  # noqa: E402
 from canonry.functions.text import explode_terms, normalize_text, strip_token  # noqa: E402
-from canonry.operators import inference, labels, ridge  # noqa: E402
+from canonry.operators import evaluate, inference, labels, ridge  # noqa: E402
 
 
 def _vocab(spark, sf_dir):
@@ -330,6 +330,14 @@ def nb_report(spark, sf_dir):
     return metrics.metrics_report(nb_evaluate(spark, sf_dir))
 
 
+@query
+def classifier_report(spark, sf_dir):
+    """The language model evaluated in one call: lines of the report file it leaves."""
+    path = scratch_path(spark, "nb-report")
+    evaluate.evaluate_classifier(_lang_standardizer(spark, sf_dir), fx.doc_split(spark, sf_dir, test=True), "doc_id", "text", "lang", path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     """Save the language model, load it from its explicit path, predict: equals nb_predict."""
@@ -599,6 +607,14 @@ def generate_names(spark, sf_dir):
     return _generated(spark, sf_dir).select("mention_id", "mention", "generated")
 
 
+@query
+def generation_report(spark, sf_dir):
+    """Generated names evaluated in one call: the line of the report file it leaves."""
+    path = scratch_path(spark, "generation-report")
+    evaluate.evaluate_generation(_generated(spark, sf_dir), "entity_name", "generated", path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query
 def generation_exact_match(spark, sf_dir):
     return metrics.exact_match(_generated(spark, sf_dir), "entity_name", "generated")

@@ -524,3 +524,6 @@ select p.doc_id, p.label, round(p.score, 6) as score, v.lang as predicted from r
 SQL["ridge_evaluate"] = RIDGE + "," + metrics_sql("""
 select coalesce(v.label_id, -1) as y, b.label as p
 from d_test t left join lvocab v using (lang) join rp b using (doc_id)""") + "\nselect * from met"
+
+SQL["classifier_report"] = "select line from (" + SQL["nb_report"] + ")"
+SQL["generation_report"] = "select printf('Exact Match: %.5f', exact_match) as line from (" + SQL["generation_exact_match"] + ")"
