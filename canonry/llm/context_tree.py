@@ -14,19 +14,24 @@ holds and which also fills the context at the start, so the score is a proper pr
 On Spark: each task counts the distinct (context, byte) grams of its texts; the counts are summed
 by gram with a map-side combine; the tree below each pair of last bytes is one group of contexts,
 built where its grams are; depths 1 and 0 are merged from at most 65,280 sums (a bound of the byte
-alphabet, not of the data). The result is one value per gram that occurs. Texts are then scored
-against the values, broadcast while there are at most ``BROADCAST_KEYS`` (counted), and
-beyond that by joining each text's distinct grams. The unigram base goes the same way, a value
-per word.
+alphabet, not of the data). The result is one value per gram that occurs. The unigram base goes the
+same way, a value per word.
+
+Scoring is one plan at every size. Rows are dealt into blocks of about ``BLOCK_BYTES`` of text; a block's
+distinct grams and words are written once, summed to the counts of the model, joined with the model's
+values and sent back to their block, where all its texts are scored. A frequent gram so has one row a
+block, whatever the number of its occurrences, and no task or driver holds the model.
 
 Edge cases: a null or empty text is its end alone. Repeated rows are each counted and each get a row (a
-null id trains). Without training texts every bit has probability 1/2. Extra columns are ignored.
+null id trains). Without training texts every bit has probability 1/2. A text longer than a block is
+counted and scored in pieces of its block. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +40,8 @@ from canonry.session import cut_lineage
 
 DEPTH = 5
 END = 0xFF
-BROADCAST_KEYS = 12_000_000
+#: Text that is scored together: its distinct grams are looked up once.
+BLOCK_BYTES = 32 << 20
 #: Distinct keys that a task holds before it passes them on.
 FLUSH_KEYS = 2_000_000
 
@@ -90,13 +96,26 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
 
 
-def _counts(texts: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n) of (train, text): distinct grams and words per task with their training counts."""
+def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, doc_id, train, text): rows dealt at random into blocks of about ``block_bytes``, written block by block."""
+    rows = texts.withColumn("row", F.monotonically_increasing_id())
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    n = max(1, -(-int(size) // block_bytes))
+    block = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    dealt = rows.select(block.alias("block"), "doc_id", "train", "text").repartition(n, "block")
+    return cut_lineage(dealt.sortWithinPartitions("block"), name="blocks")
+
+
+def _pieces(blocks: pa.Array):
+    """(block, from, to) of the runs of equal blocks in a batch."""
+    block = blocks.to_numpy(zero_copy_only=False)
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+    return [(int(block[i]), int(i), int(j)) for i, j in zip(edge[:-1], edge[1:]) if j > i]
+
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],
-            names=["kind", "key", "n"])
+def _counts(rows: DataFrame, depth: int) -> DataFrame:
+    """(block, kind, key, n) of (block, train, text): a block's distinct grams and words with their training
+    counts. A block that is read by two tasks, or has very many keys, may give a key twice."""
 
     def counted(code: np.ndarray, weight: int):
         code = np.sort(code)
@@ -104,23 +123,38 @@ def _counts(texts: DataFrame, depth: int) -> DataFrame:
         return code[start], np.diff(np.append(start, len(code))) * weight
 
     def run(batches):
-        held = {_GRAM: [], _WORD: []}
+        held, now = {_GRAM: [], _WORD: []}, None
+
+        def emit(kind: int):
+            keys, n = _summed(held[kind])
+            held[kind] = []
+            for i in range(0, len(keys), 1 << 17):
+                part = keys[i: i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), now, dtype=np.int32)), pa.array(np.full(len(part), kind, dtype=np.int32)),
+                     pa.array(part.view(np.int64)), pa.array(n[i: i + (1 << 17)].astype(np.int64))],
+                    names=["block", "kind", "key", "n"])
+
         for batch in batches:
-            train = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for chunk in textbytes.chunks(batch.column(1), lower=True):
-                used = train[chunk.first: chunk.first + chunk.n_docs]
-                for kind, (code, first) in ((_GRAM, gram_codes(chunk, depth)), (_WORD, word_codes(chunk))):
-                    learnt = np.repeat(used, np.diff(first))
-                    held[kind] += [counted(code[learnt], 1), counted(code[~learnt], 0)]
-                    if sum(len(k) for k, _ in held[kind]) > FLUSH_KEYS:
-                        held[kind] = [_summed(held[kind])]
-                        if len(held[kind][0][0]) > FLUSH_KEYS // 2:
-                            yield rows(kind, *held[kind].pop())
-        for kind, parts in held.items():
-            if parts:
-                yield rows(kind, *_summed(parts))
-
-    return texts.mapInArrow(run, "kind int, key long, n long")
+            for block, begin, end in _pieces(batch.column(0)):
+                if block != now:
+                    for kind in [k for k, parts in held.items() if parts]:
+                        yield from emit(kind)
+                    now = block
+                train = batch.column(1).slice(begin, end - begin).to_numpy(zero_copy_only=False).astype(bool)
+                for chunk in textbytes.chunks(batch.column(2).slice(begin, end - begin), lower=True):
+                    used = train[chunk.first: chunk.first + chunk.n_docs]
+                    for kind, (code, first) in ((_GRAM, gram_codes(chunk, depth)), (_WORD, word_codes(chunk))):
+                        learnt = np.repeat(used, np.diff(first))
+                        held[kind] += [counted(code[learnt], 1), counted(code[~learnt], 0)]
+                        if sum(len(k) for k, _ in held[kind]) > FLUSH_KEYS:
+                            held[kind] = [_summed(held[kind])]
+                            if len(held[kind][0][0]) > FLUSH_KEYS // 2:
+                                yield from emit(kind)
+        for kind in [k for k, parts in held.items() if parts]:
+            yield from emit(kind)
+
+    return rows.mapInArrow(run, "block int, kind int, key long, n long")
 
 
 _SMALL = 1 << 14
@@ -242,15 +276,45 @@ def _word_values(words: DataFrame) -> tuple[DataFrame, int]:
     return words.select("key", value.alias("value"), (F.col("n") > 0).alias("known")), total
 
 
-def _arrays(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their values; a word that training did not meet has its value's sign turned."""
-    table = values.toArrow()
-    keys, value = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], value[order]
+def _scorer(depth: int):
+    """Function of a block's texts and its keys' values, giving a row for every text."""
+    names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
+
+    def model(found: pa.Table, kind: int):
+        found = found.filter(pc.equal(found["kind"], kind))
+        keys, value, known = (found[c].to_numpy() for c in ("key", "value", "known"))
+        order = np.argsort(keys.view(np.uint64))
+        return keys.view(np.uint64)[order], value[order], known[order]
+
+    def looked_up(code: np.ndarray, keys: np.ndarray, *columns: np.ndarray):
+        order, start, distinct = runs(code)
+        at, times = np.searchsorted(keys, distinct), np.diff(np.append(start, len(code)))
+        for column in columns:
+            each = np.empty(len(code), dtype=column.dtype)
+            each[order] = np.repeat(column[at], times)
+            yield each
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        grams, words = model(found, _GRAM), model(found, _WORD)
+        parts = []
+        for batch in texts.select(["doc_id", "train", "text"]).to_batches():
+            for chunk in textbytes.chunks(batch.column(2), lower=True):
+                code, first = gram_codes(chunk, depth)
+                (value,) = looked_up(code, grams[0], grams[1])
+                code, word_first = word_codes(chunk)
+                base, known = looked_up(code, *words)
+                part = slice(chunk.first, chunk.first + chunk.n_docs)
+                parts.append(pa.RecordBatch.from_arrays([
+                    batch.column(0)[part], batch.column(1)[part], pa.array(np.diff(word_first)),
+                    pa.array(np.add.reduceat(known.astype(np.int64), word_first[:-1])),
+                    pa.array(np.add.reduceat(base, word_first[:-1])), pa.array(np.add.reduceat(value, first[:-1])),
+                    pa.array(np.diff(first))], names=names))
+        return pa.Table.from_batches(parts)
+
+    return run
 
 
-def score(docs: DataFrame, train, depth: int = DEPTH, broadcast_keys: int = BROADCAST_KEYS,
+def score(docs: DataFrame, train, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row.
 
@@ -258,72 +322,16 @@ def score(docs: DataFrame, train, depth: int = DEPTH, broadcast_keys: int = BROA
     text; ``-score / log10(2) / n_bytes`` is the code length in bits per byte (the end counts as one).
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"),
-                        F.col(text_col).cast("string").alias("text"))
-    counted = cut_lineage(_counts(texts.select("train", "text"), depth).groupBy("kind", "key").agg(F.sum("n").alias("n")),
-                          name="counts")
-    grams = counted.filter(F.col("kind") == _GRAM).select("key", "n")
+                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = _blocks(texts, block_bytes)
+    keys = cut_lineage(_counts(rows.select("block", "train", "text"), depth), name="block-keys")
+    counted = cut_lineage(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), name="counts")
+    grams = _gram_values(counted.filter(F.col("kind") == _GRAM).select("key", "n"), depth)
     words, total = _word_values(counted.filter(F.col("kind") == _WORD).select("key", "n"))
-    grams = cut_lineage(_gram_values(grams, depth), name="grams")
-    n_keys = counted.count()
-    if n_keys > broadcast_keys:
-        return _joined(texts, grams, words, total, depth)
-
-    signed = words.select("key", F.when(F.col("known"), F.col("value")).otherwise(-F.col("value")).alias("value"))
-    shared = texts.sparkSession.sparkContext.broadcast((_arrays(grams), _arrays(signed)))
+    values = cut_lineage(grams.select(F.lit(_GRAM).alias("kind"), "key", "value", F.lit(True).alias("known"))
+                         .union(words.select(F.lit(_WORD), "key", "value", "known")), name="values")
+    found = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value", "known")
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
-        (gram_keys, gram_values), (word_keys, word_values) = shared.value
-        for batch in batches:
-            for chunk in textbytes.chunks(batch.column(2), lower=True):
-                code, first = gram_codes(chunk, depth)
-                order, start, keys = runs(code)
-                value = np.empty(len(code))
-                value[order] = np.repeat(gram_values[np.searchsorted(gram_keys, keys)], np.diff(np.append(start, len(code))))
-                total = np.add.reduceat(value, first[:-1])
-                code, word_first = word_codes(chunk)
-                order, start, keys = runs(code)
-                each = np.empty(len(code))
-                each[order] = np.repeat(word_values[np.searchsorted(word_keys, keys)], np.diff(np.append(start, len(code))))
-                part = slice(chunk.first, chunk.first + chunk.n_docs)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[part], batch.column(1)[part], pa.array(np.diff(word_first)),
-                    pa.array(np.add.reduceat((each < 0).astype(np.int64), word_first[:-1])),
-                    pa.array(np.add.reduceat(-np.abs(each), word_first[:-1])), pa.array(total),
-                    pa.array(np.diff(first))], names=names)
-
-    return _named(texts.mapInArrow(run, schema), total)
-
-
-def _named(scored: DataFrame, total: int) -> DataFrame:
+    scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scorer(depth), schema)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
                          F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
-
-
-def _joined(texts: DataFrame, grams: DataFrame, words: DataFrame, total: int, depth: int) -> DataFrame:
-    """The scores by joining each row's distinct keys with their values: for models too large to broadcast."""
-    rows = cut_lineage(texts.withColumn("row", F.monotonically_increasing_id()), name="texts")
-
-    def run(batches):
-        for batch in batches:
-            for chunk in textbytes.chunks(batch.column(1), lower=True):
-                for kind, (code, first) in ((_GRAM, gram_codes(chunk, depth)), (_WORD, word_codes(chunk))):
-                    doc = np.repeat(np.arange(chunk.n_docs), np.diff(first))
-                    order = np.lexsort((code, doc))
-                    fresh = np.concatenate(([True], (np.diff(code[order]) != 0) | (np.diff(doc[order]) != 0)))
-                    at = np.flatnonzero(fresh)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0)[chunk.first: chunk.first + chunk.n_docs].take(pa.array(doc[order][at])),
-                        pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(code[order][at].view(np.int64)),
-                        pa.array(np.diff(np.append(at, len(order))))], names=["row", "kind", "key", "n"])
-
-    keys = rows.select("row", "text").mapInArrow(run, "row long, kind int, key long, n long")
-    values = (grams.select(F.lit(_GRAM).alias("kind"), "key", "value", F.lit(False).alias("known"))
-              .union(words.select(F.lit(_WORD), "key", "value", "known")))
-    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    summed = keys.join(values, ["kind", "key"]).groupBy("row").agg(
-        of(_WORD, F.col("n")).alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"),
-        of(_WORD, F.col("n") * F.col("value")).alias("base_score"), of(_GRAM, F.col("n") * F.col("value")).alias("score"),
-        of(_GRAM, F.col("n")).alias("n_bytes"))
-    return _named(rows.drop("text").join(summed, "row"), total)

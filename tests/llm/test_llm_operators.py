@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import functools
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -59,15 +62,77 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_context_tree(spark, docs, none):
+def plain_context_tree(texts, depth):
+    """log10 probability of a text by the recursion itself, trained on ``texts``; None where nothing was met."""
+    counts = {}
+    coded = lambda t: lower(t).encode() + b"\xff"
+
+    def decisions(text, i):
+        past = (b"\xff" * depth + text)[i:i + depth][::-1]
+        return past, [((1 << k) | (text[i] >> (8 - k)), text[i] >> (7 - k) & 1) for k in range(8)]
+
+    for text in map(coded, texts):
+        for i in range(len(text)):
+            past, steps = decisions(text, i)
+            for d in range(depth + 1):
+                for node, bit in steps:
+                    counts.setdefault((past[:d], node), [0, 0])[bit] += 1
+    children = {}
+    for past, node in counts:
+        if past:
+            children.setdefault((past[:-1], node), []).append((past, node))
+    block = lambda n: math.lgamma(n[0] + .5) + math.lgamma(n[1] + .5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weighted(key):
+        if len(key[0]) == depth:
+            return block(counts[key])
+        return math.log(.5) + np.logaddexp(block(counts[key]), sum(map(weighted, children[key])))
+
+    @functools.cache
+    def one(past, node, d=0):
+        n = counts.get((past[:d], node))
+        if n is None:
+            return None
+        own = (n[1] + .5) / (sum(n) + 1)
+        below = one(past, node, d + 1) if d < depth else None
+        if below is None:
+            return own
+        share = min(1, math.exp(math.log(.5) + block(n) - weighted((past[:d], node))))
+        return share * own + (1 - share) * below
+
+    def value(text):
+        text, total = coded(text), 0.0
+        for i in range(len(text)):
+            past, steps = decisions(text, i)
+            for node, bit in steps:
+                p = one(past, node)
+                p = .5 if p is None else p
+                total += math.log10(p if bit else 1 - p)
+        return total
+
+    return value
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 30, 9000])
+def test_context_tree(spark, docs, none, block_bytes):
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1
-    one = sorted(map(tuple, context_tree.score(docs, train, depth=3).collect()), key=str)
-    two = sorted(map(tuple, context_tree.score(docs, train, depth=3, broadcast_keys=0).collect()), key=str)
-    assert len(one) == docs.count() and context_tree.score(none, train).count() == 0
-    for a, b in zip(one, two):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
-    empty = [r for r in one if r[0] in (37, 38)]
-    assert len(empty) == 2 and all(r[2] == r[7] == 1 and r[6] < 0 for r in empty)
+    learnt = collections.Counter(w for i, t in rows if not held(i) for w in [*space_words(lower(t)), None])
+    n, v = sum(learnt.values()), len(learnt)
+    value = plain_context_tree([t for i, t in rows if not held(i)], 2)
+    want = []
+    for i, t in rows:
+        tokens = [*space_words(lower(t)), None]
+        want.append((i, held(i), len(tokens), sum(w in learnt for w in tokens), n,
+                     sum(math.log10((learnt[w] + .5) / (n + .5 * (v + 1))) for w in tokens), value(t), len(t.encode()) + 1))
+    got = context_tree.score(docs, train, depth=2, block_bytes=block_bytes).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert len(got) == len(want)
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert a[:5] == b[:5] and a[7] == b[7] and a[5:7] == pytest.approx(b[5:7], rel=1e-9)
+    assert context_tree.score(none, train).count() == 0
 
 
 def test_context_tree_is_context_tree_weighting():
