@@ -17,7 +17,7 @@ built where its grams are; depths 1 and 0 are merged from at most 65,280 sums (a
 alphabet, not of the data). The result is one value per gram that occurs. The unigram base goes the
 same way, a value per word.
 
-Scoring is one plan at every size. Rows are dealt into blocks of about ``BLOCK_BYTES`` of text; a block's
+Scoring is one plan at every size. Rows are cut into blocks of about ``BLOCK_BYTES`` of text; a block's
 distinct grams and words are written once, summed to the counts of the model, joined with the model's
 values and sent back to their block, where all its texts are scored. A frequent gram so has one row a
 block, whatever the number of its occurrences, and no task or driver holds the model.
@@ -32,6 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +98,22 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, doc_id, train, text): rows dealt at random into blocks of about ``block_bytes``, written block by block."""
-    rows = texts.withColumn("row", F.monotonically_increasing_id())
-    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n = max(1, -(-int(size) // block_bytes))
-    block = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    dealt = rows.select(block.alias("block"), "doc_id", "train", "text").repartition(n, "block")
-    return cut_lineage(dealt.sortWithinPartitions("block"), name="blocks")
+    """(block, doc_id, train, text): consecutive rows as blocks of at most ``block_bytes`` and one text more, written.
+
+    Nothing is shuffled: small input partitions are coalesced to about a block each, larger ones cut.
+    """
+    size = int(texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
+    texts = texts.coalesce(max(1, -(-size // block_bytes)))
+
+    def run(batches):
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            end = done + np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            block = (part << 32) + np.concatenate(([done], end))[:-1] // block_bytes
+            done = int(end[-1]) if len(end) else done
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "doc_id", "train", "text"])
+
+    return cut_lineage(texts.mapInArrow(run, "block long, doc_id long, train boolean, text string"), name="blocks")
 
 
 def _pieces(blocks: pa.Array):
@@ -131,7 +141,7 @@ def _counts(rows: DataFrame, depth: int) -> DataFrame:
             for i in range(0, len(keys), 1 << 17):
                 part = keys[i: i + (1 << 17)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), now, dtype=np.int32)), pa.array(np.full(len(part), kind, dtype=np.int32)),
+                    [pa.array(np.full(len(part), now, dtype=np.int64)), pa.array(np.full(len(part), kind, dtype=np.int32)),
                      pa.array(part.view(np.int64)), pa.array(n[i: i + (1 << 17)].astype(np.int64))],
                     names=["block", "kind", "key", "n"])
 
@@ -154,7 +164,7 @@ def _counts(rows: DataFrame, depth: int) -> DataFrame:
         for kind in [k for k, parts in held.items() if parts]:
             yield from emit(kind)
 
-    return rows.mapInArrow(run, "block int, kind int, key long, n long")
+    return rows.mapInArrow(run, "block long, kind int, key long, n long")
 
 
 _SMALL = 1 << 14
