@@ -18,8 +18,7 @@ alphabet, not of the data). The result is one value per gram that occurs. The un
 same way, a value per word.
 
 Scoring is one plan at every size. Rows are cut into blocks of about ``BLOCK_BYTES`` of text; a block's
-distinct grams and words are written once, summed to the counts of the model, joined with the model's
-values and sent back to their block, where all its texts are scored. A frequent gram so has one row a
+distinct grams and words are summed to the counts of the model, joined with the model's values and sent back to their block, where all its texts are scored. A frequent gram so has one row a
 block, whatever the number of its occurrences, and no task or driver holds the model.
 
 Edge cases: a null or empty text is its end alone. Repeated rows are each counted and each get a row (a
@@ -97,35 +96,47 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
 
 
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
 def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, doc_id, train, text): consecutive rows as blocks of at most ``block_bytes`` and one text more, written.
+    """(block, rows): consecutive rows as blocks of at most ``block_bytes`` and one text more, written.
 
     Nothing is shuffled: small input partitions are coalesced to about a block each, larger ones cut.
+    ``rows`` packs some rows of a block (a chunk's, compressed), since texts travel to their block's values.
     """
     size = int(texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
     texts = texts.coalesce(max(1, -(-size // block_bytes)))
 
     def run(batches):
-        part, done = TaskContext.get().partitionId(), 0
+        part, done, piece_bytes = TaskContext.get().partitionId(), 0, min(block_bytes, textbytes.CHUNK_BYTES)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             end = done + np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-            block = (part << 32) + np.concatenate(([done], end))[:-1] // block_bytes
-            done = int(end[-1]) if len(end) else done
-            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "doc_id", "train", "text"])
+            begin = np.concatenate(([done], end[:-1]))
+            done = int(end[-1])
+            piece = np.stack((begin // block_bytes, begin % block_bytes // piece_bytes))
+            edge = [0, *(np.flatnonzero(np.diff(piece).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(edge[:-1], edge[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=_PACKED) as out:
+                    out.write_batch(batch.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + int(piece[0, i])]),
+                                                  pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
-    return cut_lineage(texts.mapInArrow(run, "block long, doc_id long, train boolean, text string"), name="blocks")
+    return cut_lineage(texts.mapInArrow(run, "block long, rows binary"), name="blocks")
 
 
-def _pieces(blocks: pa.Array):
-    """(block, from, to) of the runs of equal blocks in a batch."""
-    block = blocks.to_numpy(zero_copy_only=False)
-    edge = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
-    return [(int(block[i]), int(i), int(j)) for i, j in zip(edge[:-1], edge[1:]) if j > i]
+def _unpacked(rows):
+    """Batches of (doc_id, train, text) of packed rows."""
+    for packed in rows:
+        yield from pa.ipc.open_stream(packed.as_buffer())
 
 
-def _counts(rows: DataFrame, depth: int) -> DataFrame:
-    """(block, kind, key, n) of (block, train, text): a block's distinct grams and words with their training
-    counts. A block that is read by two tasks, or has very many keys, may give a key twice."""
+def _counts(blocks: DataFrame, depth: int) -> DataFrame:
+    """(block, kind, key, n) of ``_blocks``: a block's distinct grams and words with their training counts.
+    A block that is read by two tasks, or has very many keys, may give a key twice."""
 
     def counted(code: np.ndarray, weight: int):
         code = np.sort(code)
@@ -146,13 +157,13 @@ def _counts(rows: DataFrame, depth: int) -> DataFrame:
                     names=["block", "kind", "key", "n"])
 
         for batch in batches:
-            for block, begin, end in _pieces(batch.column(0)):
+            for block, rows in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1))):
                 if block != now:
                     for kind in [k for k, parts in held.items() if parts]:
                         yield from emit(kind)
                     now = block
-                train = batch.column(1).slice(begin, end - begin).to_numpy(zero_copy_only=False).astype(bool)
-                for chunk in textbytes.chunks(batch.column(2).slice(begin, end - begin), lower=True):
+                train = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for chunk in textbytes.chunks(rows.column(2), lower=True):
                     used = train[chunk.first: chunk.first + chunk.n_docs]
                     for kind, (code, first) in ((_GRAM, gram_codes(chunk, depth)), (_WORD, word_codes(chunk))):
                         learnt = np.repeat(used, np.diff(first))
@@ -164,7 +175,7 @@ def _counts(rows: DataFrame, depth: int) -> DataFrame:
         for kind in [k for k, parts in held.items() if parts]:
             yield from emit(kind)
 
-    return rows.mapInArrow(run, "block long, kind int, key long, n long")
+    return blocks.mapInArrow(run, "block long, kind int, key long, n long")
 
 
 _SMALL = 1 << 14
@@ -307,7 +318,7 @@ def _scorer(depth: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         grams, words = model(found, _GRAM), model(found, _WORD)
         parts = []
-        for batch in texts.select(["doc_id", "train", "text"]).to_batches():
+        for batch in _unpacked(x for part in texts["rows"].chunks for x in part):
             for chunk in textbytes.chunks(batch.column(2), lower=True):
                 code, first = gram_codes(chunk, depth)
                 (value,) = looked_up(code, grams[0], grams[1])
@@ -333,8 +344,8 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block_bytes: int = BLOCK_B
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = _blocks(texts, block_bytes)
-    keys = cut_lineage(_counts(rows.select("block", "train", "text"), depth), name="block-keys")
+    blocks = _blocks(texts, block_bytes)
+    keys = _counts(blocks, depth)  # made twice: less than a table of them costs
     counted = cut_lineage(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), name="counts")
     grams = _gram_values(counted.filter(F.col("kind") == _GRAM).select("key", "n"), depth)
     words, total = _word_values(counted.filter(F.col("kind") == _WORD).select("key", "n"))
@@ -342,6 +353,6 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block_bytes: int = BLOCK_B
                          .union(words.select(F.lit(_WORD), "key", "value", "known")), name="values")
     found = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value", "known")
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scorer(depth), schema)
+    scored = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scorer(depth), schema)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
                          F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
