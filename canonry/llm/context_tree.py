@@ -96,9 +96,6 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
 
 
-_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
-
-
 def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
     """(block, rows): consecutive rows as blocks of at most ``block_bytes`` and one text more, written.
 
@@ -120,7 +117,7 @@ def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
             edge = [0, *(np.flatnonzero(np.diff(piece).any(axis=0)) + 1).tolist(), batch.num_rows]
             for i, j in zip(edge[:-1], edge[1:]):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=_PACKED) as out:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(batch.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + int(piece[0, i])]),
                                                   pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
