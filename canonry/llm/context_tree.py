@@ -42,8 +42,11 @@ DEPTH = 5
 END = 0xFF
 #: Text that is scored together: its distinct grams are looked up once.
 BLOCK_BYTES = 32 << 20
-#: Distinct keys that a task holds before it passes them on.
-FLUSH_KEYS = 2_000_000
+#: Keys that a task holds before it sums them; it passes them on where more than two thirds are distinct.
+FLUSH_KEYS = 3_000_000
+#: Bytes of text, and grams, that are worked on at a time.
+CHUNK_BYTES = 1 << 20
+CHUNK_GRAMS = 1 << 17
 
 _GRAM, _WORD = 0, 1
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
@@ -92,8 +95,11 @@ def runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
+    keys, n = (np.concatenate(part) for part in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    return keys[start], np.add.reduceat(n, start) if len(keys) else n
 
 
 def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
@@ -160,14 +166,14 @@ def _counts(blocks: DataFrame, depth: int) -> DataFrame:
                         yield from emit(kind)
                     now = block
                 train = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                for chunk in textbytes.chunks(rows.column(2), lower=True):
+                for chunk in textbytes.chunks(rows.column(2), lower=True, limit=CHUNK_BYTES):
                     used = train[chunk.first: chunk.first + chunk.n_docs]
                     for kind, (code, first) in ((_GRAM, gram_codes(chunk, depth)), (_WORD, word_codes(chunk))):
                         learnt = np.repeat(used, np.diff(first))
                         held[kind] += [counted(code[learnt], 1), counted(code[~learnt], 0)]
                         if sum(len(k) for k, _ in held[kind]) > FLUSH_KEYS:
                             held[kind] = [_summed(held[kind])]
-                            if len(held[kind][0][0]) > FLUSH_KEYS // 2:
+                            if len(held[kind][0][0]) > 2 * FLUSH_KEYS // 3:
                                 yield from emit(kind)
         for kind in [k for k, parts in held.items() if parts]:
             yield from emit(kind)
@@ -253,12 +259,24 @@ def _gram_values(grams: DataFrame, depth: int) -> DataFrame:
     by_pair = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
     parted = grams.repartition(by_pair)
 
-    def whole(batches):
+    def trees(batches):
+        """The partition's grams and counts, whole pairs together: about ``CHUNK_GRAMS`` at a time, or one pair's."""
         parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        return tuple(map(np.concatenate, zip(*parts))) if parts else None
+        if not parts:
+            return
+        keys, n = map(np.concatenate, zip(*parts))
+        pair = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+        order = np.argsort(pair, kind="stable")
+        keys, n, pair = keys[order], n[order], pair[order]
+        edge = np.append(np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))), len(pair))
+        at = 0
+        while at < len(edge) - 1:
+            end = max(int(np.searchsorted(edge, edge[at] + CHUNK_GRAMS, side="right")) - 1, at + 1)
+            yield keys[edge[at]: edge[end]], n[edge[at]: edge[end]]
+            at = end
 
     def sums(batches):
-        if found := whole(batches):
+        for found in trees(batches):
             level = tree(*found, depth, 2)[0][2]
             up, where = np.unique(_parents(level.keys, 1), return_inverse=True)
             total = [np.bincount(where, weights=x, minlength=len(up)) for x in (level.n0, level.n1, level.weighted)]
@@ -274,7 +292,7 @@ def _gram_values(grams: DataFrame, depth: int) -> DataFrame:
     upper = {1: one, 0: one.lift(0)}
 
     def values(batches):
-        if found := whole(batches):
+        for found in trees(batches):
             levels, where, bit = tree(*found, depth, 2)
             levels[2].parent = np.searchsorted(one.keys, _parents(levels[2].keys, 1))
             ones = predict(levels | upper, depth)
@@ -316,7 +334,7 @@ def _scorer(depth: int):
         grams, words = model(found, _GRAM), model(found, _WORD)
         parts = []
         for batch in _unpacked(x for part in texts["rows"].chunks for x in part):
-            for chunk in textbytes.chunks(batch.column(2), lower=True):
+            for chunk in textbytes.chunks(batch.column(2), lower=True, limit=CHUNK_BYTES):
                 code, first = gram_codes(chunk, depth)
                 (value,) = looked_up(code, grams[0], grams[1])
                 code, word_first = word_codes(chunk)
