@@ -44,7 +44,7 @@ def _tokens(col, tokenize: str) -> Column:
 
 
 def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols, max_n: int = 4,
-                    tokenize: str = "none") -> DataFrame:
+                    tokenize: str = "13a") -> DataFrame:
     """One row: sys_len, ref_len, correct_1..N, total_1..N.
 
     Hypothesis and reference n-grams are tagged and counted in one aggregation keyed
@@ -78,7 +78,7 @@ def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols, max_n: i
 
 
 def corpus_bleu(df: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference", id_cols="row_id",
-                max_n: int = 4, tokenize: str = "none") -> DataFrame:
+                max_n: int = 4, tokenize: str = "13a") -> DataFrame:
     """One row: bleu (0-100), brevity_penalty, sys_len, ref_len, correct_n, total_n."""
     st = bleu_statistics(df, hyp_col, ref_col, id_cols, max_n, tokenize)
     logs, zeros = [], F.lit(0)

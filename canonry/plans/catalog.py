@@ -260,7 +260,7 @@ def parquet_roundtrip(spark, sf_dir):
     """Documents through Parquet partitioned by language and back."""
     path = scratch_path(spark, "documents-parquet")
     tables.write_table(fx.table(spark, sf_dir, "documents"), path, partition_by="lang")
-    return tables.read_table(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
+    return tables.read_table(spark, path, schema=DOC_SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 # ---------------------------------------------------------------- metrics

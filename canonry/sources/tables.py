@@ -44,10 +44,11 @@ def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwr
     w.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, spread_by=None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by=None, schema=None) -> DataFrame:
     """Parquet table; ``spread_by`` (a list of id columns, possibly empty) spreads an
-    under-split file over the cores (see ``spread``)."""
-    df = spark.read.parquet(path)
+    under-split file over the cores (see ``spread``). With a ``schema`` the values of a
+    partition column keep their type; without one Spark infers it, and "01" becomes 1."""
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return df if spread_by is None else spread(df, spread_by)
 
 

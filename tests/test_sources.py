@@ -62,3 +62,10 @@ def test_train_and_test_documents(spark, tmp_path):
 
 def test_from_texts(spark):
     assert [(r.row_id, r.text) for r in tables.from_texts(spark, ["a", "b"]).collect()] == [(0, "a"), (1, "b")]
+
+
+def test_partition_values_keep_their_type(spark, tmp_path):
+    rows = [(1, "01"), (2, "1"), (3, None)]
+    tables.write_table(spark.createDataFrame(rows, "id long, code string"), str(tmp_path / "t"), partition_by="code")
+    back = tables.read_table(spark, str(tmp_path / "t"), schema="id long, code string")
+    assert sorted(map(tuple, back.collect())) == rows
