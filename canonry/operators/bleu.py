@@ -1,12 +1,15 @@
 """Corpus BLEU as aggregations (Papineni et al. 2002; corpus form as in Post 2018).
 
 Per row and order n: clipped matches ``sum_g min(count_hyp(g), count_ref(g))`` and
-``max(0, len - n + 1)`` hypothesis n-grams, summed over the corpus by partial
-aggregation. Smoothing 'exp'; brevity penalty over corpus lengths.
+``max(0, len - n + 1)`` hypothesis n-grams, counted inside tasks (Arrow batches, numpy) and summed
+over the corpus. Smoothing 'exp'; brevity penalty over corpus lengths.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,38 +46,59 @@ def _tokens(col, tokenize: str) -> Column:
     raise ValueError(f"tokenize must be 'none' or '13a', not {tokenize!r}")
 
 
-def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols, max_n: int = 4,
+#: Tokens of both sides counted at a time inside a task (or one longer row).
+SLICE_TOKENS = 1 << 18
+
+
+def _matches(hyp: pa.Array, ref: pa.Array, max_n: int) -> np.ndarray:
+    """sys_len, ref_len, total_1..N, correct_1..N of rows given as lists of tokens (null: none).
+
+    A gram is coded by the code of the gram without its last token, which starts with that of its row, and its last token: codes are exact.
+    """
+    lens = [np.asarray(pc.fill_null(pc.list_value_length(c), 0)) for c in (hyp, ref)]
+    out = np.zeros((2, max_n), dtype=np.int64)
+    n_hyp, n_ref = (int(x.sum()) for x in lens)
+    if n_hyp + n_ref:
+        token = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        words = int(token.max()) + 1
+        each = np.concatenate(lens)
+        left = np.repeat(np.cumsum(each), each) - np.arange(len(token))  # tokens from here to the text's end
+        code = np.repeat(np.tile(np.arange(len(hyp)), 2), each)
+        for n in range(1, max_n + 1):
+            start = np.flatnonzero(left >= n)
+            distinct, gram = np.unique(code[start] * words + token[start + n - 1], return_inverse=True)
+            code[start] = gram
+            cut = np.searchsorted(start, n_hyp)
+            out[0, n - 1] = cut
+            out[1, n - 1] = np.minimum(*[np.bincount(g, minlength=len(distinct)) for g in (gram[:cut], gram[cut:])]).sum()
+    return np.concatenate(([n_hyp, n_ref], out.reshape(-1)))
+
+
+def bleu_statistics(df: DataFrame, hyp_col: str, ref_col: str, id_cols=None, max_n: int = 4,
                     tokenize: str = "13a") -> DataFrame:
     """One row: sys_len, ref_len, correct_1..N, total_1..N.
 
-    Hypothesis and reference n-grams are tagged and counted in one aggregation keyed
-    by (row, n, gram): ``total_n`` is the hypothesis count, the lengths are the
-    unigram counts, and clipping is ``least`` of the two counts. One shuffle, map-side
-    combined, then one global partial/final sum. ``id_cols`` must identify a row.
-
-    N-grams come from generators and array expressions that stay in whole-stage
-    codegen: ``posexplode`` of the tokens, ``explode(sequence(1, min(N, len - pos)))``
-    for the orders that fit from that position, then ``array_join(slice(..))``.
+    Every row is a pair of its own, whatever its ``id_cols``. Its n-grams are counted and clipped in the task that
+    holds it, slice by slice, and a batch of rows leaves one row of sums: no n-gram is shuffled.
     """
-    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    tok = df.select(*ids, _tokens(hyp_col, tokenize).alias("h"), _tokens(ref_col, tokenize).alias("r"))
-    sides = F.array(F.struct(F.lit(True).alias("is_h"), F.col("h").alias("tok")),
-                    F.struct(F.lit(False).alias("is_h"), F.col("r").alias("tok")))
-    per_side = tok.select(*ids, F.inline(sides))
-    starts = per_side.select(*ids, "is_h", "tok", F.posexplode("tok").alias("pos", "_w"))
-    orders = starts.select(*ids, "is_h", "tok", "pos", F.explode(
-        F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("tok") - F.col("pos")))).alias("n"))
-    grams = orders.select(*ids, "is_h", "n",
-                          F.array_join(F.slice("tok", F.col("pos") + 1, F.col("n")), " ").alias("g"))
-    counts = grams.groupBy(*ids, "n", "g").agg(
-        F.count_if(F.col("is_h")).alias("ch"), F.count_if(~F.col("is_h")).alias("cr"))
-    zero = F.lit(0).cast("long")
-    pick = lambda n, e: F.when(F.col("n") == n, e).otherwise(zero)
-    out = counts.agg(
-        F.sum(pick(1, F.col("ch"))).alias("sys_len"), F.sum(pick(1, F.col("cr"))).alias("ref_len"),
-        *[F.sum(pick(n, F.col("ch"))).alias(f"total_{n}") for n in range(1, max_n + 1)],
-        *[F.sum(pick(n, F.least("ch", "cr"))).alias(f"correct_{n}") for n in range(1, max_n + 1)])
-    return out.select(*[F.coalesce(F.col(c), zero).cast("long").alias(c) for c in out.columns])
+    tok = df.select(_tokens(hyp_col, tokenize).alias("h"), _tokens(ref_col, tokenize).alias("r"))
+    names = ["sys_len", "ref_len", *[f"total_{n}" for n in range(1, max_n + 1)], *[f"correct_{n}" for n in range(1, max_n + 1)]]
+    limit = SLICE_TOKENS
+
+    def count(batches):
+        for b in batches:
+            h, r = b.column(0), b.column(1)
+            size = np.cumsum(sum(np.asarray(pc.fill_null(pc.list_value_length(c), 0)).astype(np.int64) for c in (h, r)))
+            total, at = np.zeros(len(names), dtype=np.int64), 0
+            while at < b.num_rows:
+                done = size[at - 1] if at else 0
+                to = max(int(np.searchsorted(size, done + limit, side="right")), at + 1)
+                total += _matches(h[at:to], r[at:to], max_n)
+                at = to
+            yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in total], names=names)
+
+    sums = tok.mapInArrow(count, ", ".join(f"{c} long" for c in names))
+    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
 
 
 def corpus_bleu(df: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference", id_cols="row_id",

@@ -25,3 +25,31 @@ def test_stream_reads_a_folder_of_files(spark, tmp_path):
     got = QUERIES["standardize_stream"](spark, as_folders(spark, tmp_path, "documents"))
     want = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+
+
+def shuffles(df):
+    """Exchanges of the plan, and those that carry text."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange")
+
+
+def test_bleu_counts_each_pair_without_shuffling_grams(spark, monkeypatch):
+    from canonry.operators import bleu
+
+    monkeypatch.setattr(bleu, "SLICE_TOKENS", 50)
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(rng.choice(["a", "b", "c", "dd"], rng.integers(0, 30)))
+    rows = [(i // 2, text(), text()) for i in range(120)] + [(7, None, "a b"), (None, "a b a b", None), (None, "a b a b a", "a b a b")]
+    df = spark.createDataFrame(rows, "row_id long, hypothesis string, reference string").repartition(4)
+    correct, total = [0] * 4, [0] * 4
+    for _, h, r in rows:
+        h, r = (h or "").split(), (r or "").split()
+        for n in range(1, 5):
+            hc, rc = (Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1)) for x in (h, r))
+            correct[n - 1] += sum(min(c, rc[g]) for g, c in hc.items())
+            total[n - 1] += sum(hc.values())
+    st = bleu.bleu_statistics(df, "hypothesis", "reference", "row_id", 4, "none")
+    got = st.first()
+    assert [got[f"correct_{n}"] for n in range(1, 5)] == correct and [got[f"total_{n}"] for n in range(1, 5)] == total
+    assert got.ref_len == sum(len((r or "").split()) for *_, r in rows)
+    assert shuffles(st) <= shuffles(df) + 1  # the sums' own exchange
