@@ -53,3 +53,15 @@ def test_bleu_counts_each_pair_without_shuffling_grams(spark, monkeypatch):
     assert [got[f"correct_{n}"] for n in range(1, 5)] == correct and [got[f"total_{n}"] for n in range(1, 5)] == total
     assert got.ref_len == sum(len((r or "").split()) for *_, r in rows)
     assert shuffles(st) <= shuffles(df) + 1  # the sums' own exchange
+
+
+def test_mentions_of_one_split_are_dealt_by_rows(spark, monkeypatch):
+    from canonry.plans import fixtures as fx
+
+    few = fx.mentions(spark, SF)
+    monkeypatch.setattr(fx, "MENTION_ROWS", 5)
+    many = fx.mentions(spark, SF)
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert many.rdd.getNumPartitions() >= n / 5
+    assert max(many.rdd.glom().map(len).collect()) < 30
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
