@@ -28,6 +28,8 @@ from canonry.session import cut_lineage
 
 # Pseudo label of the per-term counter row used to count known occurrences.
 _COUNTER = -2
+# Tasks of an iteration of the logistic regression, per core, at most.
+TASKS_PER_CORE = 4
 
 
 @dataclass
@@ -203,20 +205,23 @@ def predict_labels(model: NBModel, df: DataFrame, id_col: str, text_col: str,
 
 def train_lr(df: DataFrame, text_col: str = "text", label_col: str = "label",
              num_features: int = 1 << 18, max_iter: int = 20):
-    """Alternative learner on spark.ml: words -> hashed TF -> IDF -> logistic regression."""
-    from pyspark.ml import Pipeline
+    """Alternative learner on spark.ml: words -> hashed TF -> IDF -> logistic regression.
+
+    Texts are tokenised once: the hashed counts are written, and the IDF and the iterations read them, in a few tasks a
+    core, since each task of an iteration sends a gradient of all classes and features.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
-    stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"(?U)[\s\x1c-\x1f]+", toLowercase=True),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=max_iter,
-                           predictionCol="prediction"),
-    ]
+    words = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"(?U)[\s\x1c-\x1f]+", toLowercase=True)
+    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
     train = df.where(F.col(label_col) >= 0).withColumn(label_col, F.col(label_col).cast("double"))
-    return Pipeline(stages=stages).fit(train)
+    hashed = cut_lineage(counts.transform(words.transform(train)).select(label_col, "_tf"), name="lr-counts")
+    hashed = hashed.coalesce(TASKS_PER_CORE * hashed.sparkSession.sparkContext.defaultParallelism)
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(hashed)
+    lr = LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=max_iter, predictionCol="prediction")
+    return PipelineModel(stages=[words, counts, idf, lr.fit(idf.transform(hashed))])
 
 
 def predict_lr(model, df: DataFrame, id_col: str) -> DataFrame:

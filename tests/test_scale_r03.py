@@ -65,3 +65,53 @@ def test_mentions_of_one_split_are_dealt_by_rows(spark, monkeypatch):
     assert many.rdd.getNumPartitions() >= n / 5
     assert max(many.rdd.glom().map(len).collect()) < 30
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_csv_is_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    from canonry.plans import catalog
+
+    tasks = []
+    write = catalog.tables.write_table_csv
+    monkeypatch.setattr(catalog.tables, "write_table_csv", lambda df, path: (tasks.append(df.rdd.getNumPartitions()), write(df, path)))
+    monkeypatch.setattr(catalog, "SPLITS_PER_FILE", 1)
+    got = catalog.QUERIES["csv_roundtrip_split"](spark, SF)
+    assert tasks[0] > 1
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").collect()), key=str)
+
+
+def test_small_blocks_do_not_make_quadratically_many_tasks():
+    from canonry.operators.similarity import DEFAULT_BLOCK_ROWS, MAX_BLOCK_TASKS, _block_counts, _block_rows
+
+    assert _block_rows(100, 400, 64) == 64
+    for n in (10_000, 100_000, 600_000):
+        rows = _block_rows(n // 5, n - n // 5, 64)
+        qb, tb = _block_counts(n // 5, n - n // 5, rows, 48)
+        assert rows <= DEFAULT_BLOCK_ROWS and qb * tb <= MAX_BLOCK_TASKS
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_block_kernel_equals_full_sort_over_chunks(k):
+    import pandas as pd
+
+    from canonry.operators.similarity import _block_topk
+
+    rng = np.random.default_rng(k)
+    q, t = rng.integers(-2, 3, (23, 3)).astype(float), rng.integers(-2, 3, (61, 3)).astype(float)  # many ties, zero vectors
+    ids = rng.permutation(61)
+    s = q @ t.T / (np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(t, axis=1)) + 1e-8)
+    got = _block_topk(pd.DataFrame({"qid": np.arange(23), "vec": list(q)}), pd.DataFrame({"tid": ids, "vec": list(t)}), k, False, 7)
+    want = {i: sorted(range(61), key=lambda j: (-round(s[i, j], 9), ids[j]))[:k] for i in range(23)}
+    assert {i: sorted(g.tid) for i, g in got.groupby("qid")} == {i: sorted(ids[j] for j in w) for i, w in want.items()}
+
+
+def test_lr_reads_texts_once(spark, monkeypatch):
+    from canonry.operators import classify
+
+    written = []
+    cut = classify.cut_lineage
+    monkeypatch.setattr(classify, "cut_lineage", lambda df, **kw: (written.append(df.columns), cut(df, **kw))[1])
+    rows = [(i, "red apple" if i % 2 else "blue sky", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    model = classify.train_lr(df, num_features=64, max_iter=5)
+    assert written == [["label", "_tf"]]
+    assert {r.id: r.label for r in classify.predict_lr(model, df, "id").collect()} == {i: y for i, _, y in rows}
