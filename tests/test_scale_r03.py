@@ -115,3 +115,30 @@ def test_lr_reads_texts_once(spark, monkeypatch):
     model = classify.train_lr(df, num_features=64, max_iter=5)
     assert written == [["label", "_tf"]]
     assert {r.id: r.label for r in classify.predict_lr(model, df, "id").collect()} == {i: y for i, _, y in rows}
+
+
+def test_equal_sparse_rows_meet_once(spark, monkeypatch):
+    from canonry.operators import similarity as sim
+
+    met = []
+    top = sim.top_k
+    monkeypatch.setattr(sim, "top_k", lambda df, *a, **kw: (met.append(df.count()), top(df, *a, **kw))[1])
+    rows = [(i, ["a", "b"] if i % 2 else ["b", "c"], [0.6, 0.8]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, terms array<string>, weights array<double>")
+    for method in ("blocked", "auto"):
+        got = sorted(map(tuple, sim.top_k_similar(df, df, k=3, qid="id", tid="id", sparse=True, method=method).collect()))
+        assert [(q, t, round(s, 9), r) for q, t, s, r in got] == [(i, 2 * j + i % 2, 1.0, j + 1) for i in range(100) for j in range(3)]
+    assert max(met) <= 2 * 3 * 32  # (query class, target class) pairs of a few blocks, of 10,000
+
+
+def test_routes_copy_a_query_once_a_group(spark):
+    from canonry.operators import dense_cells as dc
+
+    v = np.random.default_rng(1).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    index = dc.build(df, "id", "embedding", 3, cells=40)
+    asked = dc._one_each(dc._classed(df, "id", "embedding", "t")).withColumn("tau", F.lit(float("-inf")))
+    routes = dc._routes(asked, index, False, 4096)  # nothing is skipped: every query goes to all cells but its probes
+    assert routes.count() == 400
+    assert routes.select(F.explode("cells")).count() == 400 * (len(index.size) - min(index.probes, len(index.size)))
+    assert dc._groups(index, 100)[1] and max(dc._groups(index, 100)[1]) <= max(100, max(index.size.values()))
