@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonry.llm import textbytes
-from canonry.session import cut_lineage
+from canonry.session import arrow_batches, cut_lineage
 
 DEPTH = 5
 END = 0xFF
@@ -47,6 +47,9 @@ FLUSH_KEYS = 2_000_000
 #: Bytes of text, and grams, that are worked on at a time.
 CHUNK_BYTES = 1 << 20
 CHUNK_GRAMS = 1 << 17
+#: Megabytes of an Arrow batch of texts, and rows of one of keys.
+BATCH_MB = 2
+BATCH_KEYS = 1 << 15
 
 _GRAM, _WORD = 0, 1
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
@@ -95,11 +98,19 @@ def runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(part) for part in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
-    return keys[start], np.add.reduceat(n, start) if len(keys) else n
+    """The distinct keys of ``parts`` (emptied) and their sums, worked out for a quarter of the keys at a time."""
+    all_keys, all_n = (np.concatenate(part) for part in zip(*parts))
+    parts.clear()
+    found = []
+    for low in range(4):
+        of = np.flatnonzero(all_keys & np.uint64(3) == low)
+        of = of[np.argsort(all_keys[of], kind="stable")]
+        keys = all_keys[of]
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else of
+        found.append((keys[start], np.add.reduceat(all_n[of], start) if len(keys) else all_n[of]))
+    del all_keys, all_n
+    keys, n = (np.concatenate(part) for part in zip(*found))
+    return keys, n
 
 
 def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
@@ -129,7 +140,8 @@ def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
                                                   pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
         pa.default_memory_pool().release_unused()  # workers live on between tasks
 
-    return cut_lineage(texts.mapInArrow(run, "block long, rows binary"), name="blocks")
+    with arrow_batches(texts.sparkSession, BATCH_MB):
+        return cut_lineage(texts.mapInArrow(run, "block long, rows binary"), name="blocks")
 
 
 def _unpacked(rows):
@@ -153,11 +165,11 @@ def _counts(blocks: DataFrame, depth: int) -> DataFrame:
         def emit(kind: int):
             keys, n = _summed(held[kind])
             held[kind] = []
-            for i in range(0, len(keys), 1 << 17):
-                part = keys[i: i + (1 << 17)]
+            for i in range(0, len(keys), BATCH_KEYS):
+                part = keys[i: i + BATCH_KEYS]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(part), now, dtype=np.int64)), pa.array(np.full(len(part), kind, dtype=np.int32)),
-                     pa.array(part.view(np.int64)), pa.array(n[i: i + (1 << 17)].astype(np.int64))],
+                     pa.array(part.view(np.int64)), pa.array(n[i: i + BATCH_KEYS].astype(np.int64))],
                     names=["block", "kind", "key", "n"])
 
         for batch in batches:
@@ -299,9 +311,9 @@ def _gram_values(grams: DataFrame, depth: int) -> DataFrame:
             levels[2].parent = np.searchsorted(one.keys, _parents(levels[2].keys, 1))
             ones = predict(levels | upper, depth)
             value = np.log10(np.where(bit == 1, ones[where], 1 - ones[where])).sum(axis=0)
-            for i in range(0, len(value), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(found[0][i: i + (1 << 17)].view(np.int64)),
-                                                  pa.array(value[i: i + (1 << 17)])], names=["key", "value"])
+            for i in range(0, len(value), BATCH_KEYS):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][i: i + BATCH_KEYS].view(np.int64)),
+                                                  pa.array(value[i: i + BATCH_KEYS])], names=["key", "value"])
 
     return parted.mapInArrow(values, "key long, value double")
 
@@ -365,13 +377,18 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block_bytes: int = BLOCK_B
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks = _blocks(texts, block_bytes)
     keys = _counts(blocks, depth)  # made twice: less than a table of them costs
-    counted = cut_lineage(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), name="counts")
+    # A task's keys are distinct already: they are dealt out first, else Spark would hash them all on both sides.
+    counted = cut_lineage(keys.select("kind", "key", "n").repartition("kind", "key").groupBy("kind", "key")
+                          .agg(F.sum("n").alias("n")), name="counts")
     grams = _gram_values(counted.filter(F.col("kind") == _GRAM).select("key", "n"), depth)
     words, total = _word_values(counted.filter(F.col("kind") == _WORD).select("key", "n"))
     values = cut_lineage(grams.select(F.lit(_GRAM).alias("kind"), "key", "value", F.lit(True).alias("known"))
                          .union(words.select(F.lit(_WORD), "key", "value", "known")), name="values")
     found = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value", "known")
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    scored = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scorer(depth), schema)
+    # Sorted by block in each partition: with a few times as many partitions as blocks, not many blocks at once.
+    n = 4 * max(1, blocks.select("block").distinct().count())
+    scored = (blocks.repartition(n, "block").groupBy("block").cogroup(found.repartition(n, "block").groupBy("block"))
+              .applyInArrow(_scorer(depth), schema))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
                          F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
