@@ -138,7 +138,7 @@ def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
                     out.write_batch(batch.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + int(piece[0, i])]),
                                                   pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
-        pa.default_memory_pool().release_unused()  # workers live on between tasks
+        textbytes.give_back()
 
     with arrow_batches(texts.sparkSession, BATCH_MB):
         return cut_lineage(texts.mapInArrow(run, "block long, rows binary"), name="blocks")
@@ -190,7 +190,7 @@ def _counts(blocks: DataFrame, depth: int) -> DataFrame:
                                 yield from emit(kind)
         for kind in [k for k, parts in held.items() if parts]:
             yield from emit(kind)
-        pa.default_memory_pool().release_unused()  # workers live on between tasks
+        textbytes.give_back()
 
     return blocks.mapInArrow(run, "block long, kind int, key long, n long")
 
@@ -347,7 +347,7 @@ def _scorer(depth: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         grams, words = model(found, _GRAM), model(found, _WORD)
         del found
-        pa.default_memory_pool().release_unused()
+        textbytes.give_back()
         parts = []
         for batch in _unpacked(x for part in texts["rows"].chunks for x in part):
             for chunk in textbytes.chunks(batch.column(2), lower=True, limit=CHUNK_BYTES):

@@ -32,12 +32,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canonry.llm import textbytes
-from canonry.session import cut_lineage
+from canonry.session import arrow_batches, cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 96
 ROWS = 4
+#: Megabytes of an Arrow batch of texts, and bytes of text that are worked on at a time.
+BATCH_MB = 2
+CHUNK_BYTES = 1 << 20
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _PICK = np.uint64(0xA0761D6478BD642F)
@@ -98,7 +101,7 @@ def _signed(docs: DataFrame, registers: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for chunk in textbytes.chunks(batch.column(2), lower=True):
+            for chunk in textbytes.chunks(batch.column(2), lower=True, limit=CHUNK_BYTES):
                 words = textbytes.words(chunk)
                 doc, value, _ = elements(words)
                 # Equal weights: candidates are drawn by the measure that _verified judges links by.
@@ -114,6 +117,7 @@ def _signed(docs: DataFrame, registers: int, rows: int) -> DataFrame:
                     pa.array(size.astype(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64)))],
                     names=["doc_id", "text_hash", "node", "n", "bands"])
+        textbytes.give_back()
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n long, bands array<long>")
 
@@ -123,7 +127,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for chunk in textbytes.chunks(batch.column(0), lower=True):
+            for chunk in textbytes.chunks(batch.column(0), lower=True, limit=CHUNK_BYTES):
                 words = textbytes.words(chunk)
                 doc, value, _ = elements(words)
                 offsets = np.searchsorted(doc, np.arange(chunk.n_docs + 1)).astype(np.int32)
@@ -131,6 +135,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
                     [pa.array(_text_codes(words).view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))],
                     names=["node", "shingles"])
+        textbytes.give_back()
 
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
@@ -197,7 +202,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = RE
     """(doc_id, text_hash, class_id) of every row of ``docs`` (doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
                         F.col("text").cast("string").alias("text"))
-    signed = cut_lineage(_signed(keyed, registers, rows), name="signatures")
+    with arrow_batches(docs.sparkSession, BATCH_MB):
+        signed = cut_lineage(_signed(keyed, registers, rows), name="signatures")
     nodes = signed.filter("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -211,7 +217,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, registers: int = RE
     wanted = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
     texts = keyed.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
-    sets = cut_lineage(_shingled(texts).dropDuplicates(["node"]), name="shingles")
+    with arrow_batches(docs.sparkSession, BATCH_MB):
+        sets = cut_lineage(_shingled(texts).dropDuplicates(["node"]), name="shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return cut_lineage(_verified(pairs, sets), name="pairs")

@@ -24,7 +24,7 @@ ones are ignored.
 
 from __future__ import annotations
 
-import itertools
+from array import array
 from collections import deque
 
 import numpy as np
@@ -117,7 +117,7 @@ class PieceIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
-        self._known: dict[int, list[int]] = {}
+        self._known: dict[int, bytes] = {}  # as 32-bit ids: a fraction of a list of numbers
 
     def _ids(self, raw: bytes, rare: bool) -> list[int]:
         if rare:
@@ -153,9 +153,9 @@ class PieceIds:
             at = where[missing]
             raw, source = plain.tobytes(), data.tobytes()
             for i, a, b, odd in zip(missing, start[at].tolist(), end[at].tolist(), rare[at].tolist()):
-                ids[i] = known[distinct[i]] = self._ids((source if odd else raw)[a:b], odd)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))
+                ids[i] = known[distinct[i]] = array("I", self._ids((source if odd else raw)[a:b], odd)).tobytes()
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // array("I").itemsize
+        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         begin = np.cumsum(size) - size
         per_piece = size[index]
         first = np.concatenate(([0], np.cumsum(per_piece)))
@@ -269,5 +269,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
                     pa.array(begin - cuts[seq]),
                 ], names=names)
                 sequence += len(cuts) - 1
+        del encoder
+        textbytes.give_back()
 
     return rows.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ bounded by the chunk (``CHUNK_BYTES``, or one longer text), whatever the batch h
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system: Python workers live on between tasks, idle or not."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 @dataclass
 class Chunk:
     """Some consecutive texts of a batch: rows ``first .. first + n_docs``."""
